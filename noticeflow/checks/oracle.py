@@ -76,15 +76,17 @@ def end(t):
 
 
 def snippet(t, name):
-    pattern = {
-        "age_limit": r"(?:age\s+limit|maximum\s+age).{0,100}",
-        "qualification": r"(?:educational\s+qualification|essential\s+qualification|qualification).{0,1000}.{0,200}",
-        "experience": r"(?:experience|work\s+experience).{0,1000}.{0,200}",
-        "application_fee": r"(?:application\s+fee|fee\s+for\s+application).{0,500}",
+    """The label and what follows, cut by length: the engine is slow on long bounded repeats."""
+    label, gap, cap = {
+        "age_limit": (r"(?:age\s+limit|maximum\s+age)", 100, 500),
+        "qualification": (
+            r"(?:educational\s+qualification|essential\s+qualification|qualification)", 1200, 1500),
+        "experience": (r"(?:experience|work\s+experience)", 1200, 1500),
+        "application_fee": (r"(?:application\s+fee|fee\s+for\s+application)", 500, 700),
     }[name]
-    cap = {"age_limit": 500, "qualification": 1500, "experience": 1500, "application_fee": 700}[name]
-    found = collapse(f"regexp_extract({t}, '(?is){pattern}', 0)")
-    return f"substr({found}, 1, {cap})"
+    rest = f"regexp_extract({t}, '(?is){label}.*', 0)"
+    length = f"length(regexp_extract({t}, '(?is){label}', 0)) + {gap}"
+    return f"substr({collapse(f'substr({rest}, 1, {length})')}, 1, {cap})"
 
 
 def text_fields(t):

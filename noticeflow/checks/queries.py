@@ -166,7 +166,7 @@ _NOTICE_RECORDS = cte("notices", "candidates") + f""", fields as (
 
 
 def notice_fields(spark, sf_dir):
-    return docs.with_text_fields(derived(spark, sf_dir, "notices"))
+    return field_fn.with_text_fields(derived(spark, sf_dir, "notices"))
 
 
 def notice_rows(spark, sf_dir):
@@ -460,8 +460,8 @@ def one_field(name, column):
     sql = o.text_fields("text")[name]
 
     def query(spark, sf_dir):
-        lowered = derived(spark, sf_dir, "notices").withColumn("_low", F.lower("text"))
-        return lowered.select("doc_id", column(field_fn.as_text(F.col("text"))).alias(name))
+        notices = derived(spark, sf_dir, "notices")
+        return notices.select("doc_id", column(field_fn.as_text(F.col("text"))).alias(name))
 
     return query, cte("notices") + f" select doc_id, {sql} as {name} from notices"
 
@@ -529,12 +529,12 @@ def x15_extract(spark, sf_dir):
 
 @check("x15_bulletins", cte("bulletins") + f" select doc_id, {o.select_fields('text')} from bulletins")
 def x15_bulletins(spark, sf_dir):
-    return docs.with_text_fields(derived(spark, sf_dir, "bulletins")).drop("has_text")
+    return field_fn.with_text_fields(derived(spark, sf_dir, "bulletins")).drop("has_text")
 
 
 @check("x15_documents", f"select doc_id, {o.select_fields('text')} from documents")
 def x15_documents(spark, sf_dir):
-    return docs.with_text_fields(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("has_text")
+    return field_fn.with_text_fields(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("has_text")
 
 
 # --- overlay --------------------------------------------------------------
@@ -552,7 +552,7 @@ def a1_request(spark, sf_dir):
     return overlay.extraction_requests(rows.withColumn("text", F.col("document.text")), ["doc_id"])
 
 
-_VALID = "json_valid(response) and coalesce(json_type(response, '$.vacancies_total'), 'UBIGINT') in ('UBIGINT', 'BIGINT')"
+_VALID = "case when json_valid(response) then coalesce(json_type(response, '$.vacancies_total'), 'UBIGINT') in ('UBIGINT', 'BIGINT') else false end"
 _INGESTED = f"""answers as (
   select doc_id, {_VALID} as valid, case when {_VALID} then response else '{{}}' end as j from overlay_rows
 ), ingested as (
@@ -863,7 +863,7 @@ def stream_upsert(spark, sf_dir):
     landing = (
         spark.readStream.schema(given).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     )
-    fields = docs.with_text_fields(derive(spark, "notices", landing)).withColumns(
+    fields = field_fn.with_text_fields(derive(spark, "notices", landing)).withColumns(
         {c: F.lit("") for c in ("organisation", "post_title", "fingerprint")}
         | {"publication_date": F.lit(None).cast("date"), "written_at": F.current_timestamp()}
     )

@@ -6,7 +6,7 @@ from noticeflow.functions.text import ascii_digits
 
 # two separators alike; day 1-31, month 1-12, year of four or two digits
 _SHAPE = (
-    r"(?U)^(3[0-1]|[1-2]\d|0[1-9]|[1-9])([/-])(1[0-2]|0[1-9]|[1-9])\2(\d{4}|\d{2})$"
+    r"(?U)^(?:3[0-1]|[1-2]\d|0[1-9]|[1-9])([/-])(?:1[0-2]|0[1-9]|[1-9])\1(?:\d{4}|\d{2})$"
 )
 
 
@@ -15,15 +15,12 @@ def parse_day_first(raw):
 
     Two-digit years up to 68 belong to the 2000s, the others to the 1900s.
     """
-    day = F.regexp_extract(raw, _SHAPE, 1)
-    month = F.regexp_extract(raw, _SHAPE, 3)
-    year = ascii_digits(F.regexp_extract(raw, _SHAPE, 4))
-    full = (
-        F.when(F.length(year) == 4, year)
-        .when(year <= "68", F.concat(F.lit("20"), year))
-        .otherwise(F.concat(F.lit("19"), year))
+    parts = F.split(ascii_digits(raw), "[/-]")
+    day, month, year = parts[0], parts[1], parts[2]
+    century = F.when(F.length(year) == 4, F.lit("")).otherwise(
+        F.when(year <= "68", F.lit("20")).otherwise(F.lit("19"))
     )
-    iso = F.concat_ws(
-        "-", full, F.lpad(ascii_digits(month), 2, "0"), F.lpad(ascii_digits(day), 2, "0")
+    iso = F.concat(
+        century, year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")
     )
-    return F.when((F.length(year) > 0) & (full != "0000"), iso.try_cast("date"))
+    return F.when(raw.rlike(_SHAPE) & (year != "0000"), iso.try_cast("date"))

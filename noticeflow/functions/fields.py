@@ -1,59 +1,65 @@
 """Field extraction from a document's text."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from noticeflow import fixed
 from noticeflow.functions.dates import parse_day_first
-from noticeflow.functions.text import ascii_digits, collapse, java, nz
+from noticeflow.functions.text import ascii_digits, collapse, java, let, nz
 
 # Letters whose case folds onto an ASCII letter without lower-casing to it: a text that
 # holds one is always handed to the patterns.
 _FOLDING = ("ſ", "ı", "İ")
 
 
+def _contains_any(c, words):
+    return reduce(or_, [F.contains(c, F.lit(w)) for w in words])
+
+
 class Text:
-    """A text column with its lower-cased form, for cheap tests before a pattern runs.
+    """A text column with what allows a cheap test before a pattern runs.
 
     A byte search for a word every match must contain costs far less than a pattern
     over a long text, and most texts have only a few of the words.
     """
 
-    def __init__(self, text, low):
-        self.text, self.low = text, low
-
-    def _may_hold(self, words):
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | F.contains(self.low, F.lit(word))
-        for letter in _FOLDING:
-            hit = hit | F.contains(self.text, F.lit(letter))
-        return hit
+    def __init__(self, text, low, odd):
+        self.text, self.low, self.odd = text, low, odd
 
     def capture(self, pattern, group, words):
         """The group of the first match, '' without one."""
         return F.when(
-            self._may_hold(words), F.regexp_extract(self.text, pattern, group)
+            self.odd | _contains_any(self.low, words),
+            F.regexp_extract(self.text, pattern, group),
         ).otherwise(F.lit(""))
 
 
 def as_text(c):
-    return Text(c, F.lower(c))
+    return Text(c, F.lower(c), _contains_any(c, _FOLDING))
 
 
 def advert_number(text):
     return text.capture(java(fixed.ADVERT_NUMBER), 1, ("advt", "advertisement", "notification"))
 
 
-def vacancies(text):
-    """The count as a 64-bit integer; a larger number is NULL."""
+def vacancies_text(text):
     # a run of digits and commas never needs to give anything back to the blank after it
     pattern = java(fixed.VACANCIES.replace(r"[\d,]*", r"[\d,]*+"))
-    raw = text.capture(pattern, 1, ("vacancies", "posts", "positions"))
+    return text.capture(pattern, 1, ("vacancies", "posts", "positions"))
+
+
+def parse_count(raw):
+    """Digits and commas to a 64-bit integer; no digits or a larger number to NULL."""
     return ascii_digits(F.replace(raw, F.lit(","), F.lit(""))).try_cast("bigint")
 
 
 def labelled_date_text(text, labels, words):
-    """The date token after the first label that has one within 100 characters."""
+    """The date token after the first label that has one within 100 characters.
+
+    That label decides even if its token is no valid date.
+    """
     tokens = [
         nz(text.capture(java(label + fixed.DATE_GAP + fixed.DATE, dot_all=True), 1, [word]))
         for label, word in zip(labels, words)
@@ -61,15 +67,13 @@ def labelled_date_text(text, labels, words):
     return F.coalesce(*tokens, F.lit(""))
 
 
-def start_date(text):
+def start_text(text):
     # the first label also matches wherever the second does
-    return parse_day_first(labelled_date_text(text, fixed.START_LABELS[:1], ("application",)))
+    return labelled_date_text(text, fixed.START_LABELS[:1], ("application",))
 
 
-def end_date(text):
-    return parse_day_first(
-        labelled_date_text(text, fixed.END_LABELS, ("last", "closing", "application"))
-    )
+def end_text(text):
+    return labelled_date_text(text, fixed.END_LABELS, ("last", "closing", "application"))
 
 
 _SNIPPET_WORDS = {
@@ -80,23 +84,60 @@ _SNIPPET_WORDS = {
 }
 
 
+def snippet_text(text, name):
+    return text.capture(java(fixed.SNIPPETS[name][0], dot_all=True), 0, _SNIPPET_WORDS[name])
+
+
+def clean(found, cap):
+    """Whitespace collapsed, capped."""
+    return F.substring(collapse(found), 1, cap)
+
+
+def vacancies(text):
+    return parse_count(vacancies_text(text))
+
+
+def start_date(text):
+    return let(start_text(text), parse_day_first)
+
+
+def end_date(text):
+    return let(end_text(text), parse_day_first)
+
+
 def snippet(text, name):
     """A label and what follows it, whitespace collapsed, capped."""
-    pattern, cap = fixed.SNIPPETS[name]
-    found = text.capture(java(pattern, dot_all=True), 0, _SNIPPET_WORDS[name])
-    return F.substring(collapse(found), 1, cap)
+    return clean(snippet_text(text, name), fixed.SNIPPETS[name][1])
 
 
 def confidence():
     return F.lit(fixed.CONFIDENCE)
 
 
-def text_fields(text):
-    """All fields that depend on the text alone, by record column."""
-    return {
-        "advertisement_number": advert_number(text),
-        "vacancies_total": vacancies(text),
-        "application_start_date": start_date(text),
-        "application_end_date": end_date(text),
-        **{name: snippet(text, name) for name in fixed.SNIPPETS},
-    }
+def with_text_fields(df, text="text"):
+    """Replace a text column by `has_text` and all fields the text yields.
+
+    Taken in steps, so that each pattern runs once and every step stays compiled.
+    """
+    others = [c for c in df.columns if c != text]
+    t = as_text(F.col(text))
+    lowered = df.select(*others, F.col(text).alias("_text"), t.low.alias("_low"), t.odd.alias("_odd"))
+    t = Text(F.col("_text"), F.col("_low"), F.col("_odd"))
+    found = lowered.select(
+        *others,
+        (F.col("_text") != "").alias("has_text"),
+        advert_number(t).alias("advertisement_number"),
+        vacancies_text(t).alias("_vacancies"),
+        start_text(t).alias("_start"),
+        end_text(t).alias("_end"),
+        *[snippet_text(t, name).alias(f"_{name}") for name in fixed.SNIPPETS],
+    )
+    return found.select(
+        *others,
+        "has_text",
+        "advertisement_number",
+        parse_count(F.col("_vacancies")).alias("vacancies_total"),
+        parse_day_first(F.col("_start")).alias("application_start_date"),
+        parse_day_first(F.col("_end")).alias("application_end_date"),
+        *[clean(F.col(f"_{n}"), cap).alias(n) for n, (_, cap) in fixed.SNIPPETS.items()],
+    )

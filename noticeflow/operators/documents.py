@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from noticeflow.functions.documents import assembled_text, content_hash, is_pdf, ok_status
-from noticeflow.functions.fields import as_text, text_fields
+from noticeflow.functions.fields import with_text_fields
 from noticeflow.functions.text import non_blank, nz
 from noticeflow.functions.urls import safe_file_name
 
@@ -39,22 +39,12 @@ def document_texts(documents, document_dir="documents", keep=()):
     )
 
 
-def with_text_fields(texts):
-    """Replace `text` by the fields it yields.
+def document_fields(documents, document_dir="documents", keep=()):
+    """Usable documents with their fields instead of their text.
 
     Fields depend on the text alone, so they are taken once per document, before any
     candidate is joined; no text travels through a shuffle.
     """
-    others = [c for c in texts.columns if c != "text"]
-    lowered = texts.select(*others, "text", F.lower("text").alias("_low"))
-    fields = text_fields(as_text(F.col("text")))
-    fields["vacancies_total"] = fields["vacancies_total"].cast("bigint")
-    return lowered.select(
-        *others, (F.col("text") != "").alias("has_text"), *[c.alias(n) for n, c in fields.items()]
-    )
-
-
-def document_fields(documents, document_dir="documents", keep=()):
     return with_text_fields(document_texts(documents, document_dir, keep))
 
 
