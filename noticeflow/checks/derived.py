@@ -3,6 +3,8 @@
 Every table covers its source table whole and grows with it.
 """
 
+from noticeflow.sources.landed import spread
+
 NOTICES = r"""
 select o_orderkey as doc_id, concat(
   case o_orderkey % 4 when 0 then 'Advt. No. ' when 1 then 'Advertisement Number: ' when 2 then 'NOTIFICATION - ' else 'Vacancy circular ' end,
@@ -98,6 +100,7 @@ ALL = {
     "overlay_rows": OVERLAY,
 }
 _TABLE = {"bulletins": "documents"}
+_TEXTS = ("notices", "bulletins", "overlay_rows")
 
 
 def table(spark, sf_dir, name):
@@ -111,7 +114,8 @@ def derive(spark, name, source):
 
 
 def derived(spark, sf_dir, name):
-    return derive(spark, name, table(spark, sf_dir, _TABLE.get(name, "orders")))
+    source = table(spark, sf_dir, _TABLE.get(name, "orders"))
+    return derive(spark, name, spread(source) if name in _TEXTS else source)
 
 
 def cte(*names):

@@ -89,8 +89,7 @@ def s2_trust_rules(spark, sf_dir):
 
 @check("s3_pages", "select page_id, url as final_url, length(html) as n_chars from pages")
 def s3_pages(spark, sf_dir):
-    pages = landed.read_pages(spark, f"{sf_dir}/pages.parquet", "page_id bigint, url string, html string")
-    return pages.select("page_id", F.col("url").alias("final_url"), F.length("html").cast("bigint").alias("n_chars"))
+    return given_pages(spark, sf_dir).select("page_id", F.col("url").alias("final_url"), F.length("html").cast("bigint").alias("n_chars"))
 
 
 @check("s4_documents", "select doc_id, length(text) as n_read, n_chars from documents")
@@ -317,8 +316,12 @@ def f8_lookback(spark, sf_dir):
 
 # --- links ----------------------------------------------------------------
 
+def given_pages(spark, sf_dir):
+    return landed.read_pages(spark, f"{sf_dir}/pages.parquet", "page_id bigint, url string, html string")
+
+
 def l1_base(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    return given_pages(spark, sf_dir).select(
         "page_id", "url", F.posexplode(markup.anchors(F.col("html"))).alias("pos", "a")
     )
 
@@ -341,7 +344,7 @@ def l3_resolve(spark, sf_dir):
 
 
 def page_links(spark, sf_dir, words=WORDS, cap=fixed.LINKS_PER_PAGE):
-    found = table(spark, sf_dir, "pages").select(
+    found = given_pages(spark, sf_dir).select(
         "page_id", F.posexplode(links.page_links(F.col("url"), F.col("html"), words, cap)).alias("pos", "l")
     )
     return found.select("page_id", big("pos"), "l.text", "l.href")
@@ -374,7 +377,7 @@ _CANDIDATE_SQL = """source_name, url as source_url, text as title, '' as organis
 
 
 def named_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    return given_pages(spark, sf_dir).select(
         "page_id", F.col("url").alias("final_url"), "html", (F.col("page_id") % 7).cast("int").alias("source_ord"),
         urls.domain_of(F.col("url")).alias("source_name"),
     )
@@ -534,7 +537,8 @@ def x15_bulletins(spark, sf_dir):
 
 @check("x15_documents", f"select doc_id, {o.select_fields('text')} from documents")
 def x15_documents(spark, sf_dir):
-    return field_fn.with_text_fields(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("has_text")
+    texts = landed.read_documents(spark, f"{sf_dir}/documents.parquet", "doc_id bigint, text string")
+    return field_fn.with_text_fields(texts).drop("has_text")
 
 
 # --- overlay --------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import ascii_digits
+from noticeflow.functions.text import ascii_digits, let
 
 # two separators alike; day 1-31, month 1-12, year of four or two digits
 _SHAPE = (
@@ -10,17 +10,27 @@ _SHAPE = (
 )
 
 
-def parse_day_first(raw):
-    """d/m/Y, d-m-Y, d/m/y or d-m-y to a date; anything else, and year 0, to NULL.
+def day_first_parts(raw):
+    """[day, month, year] of d/m/Y, d-m-Y, d/m/y or d-m-y; NULL for anything else."""
+    return F.when(raw.rlike(_SHAPE), F.split(ascii_digits(raw), "[/-]"))
+
+
+def date_of_parts(parts):
+    """The date, or NULL where there is none, as for day 31 of June and for year 0.
 
     Two-digit years up to 68 belong to the 2000s, the others to the 1900s.
     """
-    parts = F.split(ascii_digits(raw), "[/-]")
     day, month, year = parts[0], parts[1], parts[2]
-    century = F.when(F.length(year) == 4, F.lit("")).otherwise(
-        F.when(year <= "68", F.lit("20")).otherwise(F.lit("19"))
+    century = (
+        F.when(F.length(year) == 4, F.lit(""))
+        .when(year <= "68", F.lit("20"))
+        .otherwise(F.lit("19"))
     )
     iso = F.concat(
         century, year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")
     )
-    return F.when(raw.rlike(_SHAPE) & (year != "0000"), iso.try_cast("date"))
+    return F.when(year != "0000", iso.try_cast("date"))
+
+
+def parse_day_first(raw):
+    return let(day_first_parts(raw), date_of_parts)

@@ -6,8 +6,8 @@ from operator import or_
 from pyspark.sql import functions as F
 
 from noticeflow import fixed
-from noticeflow.functions.dates import parse_day_first
-from noticeflow.functions.text import ascii_digits, collapse, java, let, nz
+from noticeflow.functions.dates import date_of_parts, day_first_parts, parse_day_first
+from noticeflow.functions.text import ascii_digits, collapse, java, nz
 
 # Letters whose case folds onto an ASCII letter without lower-casing to it: a text that
 # holds one is always handed to the patterns.
@@ -98,11 +98,11 @@ def vacancies(text):
 
 
 def start_date(text):
-    return let(start_text(text), parse_day_first)
+    return parse_day_first(start_text(text))
 
 
 def end_date(text):
-    return let(end_text(text), parse_day_first)
+    return parse_day_first(end_text(text))
 
 
 def snippet(text, name):
@@ -132,12 +132,17 @@ def with_text_fields(df, text="text"):
         end_text(t).alias("_end"),
         *[snippet_text(t, name).alias(f"_{name}") for name in fixed.SNIPPETS],
     )
-    return found.select(
+    split = found.select(
+        *[c for c in found.columns if c not in ("_start", "_end")],
+        day_first_parts(F.col("_start")).alias("_start"),
+        day_first_parts(F.col("_end")).alias("_end"),
+    )
+    return split.select(
         *others,
         "has_text",
         "advertisement_number",
         parse_count(F.col("_vacancies")).alias("vacancies_total"),
-        parse_day_first(F.col("_start")).alias("application_start_date"),
-        parse_day_first(F.col("_end")).alias("application_end_date"),
+        date_of_parts(F.col("_start")).alias("application_start_date"),
+        date_of_parts(F.col("_end")).alias("application_end_date"),
         *[clean(F.col(f"_{n}"), cap).alias(n) for n, (_, cap) in fixed.SNIPPETS.items()],
     )

@@ -28,9 +28,13 @@ def non_blank(c):
     return F.coalesce(c, F.lit("")) != ""
 
 
+# what collapsing changes: runs of two or more and single blanks other than a space
+_RUNS = rf"(?U)[{BLANK}&&[^ ]]{BLANK}*+| {BLANK}++"
+
+
 def collapse(c):
     """Runs of whitespace to one space, none at either end."""
-    return F.trim(F.regexp_replace(c, f"(?U){BLANK}+", " "))
+    return F.trim(F.regexp_replace(c, _RUNS, " "))
 
 
 def strip(c):
@@ -65,4 +69,5 @@ _DIGITS = _decimal_digits()
 
 def ascii_digits(c):
     """Decimal digits of any script as 0-9."""
-    return F.translate(c, *_DIGITS)
+    plain = F.octet_length(c) == F.length(c)
+    return F.when(plain, c).otherwise(F.translate(c, *_DIGITS))

@@ -6,18 +6,26 @@ from noticeflow.functions.documents import ok_status
 from noticeflow.schema import DOCUMENTS, PAGES
 
 
-def _reader(spark, streaming):
-    return spark.readStream if streaming else spark.read
+def spread(scan):
+    """A scan in fewer splits than there are cores, spread over all of them.
+
+    Text work costs far more than moving a small input once; an input with enough splits
+    is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def read_pages(spark, path, schema=PAGES, streaming=False):
     """Landed listing pages; `final_url` is the address after redirects."""
-    return _reader(spark, streaming).schema(schema).parquet(path)
+    if streaming:
+        return spark.readStream.schema(schema).parquet(path)
+    return spread(spark.read.schema(schema).parquet(path))
 
 
 def read_documents(spark, path, schema=DOCUMENTS):
     """Landed documents with their page texts."""
-    return spark.read.schema(schema).parquet(path)
+    return spread(spark.read.schema(schema).parquet(path))
 
 
 def read_blobs(spark, path):
