@@ -681,11 +681,12 @@ def k5_timestamps(spark, sf_dir):
 
 @check("k6_in_batch", _STORE_KEYED + """
 select fingerprint, salary, seq, n from (select *, row_number() over (partition by fingerprint order by seq desc) as rn, count(*) over (partition by fingerprint) as n
-  from keyed where batch = 1) where rn = 1""")
+  from keyed) where rn = 1""")
 def k6_in_batch(spark, sf_dir):
-    _, new = store_batches(spark, sf_dir)
-    sizes = new.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    return merge.latest_in_batch(new).join(sizes, "fingerprint").select("fingerprint", "salary", F.col("_seq").alias("seq"), "n")
+    old, new = store_batches(spark, sf_dir)
+    rows = old.unionByName(new)
+    sizes = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    return merge.latest_in_batch(rows).join(sizes, "fingerprint").select("fingerprint", "salary", F.col("_seq").alias("seq"), "n")
 
 
 @check("k7_json", """
