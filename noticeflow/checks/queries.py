@@ -280,7 +280,7 @@ def f2_is_pdf(spark, sf_dir):
 
 @check("f3_non_blank", "with " + o.ANCHORS + " select page_id, pos, text from anchors where text <> ''")
 def f3_non_blank(spark, sf_dir):
-    return l1_base(spark, sf_dir).filter(non_blank(F.col("a.text"))).select("page_id", big("pos"), "a.text")
+    return l1_base(spark, sf_dir).filter(non_blank(F.col("l.text"))).select("page_id", big("pos"), "l.text")
 
 
 @check("f4_keyword", f"""
@@ -321,33 +321,32 @@ def given_pages(spark, sf_dir):
 
 
 def l1_base(spark, sf_dir):
-    return given_pages(spark, sf_dir).select(
-        "page_id", "url", F.posexplode(markup.anchors(F.col("html"))).alias("pos", "a")
-    )
+    found = given_pages(spark, sf_dir).select("page_id", "url", markup.anchors(F.col("html")).alias("_anchors"))
+    return links.exploded(found, "_anchors", "page_id", "url")
 
 
 @check("l1_anchors", "with " + o.ANCHORS + " select page_id, pos, href from anchors")
 def l1_anchors(spark, sf_dir):
-    return l1_base(spark, sf_dir).select("page_id", big("pos"), "a.href")
+    return l1_base(spark, sf_dir).select("page_id", big("pos"), "l.href")
 
 
 @check("l2_anchor_text", "with " + o.ANCHORS + " select page_id, pos, text from anchors")
 def l2_anchor_text(spark, sf_dir):
-    return l1_base(spark, sf_dir).select("page_id", big("pos"), "a.text")
+    return l1_base(spark, sf_dir).select("page_id", big("pos"), "l.text")
 
 
 @check("l3_resolve", "with " + o.ANCHORS + " select page_id, pos, href from resolved")
 def l3_resolve(spark, sf_dir):
     return l1_base(spark, sf_dir).select(
-        "page_id", big("pos"), urls.resolve_url(F.col("url"), F.col("a.href")).alias("href")
+        "page_id", big("pos"), urls.resolve_url(F.col("url"), F.col("l.href")).alias("href")
     )
 
 
 def page_links(spark, sf_dir, words=WORDS, cap=fixed.LINKS_PER_PAGE):
     found = given_pages(spark, sf_dir).select(
-        "page_id", F.posexplode(links.page_links(F.col("url"), F.col("html"), words, cap)).alias("pos", "l")
+        "page_id", links.page_links(F.col("url"), F.col("html"), words, cap).alias("_links")
     )
-    return found.select("page_id", big("pos"), "l.text", "l.href")
+    return links.exploded(found, "_links", "page_id").select("page_id", big("pos"), "l.text", "l.href")
 
 
 @check("l4_first_seen", "with " + o.ANCHORS + ", " + o.kept("true") + " select page_id, pos, text, href from kept")
@@ -422,20 +421,6 @@ def d3_assemble(spark, sf_dir):
     return http_documents(spark, sf_dir).select("request_url", doc_fn.assembled_text(F.col("pages")).alias("text"))
 
 
-@check("d3_assemble_rows", r"""
-select concat('doc ', cast(l_orderkey as varchar)) as request_url,
-  regexp_replace(string_agg(chr(10) || '--- PAGE ' || cast(rn as varchar) || ' ---' || chr(10) || t, chr(10) order by rn), '^\s+|\s+$', '', 'g') as text
-from (select l_orderkey, 'line ' || cast(l_partkey as varchar) as t, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as rn from lineitem)
-group by l_orderkey""")
-def d3_assemble_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("doc "), F.col("l_orderkey").cast("string")).alias("request_url"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("page_no"),
-        F.concat(F.lit("line "), F.col("l_partkey").cast("string")).alias("page_text"),
-    )
-    return docs.assemble_pages(rows)
-
-
 @check("d4_lookup", _ATTACHED + """
 select doc_id, notification_url, coalesce(document_hash, '') as document_hash, coalesce(final_url, '') as final_url from attached""")
 def d4_lookup(spark, sf_dir):
@@ -868,6 +853,8 @@ def stream_upsert(spark, sf_dir):
     landing = (
         spark.readStream.schema(given).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
     )
+    # a micro-batch may be a single file
+    landing = landing.repartition(spark.sparkContext.defaultParallelism)
     fields = field_fn.with_text_fields(derive(spark, "notices", landing)).withColumns(
         {c: F.lit("") for c in ("organisation", "post_title", "fingerprint")}
         | {"publication_date": F.lit(None).cast("date"), "written_at": F.current_timestamp()}

@@ -11,19 +11,20 @@ from noticeflow.functions.text import collapse, let
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
 _OTHER_ATTRIBUTES = rf"(?:[\s/]++(?!href[\s=/>])[^\s=/>]++(?:\s*+=\s*+{_VALUE})?+|=)*+"
 _REST_OF_TAG = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+"""
+# what follows `<`: comments and raw text to skip, and the start of an anchor with a link
 _SKIPPED = (
-    r"<!--.*?(?:-->|\z)"
-    r"|<script(?=[\s/>])[^>]*+>.*?(?:</script[^>]*+>|\z)"
-    r"|<style(?=[\s/>])[^>]*+>.*?(?:</style[^>]*+>|\z)"
+    r"!--.*?(?:-->|\z)"
+    r"|script(?=[\s/>])[^>]*+>.*?(?:</script[^>]*+>|\z)"
+    r"|style(?=[\s/>])[^>]*+>.*?(?:</style[^>]*+>|\z)"
 )
-_OPEN = rf"<a{_OTHER_ATTRIBUTES}[\s/]++href(?=[\s=/>])"
+_OPEN = rf"a{_OTHER_ATTRIBUTES}[\s/]++href(?=[\s=/>])"
 # an anchor ends at its end tag, at the next anchor or with the text
-_INNER = rf"(?:[^<]++|{_SKIPPED}|<(?!/?a[\s/>]))*+"
+_INNER = rf"(?:[^<]++|<(?:{_SKIPPED}|(?!/?a[\s/>])))*+"
 
-_ANCHOR = rf"(?is){_SKIPPED}|{_OPEN}{_REST_OF_TAG}>{_INNER}"
-_HREF = rf"""(?is)^{_OPEN}(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?"""
-_START_TAG = rf"(?is)^{_OPEN}{_REST_OF_TAG}>"
-_TAG = rf"(?is){_SKIPPED}|</?[a-z!?]{_REST_OF_TAG}(?:>|\z)"
+_ANCHOR = rf"(?is)<(?:{_SKIPPED}|{_OPEN}{_REST_OF_TAG}>{_INNER})"
+_HREF = rf"""(?is)^<{_OPEN}(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?"""
+_START_TAG = rf"(?is)^<{_OPEN}{_REST_OF_TAG}>"
+_TAG = rf"(?is)<(?:{_SKIPPED}|/?[a-z!?]{_REST_OF_TAG}(?:>|\z))"
 _ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 _NAMED = "\n".join(f"{n}\t{chr(c)}" for n, c in {**name2codepoint, "apos": 39}.items())

@@ -31,7 +31,7 @@ _PLAIN_ABSOLUTE = (
 
 
 def _clean(url):
-    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
 
 
 def _part(url, group):

@@ -11,14 +11,6 @@ from noticeflow.functions.urls import safe_file_name
 _BLANK_KEYS = 4096
 
 
-def assemble_pages(page_rows, key="request_url"):
-    """One text per document from one row per page."""
-    pages = F.transform(
-        F.array_sort(F.collect_list(F.struct("page_no", "page_text"))), lambda p: p["page_text"]
-    )
-    return page_rows.groupBy(key).agg(assembled_text(pages).alias("text"))
-
-
 def usable(documents):
     """Fetched without an error status and a PDF by type or by name."""
     return documents.filter(

@@ -82,6 +82,16 @@ def application_link(text, href):
     ).otherwise(F.lit(""))
 
 
+def exploded(df, column, *keep):
+    """One row per array element as (pos, l).
+
+    The outer form, because the inner one makes the optimizer test the array's size below
+    the projection that computes it, which would parse every page again.
+    """
+    rows = df.select(*keep, F.posexplode_outer(column).alias("pos", "l"))
+    return rows.filter(F.col("pos").isNotNull())
+
+
 def discover_links(pages, keywords=fixed.KEYWORDS, limit=fixed.LINKS_PER_PAGE, keep=()):
     """Candidates of every page, in document order (`pos` from 0).
 
@@ -91,7 +101,7 @@ def discover_links(pages, keywords=fixed.KEYWORDS, limit=fixed.LINKS_PER_PAGE, k
         *keep, "source_name", "final_url",
         page_links(F.col("final_url"), F.col("html"), keywords, limit).alias("_links"),
     )
-    links = found.select(*keep, "source_name", "final_url", F.posexplode("_links").alias("pos", "l"))
+    links = exploded(found, "_links", *keep, "source_name", "final_url")
     text, href = F.col("l.text"), F.col("l.href")
     filled = {
         "source_name": F.col("source_name"),

@@ -10,13 +10,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeflow.operators.merge import combine_changes, latest_in_batch, upsert
+from noticeflow.plans.daily import candidates_of, keyed_records, working_rows
+from noticeflow.schema import conform
+from noticeflow.sources.landed import registered_pages
 from noticeflow.sources.scratch import stage
 from noticeflow.sources.store import read_store, store_schema, write_store
 
 _PREFIX = "batch="
+# order of rows within a batch
+ORDER = ("source_ord", "fetched_at", "pos")
 
 
-def change_writer(changes_path, order):
+def page_records(pages, sources, fields, conf, written_at):
+    """Keyed records of landed pages, stateless, as a stream if `pages` is one.
+
+    `fields` (one row per document) is joined by every micro-batch: pass a written table.
+    """
+    found = candidates_of(registered_pages(pages, sources), conf)
+    rows = working_rows(found.withColumn("_seq", F.struct(*ORDER)), fields, conf)
+    keyed = keyed_records(rows, conf).select("*", "_seq.*").drop("_seq")
+    return conform(keyed, keep=ORDER).withColumn("written_at", written_at)
+
+
+def change_writer(changes_path, order=ORDER):
     """`foreachBatch` function: the batch's latest records as change set `batch=<id>`.
 
     `order` names the columns that order rows within a batch; together with the batch
@@ -33,7 +49,7 @@ def change_writer(changes_path, order):
     return write
 
 
-def start_changes(records, changes_path, checkpoint_path, order, trigger=None):
+def start_changes(records, changes_path, checkpoint_path, order=ORDER, trigger=None):
     """Start the stream.  `records` is keyed and has `written_at` and the `order` columns."""
     return (
         records.writeStream.outputMode("append")
@@ -44,14 +60,14 @@ def start_changes(records, changes_path, checkpoint_path, order, trigger=None):
     )
 
 
-def seq_type(records, order):
+def seq_type(records, order=ORDER):
     fields = {f.name: f for f in records.schema.fields}
     return T.StructType(
         [T.StructField("batch_id", T.LongType()), *[fields[c] for c in order]]
     )
 
 
-def change_schema(records, order):
+def change_schema(records, order=ORDER):
     return store_schema(seq_type(records, order))
 
 

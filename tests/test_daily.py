@@ -12,6 +12,7 @@ from noticeflow.plans import daily
 from noticeflow.schema import DOCUMENTS, PAGES, conform
 from noticeflow.sources.landed import read_documents, read_pages, registered_pages
 from noticeflow.sources.registry import RunConfig, sources_df, trust_rules
+from noticeflow.sources.scratch import stage
 from noticeflow.sources.store import read_store
 from noticeflow.streaming import changes
 
@@ -141,15 +142,11 @@ def test_stream_equals_batch(spark, scratch):
     """Pages arriving in several micro-batches give the store of one batch over all of them."""
     land(spark, scratch)
     conf = config(scratch)
-    fields = daily.fields_by_url(read_documents(spark, conf.documents_path), conf).cache()
-    order = ["source_ord", "fetched_at", "pos"]
+    fields = stage(daily.fields_by_url(read_documents(spark, conf.documents_path), conf))
 
     def records(pages):
-        named = registered_pages(pages, sources_df(spark, SOURCES))
-        found = daily.candidates_of(named, conf).withColumn("_seq", F.struct(*order))
-        rows = daily.working_rows(found, fields, conf)
-        keyed = daily.keyed_records(rows, conf).select("*", "_seq.*").drop("_seq")
-        return conform(keyed, keep=order).withColumn("written_at", F.lit(AT).cast("timestamp"))
+        at = F.lit(AT).cast("timestamp")
+        return changes.page_records(pages, sources_df(spark, SOURCES), fields, conf, at)
 
     landing = f"{scratch}/landing"
     pages = read_pages(spark, conf.pages_path)
@@ -160,13 +157,13 @@ def test_stream_equals_batch(spark, scratch):
             pages.filter(F.col("request_url") == url).coalesce(1).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", 1).parquet(landing)
         batch_records = records(stream)
-        schema = changes.change_schema(batch_records, order)
-        changes.start_changes(batch_records, f"{scratch}/changes", f"{scratch}/cp", order).awaitTermination()
+        schema = changes.change_schema(batch_records)
+        changes.start_changes(batch_records, f"{scratch}/changes", f"{scratch}/cp").awaitTermination()
         changes.fold_changes(spark, f"{scratch}/streamed", f"{scratch}/changes", schema)
     streamed = read_store(spark, f"{scratch}/streamed", schema)
     assert streamed.select("_seq.batch_id").distinct().count() > 1
     whole = merge.latest_in_batch(
-        records(read_pages(spark, conf.pages_path)).withColumn("_seq", F.struct(*order)).drop(*order)
+        records(read_pages(spark, conf.pages_path)).withColumn("_seq", F.struct(*changes.ORDER)).drop(*changes.ORDER)
     )
     plain = lambda df: {r.fingerprint: {k: v for k, v in r.asDict().items() if k not in ("_seq",)} for r in df.select(*schema.names).collect()}
     assert plain(streamed) == plain(whole)
