@@ -24,8 +24,8 @@ def page_audit(pages):
     )
 
 
-def row_audit(rows, answers_on=None):
-    """Candidates, their documents, and what became of the overlay where `answer_valid` is carried."""
+def row_audit(rows):
+    """Candidates, their documents, and rejected answers where an overlay was applied."""
     wants = F.coalesce(F.col("candidate.notification_url"), F.lit("")) != ""
     found = F.col("document.document_hash") != ""
     stages = {
@@ -35,7 +35,7 @@ def row_audit(rows, answers_on=None):
         "documents_unreadable": found & ~F.col("document.has_text"),
     }
     if "answer_valid" in rows.columns:
-        stages["overlay_rejected"] = ~F.col("answer_valid")
+        stages["overlay_rejected"] = F.col("answer_valid") == F.lit(False)
     return stage_counts(rows, F.col("candidate.source_name"), stages)
 
 

@@ -108,12 +108,14 @@ def overlay_applies(has_text, enabled):
 def overlay(rows, answers, on, enabled=True):
     """A valid answer replaces the whole record; without one the extracted record stays.
 
-    `answers` has at most one row per key.
+    `answers` has at most one row per key.  Adds `answer_valid` (NULL without an answer).
     """
     if not enabled:
         return rows
-    good = answers.filter("valid").select(*on, F.col("record").alias("_answer"))
-    joined = rows.join(good, list(on), "left")
+    known = answers.select(
+        *on, F.col("valid").alias("answer_valid"), F.when(F.col("valid"), F.col("record")).alias("_answer")
+    )
+    joined = rows.join(known, list(on), "left")
     take = F.col("_answer").isNotNull() & overlay_applies(F.col("document.has_text"), enabled)
     return joined.withColumn(
         "record", F.when(take, F.col("_answer")).otherwise(F.col("record"))

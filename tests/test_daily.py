@@ -115,7 +115,8 @@ def test_overlay_round_trip(spark, scratch):
             good = '"source_name":"Alpha"' in r.request
             answer = '{"organisation":"Org","post_title":"Given"}' if good else '{"organisation":7}'
             f.write(json.dumps({"request_id": r.request_id, "response": answer}) + "\n")
-    daily.update_store(spark, conf, AT)
+    audit = {(r.source_name, r.stage): r.n for r in daily.update_store(spark, conf, AT).collect()}
+    assert audit[("Beta", "overlay_rejected")] == 1 and audit[("Alpha", "overlay_rejected")] == 0
     rows = {(r.source_name, r.post_title): r for r in read_store(spark, conf.store_path).collect()}
     given = rows[("", "Given")]
     assert given.organisation == "Org" and given.extraction_confidence == 0.0
