@@ -2,35 +2,22 @@
 
 from pyspark.sql import functions as F
 
-from noticeflow.functions.text import ascii_digits, let
+from noticeflow.functions.text import ascii_digits
 
-# two separators alike; day 1-31, month 1-12, year of four or two digits
-_SHAPE = (
-    r"(?U)^(?:3[0-1]|[1-2]\d|0[1-9]|[1-9])([/-])(?:1[0-2]|0[1-9]|[1-9])\1(?:\d{4}|\d{2})$"
-)
+_DAY_MONTH = r"(3[0-1]|[1-2]\d|0[1-9]|[1-9])([/-])(1[0-2]|0[1-9]|[1-9])\2"
+_ANY_DIGITS = rf"(?U)^{_DAY_MONTH}(?:\d{{4}}|\d{{2}})$"
+# year pattern and century of each form; year 0 has none
+_FORMS = ((r"(?!0000)\d{4}", ""), (r"[0-5]\d|6[0-8]", "20"), (r"69|[7-9]\d", "19"))
 
 
-def day_first_parts(raw):
-    """[day, month, year] of d/m/Y, d-m-Y, d/m/y or d-m-y; NULL for anything else."""
-    return F.when(raw.rlike(_SHAPE), F.split(ascii_digits(raw), "[/-]"))
-
-
-def date_of_parts(parts):
-    """The date, or NULL where there is none, as for day 31 of June and for year 0.
+def parse_day_first(raw):
+    """d/m/Y, d-m-Y, d/m/y or d-m-y to a date; anything else, and year 0, to NULL.
 
-    Two-digit years up to 68 belong to the 2000s, the others to the 1900s.
+    Two-digit years up to 68 belong to the 2000s, the others to the 1900s.  Each form is
+    rewritten to year-month-day; what is left as it was is no date in that order.
     """
-    day, month, year = parts[0], parts[1], parts[2]
-    century = (
-        F.when(F.length(year) == 4, F.lit(""))
-        .when(year <= "68", F.lit("20"))
-        .otherwise(F.lit("19"))
-    )
-    iso = F.concat(
-        century, year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")
-    )
-    return F.when(year != "0000", iso.try_cast("date"))
-
-
-def parse_day_first(raw):
-    return let(day_first_parts(raw), date_of_parts)
+    plain = F.octet_length(raw) == F.length(raw)
+    text = F.when(plain, raw).when(raw.rlike(_ANY_DIGITS), ascii_digits(raw))
+    for year, century in _FORMS:
+        text = F.regexp_replace(text, rf"^{_DAY_MONTH}({year})$", rf"{century}$4-$3-$1")
+    return text.try_cast("date")

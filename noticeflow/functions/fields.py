@@ -6,8 +6,8 @@ from operator import or_
 from pyspark.sql import functions as F
 
 from noticeflow import fixed
-from noticeflow.functions.dates import date_of_parts, day_first_parts, parse_day_first
-from noticeflow.functions.text import ascii_digits, collapse, java, nz
+from noticeflow.functions.dates import parse_day_first
+from noticeflow.functions.text import ascii_digits, collapse, java, let, nz
 
 # Letters whose case folds onto an ASCII letter without lower-casing to it: a text that
 # holds one is always handed to the patterns.
@@ -41,7 +41,7 @@ def as_text(c):
 
 
 def advert_number(text):
-    return text.capture(java(fixed.ADVERT_NUMBER), 1, ("advt", "advertisement", "notification"))
+    return text.capture(java(fixed.ADVERT_NUMBER), 1, ("adv", "notification"))
 
 
 def vacancies_text(text):
@@ -117,7 +117,8 @@ def confidence():
 def with_text_fields(df, text="text"):
     """Replace a text column by `has_text` and all fields the text yields.
 
-    Taken in steps, so that each pattern runs once and every step stays compiled.
+    Taken in steps, so that each pattern runs once.  `let` ends the fused code before the
+    last step: fused with the captures it would outgrow what the JVM compiles.
     """
     others = [c for c in df.columns if c != text]
     t = as_text(F.col(text))
@@ -132,17 +133,12 @@ def with_text_fields(df, text="text"):
         end_text(t).alias("_end"),
         *[snippet_text(t, name).alias(f"_{name}") for name in fixed.SNIPPETS],
     )
-    split = found.select(
-        *[c for c in found.columns if c not in ("_start", "_end")],
-        day_first_parts(F.col("_start")).alias("_start"),
-        day_first_parts(F.col("_end")).alias("_end"),
-    )
-    return split.select(
+    return found.select(
         *others,
         "has_text",
         "advertisement_number",
         parse_count(F.col("_vacancies")).alias("vacancies_total"),
-        date_of_parts(F.col("_start")).alias("application_start_date"),
-        date_of_parts(F.col("_end")).alias("application_end_date"),
+        let(F.col("_start"), parse_day_first).alias("application_start_date"),
+        let(F.col("_end"), parse_day_first).alias("application_end_date"),
         *[clean(F.col(f"_{n}"), cap).alias(n) for n, (_, cap) in fixed.SNIPPETS.items()],
     )
