@@ -52,7 +52,7 @@ def config(base, **more):
 
 
 def fp(advert, title, org="", day=""):
-    return hashlib.sha256("|".join([org, advert, title, day]).lower().encode()).hexdigest()
+    return hashlib.sha256(f"{org}|{advert}|{title}|{day}".lower().encode()).hexdigest()
 
 
 def test_run_and_report(spark, scratch):

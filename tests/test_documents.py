@@ -53,7 +53,7 @@ def test_pdf_and_status(spark):
 def test_page_assembly(spark):
     df = spark.createDataFrame([(["  a ", "", "c\n"],), (None,), ([],)], "p array<string>")
     texts = [r.t for r in df.select(fn.assembled_text(F.col("p")).alias("t")).collect()]
-    whole = "\n".join(f"\n--- PAGE {i} ---\n{t}" for i, t in enumerate(["  a ", "", "c\n"], 1)).strip()
+    whole = "--- PAGE 1 ---\n  a \n\n--- PAGE 2 ---\n\n\n--- PAGE 3 ---\nc"
     assert texts == [whole, "", ""]
 
 

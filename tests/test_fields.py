@@ -1,5 +1,5 @@
 import re
-from datetime import date, datetime
+from datetime import date
 
 import pytest
 from hypothesis import HealthCheck, Phase, given, settings
@@ -86,34 +86,42 @@ def test_whitespace(spark):
     assert apply(spark, ["  ÀB\xa0", None], norm) == ["àb", ""]
 
 
-def expected(text):
-    """The rules, applied one text at a time."""
-
-    def first(labels):
-        for label in labels:
-            m = re.search(label + fixed.DATE_GAP + fixed.DATE, text, re.I | re.S)
-            if m:
-                for shape in ("%d/%m/%Y", "%d-%m-%Y", "%d/%m/%y", "%d-%m-%y"):
-                    try:
-                        return datetime.strptime(m[1], shape).date()
-                    except ValueError:
-                        pass
-                return None
+def day_first(token):
+    found = re.fullmatch(r"(\d+)([/-])(\d+)\2(\d{4}|\d{2})", token)
+    if found is None:
+        return None
+    day, month, year = (int(found[i]) for i in (1, 3, 4))
+    if len(found[4]) == 2:
+        year += 2000 if year <= 68 else 1900
+    try:
+        return date(year, month, day)
+    except ValueError:
         return None
 
-    advert = re.search(fixed.ADVERT_NUMBER, text, re.I)
-    count = re.search(fixed.VACANCIES, text, re.I)
-    row = {
-        "has_text": text != "",
-        "advertisement_number": advert[1] if advert else "",
-        "vacancies_total": int(count[1].replace(",", "")) if count else None,
-        "application_start_date": first(fixed.START_LABELS),
-        "application_end_date": first(fixed.END_LABELS),
+
+def expected(text):
+    """What the patterns give for one text, found with the standard library."""
+
+    def find(pattern, group, flags="(?is)"):
+        hit = re.compile(flags + pattern).search(text)
+        return hit.group(group) if hit else ""
+
+    def labelled(labels):
+        tokens = [find(label + fixed.DATE_GAP + fixed.DATE, 1) for label in labels]
+        return day_first(next(filter(None, tokens), ""))
+
+    digits = find(fixed.VACANCIES, 1, "(?i)").replace(",", "")
+    snippets = {
+        name: " ".join(find(pattern, 0).split())[:cap]
+        for name, (pattern, cap) in fixed.SNIPPETS.items()
+    }
+    return snippets | {
+        "has_text": bool(text),
+        "advertisement_number": find(fixed.ADVERT_NUMBER, 1, "(?i)"),
+        "vacancies_total": int(digits) if digits else None,
+        "application_start_date": labelled(fixed.START_LABELS),
+        "application_end_date": labelled(fixed.END_LABELS),
     }
-    for name, (pattern, cap) in fixed.SNIPPETS.items():
-        m = re.search(pattern, text, re.I | re.S)
-        row[name] = " ".join(m[0].split())[:cap] if m else ""
-    return row
 
 
 word = st.sampled_from(
