@@ -15,6 +15,7 @@ from noticeflow.operators import audit, links, merge, overlay, records
 from noticeflow.operators import documents as docs
 from noticeflow.operators import report as rep
 from noticeflow.plans import daily
+from noticeflow.schema import conform
 from noticeflow.sources import landed, registry, scratch, store
 from noticeflow.streaming import changes
 
@@ -129,8 +130,6 @@ def merged_store(spark, sf_dir):
 
 def full_store(spark, sf_dir):
     """The merged store with all record columns."""
-    from noticeflow.schema import conform
-
     return conform(merged_store(spark, sf_dir), keep=("created_at", "updated_at", "_seq"))
 
 
@@ -528,7 +527,6 @@ def x15_documents(spark, sf_dir):
 
 # --- overlay --------------------------------------------------------------
 
-_JSON_TEXT = "'\"' || {0} || '\"'"
 _CANDIDATE_JSON = "'{\"source_name\":\"' || source_name || '\",\"source_url\":\"' || source_url || '\",\"title\":\"' || title || '\",\"organisation\":\"\",\"post\":\"\",\"published_date\":null,\"last_date\":null,\"notification_url\":\"' || notification_url || '\",\"application_url\":\"' || application_url || '\",\"discovery_text\":\"\"}'"
 
 
@@ -536,8 +534,8 @@ _CANDIDATE_JSON = "'{\"source_name\":\"' || source_name || '\",\"source_url\":\"
  || chr(10) || 'DOCUMENT:' || chr(10) || substr(text, 1, 120000) as request from candidates c join documents d on c.doc_id = d.doc_id""")
 def a1_request(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = derived(spark, sf_dir, "candidates").join(texts, "doc_id").withColumn("document", F.lit(None).cast("struct<x:int>"))
-    rows = records.as_rows(found.withColumn("document", F.struct("text")), ("doc_id",))
+    found = derived(spark, sf_dir, "candidates").join(texts, "doc_id").withColumn("document", F.struct("text"))
+    rows = records.as_rows(found, ("doc_id",))
     return overlay.extraction_requests(rows.withColumn("text", F.col("document.text")), ["doc_id"])
 
 
@@ -860,8 +858,6 @@ def stream_upsert(spark, sf_dir):
         | {"publication_date": F.lit(None).cast("date"), "written_at": F.current_timestamp()}
     )
     keyed = merge.with_key(fields)
-    from noticeflow.schema import conform
-
     records_stream = conform(keyed, keep=("doc_id", "written_at"))
     schema = changes.change_schema(records_stream, ["doc_id"])
     changes.start_changes(records_stream, f"{base}/changes", f"{base}/checkpoint", ["doc_id"]).awaitTermination()
