@@ -309,7 +309,7 @@ def f6_overlay_applies(spark, sf_dir):
 @check("f8_lookback", """
 select event_id, user_id from events where ts >= timestamp '2024-01-14 12:00:00' and ts <= timestamp '2024-01-15 12:00:00'""")
 def f8_lookback(spark, sf_dir):
-    since, until = (F.lit(datetime(2024, 1, d, 12)).cast("timestamp_ntz") for d in (14, 15))
+    since, until = (F.lit(f"2024-01-{d} 12:00:00").cast("timestamp_ntz") for d in (14, 15))
     return landed.in_lookback(table(spark, sf_dir, "events"), "ts", since, until).select("event_id", "user_id")
 
 
