@@ -279,8 +279,10 @@ def _across(rows, leaders):
 
 def candidates(sketched):
     """Distinct links (a: leader, b: member) to verify, from rows (node, bands, sketch) with distinct nodes."""
-    rows = sketched.filter("bands is not null").select("node", "sketch", F.posexplode("bands").alias("band", "bucket"))
-    rows = stage(_in_chunks(rows.select("band", "bucket", "node", "sketch")))
+    # Most texts are alone in their buckets: sketches join the rest only.
+    met = sketched.filter("bands is not null").select("node", F.posexplode("bands").alias("band", "bucket"))
+    met = stage(_in_chunks(met.select("band", "bucket", "node")))
+    rows = stage(met.join(sketched.select("node", "sketch"), "node"))
     found = stage(_lead_chunks(rows))
     links = [found.filter("member is not null").select(F.col("node").alias("a"), F.col("member").alias("b"))]
     # Leaders of different chunks are led in turn, as long as that leaves clearly fewer of them.
@@ -383,7 +385,7 @@ def classify(docs):
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "n"))
     nodes = per_id.groupBy("node").agg(least.alias("m"), F.sum("n").alias("copies"))
     nodes = stage(nodes.select("node", F.col("m.doc_id").alias("first"), F.col("m.n").alias("same"), "copies"))
-    distinct = known.select("node", "bands", "sketch").dropDuplicates(["node"])
+    distinct = stage(known.select("node", "bands", "sketch").dropDuplicates(["node"]))
     links = candidates(distinct)
     near = verified(links, rows.filter("node is not null"), nodes, idf)
     joined = components(stage(near.select("a", "b").distinct()))
