@@ -11,19 +11,20 @@ are averaged, weighted by their words, in two rounds of half the texts each.
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import slices, word_hashes
+from noticeflow.llm.common import slices
 
-WORDS, BUCKETS = 1536, 511
-CLASSES, PER_CLASS = 64, 32
+WORDS, BUCKETS = 768, 255
+CLASSES, PER_CLASS = 32, 32
 SIZE = CLASSES * PER_CLASS
 #: The number that stands before the first and after the last word.
 EDGE = SIZE - 1
 AROUND = (-2, -1, 1, 2)
-WIDTH = 24
+WIDTH = 16
 ROUNDS = 2
-BATCH, RATE = 4096, 0.15
+BATCH, RATE = 8192, 0.15
 _PARTS = 64
 
 
@@ -49,11 +50,19 @@ def word_counts(texts):
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Coder:
-    """Numbers of words: the most frequent WORDS by rank, others by hash bucket."""
+class Coder(dict):
+    """Numbers of words: the most frequent WORDS by rank, others by hash bucket (kept for a while)."""
 
     def __init__(self, words):
-        self.of = {w: i for i, w in enumerate(words)}
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.own = dict(self)
+
+    def __missing__(self, word):
+        if len(self) > 400_000:
+            self.clear()
+            self.update(self.own)
+        self[word] = out = self.own.get(word, WORDS + xxhash.xxh3_64_intdigest(word) % BUCKETS)
+        return out
 
     def line(self, texts):
         """All texts in one line with edges between them; places of the words, and the text of each."""
@@ -61,10 +70,7 @@ class Coder:
         for k, t in enumerate(texts):
             words = (t or "").encode().split()
             if words:
-                ids = np.fromiter((self.of.get(w, -1) for w in words), np.int32, len(words))
-                other = np.flatnonzero(ids < 0)
-                if len(other):
-                    ids[other] = WORDS + (word_hashes([words[i] for i in other]) % np.uint64(BUCKETS)).astype(np.int32)
+                ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
                 parts += [ids, np.full(2, EDGE, np.int32)]
                 owner += [np.full(len(ids), k, np.int32), np.full(2, -1, np.int32)]
         line, owner = np.concatenate(parts), np.concatenate(owner)
