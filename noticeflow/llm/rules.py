@@ -191,7 +191,8 @@ def fit(rows, share=SHARE, steps=STEPS, least_rows=LEAST_ROWS):
     for _ in range(steps):
         sums = [F.sum(f).alias(f"s_{i}") for i, f in enumerate(FEATURES)]
         sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p_{i}_{j}") for i in range(_D) for j in range(i + 1)]
-        classes = base.join(models, "k").groupBy("k", cls.alias("cls")).agg(F.count("*").alias("n"), *sums)
+        # Written by group and class, so that the sums of all tasks meet before a group does.
+        classes = stage(base.join(models, "k").groupBy("k", cls.alias("cls")).agg(F.count("*").alias("n"), *sums))
         models = stage(classes.groupBy("k").applyInPandas(_estimate(share), schema))
     return rows.join(models.withColumnRenamed("k", "g"), "g")
 
