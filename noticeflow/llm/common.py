@@ -92,11 +92,12 @@ def ranked(df, key, name="rank", salts=64):
     The rows are written once, so that their numbers hold whatever is recomputed.  A hot key is
     ranked in `salts` parts by different tasks; only counts per part are summed up per key.
     """
-    df = stage(df.withColumn("_row", F.monotonically_increasing_id()))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy(key, "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy(key, "_salt").orderBy("_row")) - 1
-    out = salted.withColumn("_within", within).join(starts, [key, "_salt"])
-    return out.select(*[c for c in df.columns if c != "_row"], (F.col("_start") + F.col("_within")).alias(name))
+    # The rows travel as one value, so that their column names can't clash with those used here.
+    own = stage(df.select(F.struct(*df.columns).alias("_rows"), F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row")))
+    salted = own.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("_key", "_salt").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_key", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_key", "_salt").orderBy("_row")) - 1
+    out = salted.withColumn("_within", within).join(starts, ["_key", "_salt"])
+    return out.select("_rows.*", (F.col("_start") + F.col("_within")).alias(name))
