@@ -3,7 +3,6 @@
 Every table covers its source table whole and grows with it.
 """
 
-from noticeflow.sources.landed import spread
 
 NOTICES = r"""
 select o_orderkey as doc_id, concat(
@@ -115,7 +114,7 @@ def derive(spark, name, source):
 
 def derived(spark, sf_dir, name):
     source = table(spark, sf_dir, _TABLE.get(name, "orders"))
-    return derive(spark, name, spread(source) if name in _TEXTS else source)
+    return derive(spark, name, source.repartition(spark.sparkContext.defaultParallelism) if name in _TEXTS else source)
 
 
 def cte(*names):

@@ -103,3 +103,41 @@ DETAIL_LABELS = (
     ("Source verification", "#verification"),
     ("Extraction confidence", "#confidence"),
 )
+
+# --- record: its columns in order, with their types -------------------------
+RECORD_FIELDS = (
+    ("organisation", "string"),
+    ("ministry_department", "string"),
+    ("recruiting_body", "string"),
+    ("post_title", "string"),
+    ("vacancies_total", "bigint"),
+    ("advertisement_number", "string"),
+    ("notification_number", "string"),
+    ("publication_date", "date"),
+    ("updated_date", "date"),
+    ("application_start_date", "date"),
+    ("application_end_date", "date"),
+    ("qualification", "string"),
+    ("experience", "string"),
+    ("age_limit", "string"),
+    ("age_relaxation", "string"),
+    ("pay_scale", "string"),
+    ("pay_level", "string"),
+    ("salary", "string"),
+    ("category_requirements", "string"),
+    ("application_fee", "string"),
+    ("application_url", "string"),
+    ("notification_url", "string"),
+    ("official_source_url", "string"),
+    ("official_domain", "string"),
+    ("important_instructions", "array<string>"),
+    ("selection_process", "string"),
+    ("job_location", "string"),
+    ("source_name", "string"),
+    ("source_verified", "boolean"),
+    ("extraction_confidence", "double"),
+    ("fingerprint", "string"),
+    ("document_hash", "string"),
+    ("source_document", "string"),
+    ("notes", "string"),
+)

@@ -41,12 +41,15 @@ def as_text(c):
 
 
 def advert_number(text):
-    return text.capture(java(fixed.ADVERT_NUMBER), 1, ("adv", "notification"))
+    # what follows a gap is never a blank, so gaps needn't give any back
+    pattern = java(fixed.ADVERT_NUMBER.replace(r"\s*", r"\s*+"))
+    return text.capture(pattern, 1, ("adv", "notification"))
 
 
 def vacancies_text(text):
     # a run of digits and commas never needs to give anything back to the blank after it
-    pattern = java(fixed.VACANCIES.replace(r"[\d,]*", r"[\d,]*+"))
+    # and a later digit of a run matches only where its first one does
+    pattern = java(r"(?<!\d)(?<!\d,)" + fixed.VACANCIES.replace(r"[\d,]*", r"[\d,]*+").replace(r"\s+", r"\s++"))
     return text.capture(pattern, 1, ("vacancies", "posts", "positions"))
 
 

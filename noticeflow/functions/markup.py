@@ -25,7 +25,7 @@ _ANCHOR = rf"(?is)<(?:{_SKIPPED}|{_OPEN}{_REST_OF_TAG}>{_INNER})"
 _HREF = rf"""(?is)^<{_OPEN}(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?"""
 _START_TAG = rf"(?is)^<{_OPEN}{_REST_OF_TAG}>"
 _TAG = rf"(?is)<(?:{_SKIPPED}|/?[a-z!?]{_REST_OF_TAG}(?:>|\z))"
-_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_ENTITY = r"&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]*);"
 
 _NAMED = "\n".join(f"{n}\t{chr(c)}" for n, c in {**name2codepoint, "apos": 39}.items())
 

@@ -38,7 +38,7 @@ def collapse(c):
 
 
 def strip(c):
-    return F.regexp_replace(c, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+    return F.regexp_replace(c, rf"(?U)\A{BLANK}++|(?<!{BLANK}){BLANK}++\z", "")
 
 
 def norm(c):

@@ -17,8 +17,8 @@ def stage_counts(df, source, stages):
 
 
 def page_audit(pages):
-    """Pages read and pages dropped for an error status."""
-    ok = ok_status(F.col("status"))
+    """Pages read and pages dropped for an error status, or for none: the fetch was never answered."""
+    ok = F.coalesce(ok_status(F.col("status")), F.lit(False))
     return stage_counts(
         pages, F.col("source_name"), {"pages_ok": ok, "pages_failed": ~ok}
     )

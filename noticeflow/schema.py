@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticeflow import fixed
+
 _S, _D = T.StringType(), T.DateType()
 
 CANDIDATE = T.StructType(
@@ -21,26 +23,16 @@ CANDIDATE = T.StructType(
 )
 
 
-def _typed(kind, *names):
-    return [T.StructField(name, kind) for name in names]
-
+_KINDS = {
+    "string": _S,
+    "bigint": T.LongType(),
+    "date": _D,
+    "array<string>": T.ArrayType(_S),
+    "boolean": T.BooleanType(),
+    "double": T.DoubleType(),
+}
 
-RECORD = T.StructType(
-    _typed(_S, "organisation", "ministry_department", "recruiting_body", "post_title")
-    + _typed(T.LongType(), "vacancies_total")
-    + _typed(_S, "advertisement_number", "notification_number")
-    + _typed(_D, "publication_date", "updated_date")
-    + _typed(_D, "application_start_date", "application_end_date")
-    + _typed(_S, "qualification", "experience", "age_limit", "age_relaxation")
-    + _typed(_S, "pay_scale", "pay_level", "salary")
-    + _typed(_S, "category_requirements", "application_fee")
-    + _typed(_S, "application_url", "notification_url", "official_source_url", "official_domain")
-    + _typed(T.ArrayType(_S), "important_instructions")
-    + _typed(_S, "selection_process", "job_location", "source_name")
-    + _typed(T.BooleanType(), "source_verified")
-    + _typed(T.DoubleType(), "extraction_confidence")
-    + _typed(_S, "fingerprint", "document_hash", "source_document", "notes")
-)
+RECORD = T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in fixed.RECORD_FIELDS])
 
 PAGES = T.StructType(
     [

@@ -6,26 +6,16 @@ from noticeflow.functions.documents import ok_status
 from noticeflow.schema import DOCUMENTS, PAGES
 
 
-def spread(scan):
-    """A scan in fewer splits than there are cores, spread over all of them.
-
-    Text work costs far more than moving a small input once; an input with enough splits
-    is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_pages(spark, path, schema=PAGES, streaming=False):
     """Landed listing pages; `final_url` is the address after redirects."""
     if streaming:
         return spark.readStream.schema(schema).parquet(path)
-    return spread(spark.read.schema(schema).parquet(path))
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_documents(spark, path, schema=DOCUMENTS):
     """Landed documents with their page texts."""
-    return spread(spark.read.schema(schema).parquet(path))
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_blobs(spark, path):
@@ -43,11 +33,12 @@ def in_lookback(df, ts, since, until):
 
 
 def registered_pages(pages, sources):
-    """Pages of registered sources with name and order; the registry side is small by its own size."""
-    return pages.join(
-        sources.select("source_ord", "source_name", F.col("source_url").alias("request_url")),
-        "request_url",
-    )
+    """Pages of registered sources with name and order.
+
+    The registry is a list the driver was started with, so it is broadcast and no page is shuffled.
+    """
+    registry = sources.select("source_ord", "source_name", F.col("source_url").alias("request_url"))
+    return pages.join(F.broadcast(registry), "request_url")
 
 
 def good_pages(pages):

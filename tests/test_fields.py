@@ -1,4 +1,5 @@
 import re
+import time
 from datetime import date
 
 import pytest
@@ -155,3 +156,13 @@ def test_derived_texts_follow_the_rules(spark, sf_dir, table):
     want = {r.doc_id: expected(r.text) for r in texts.collect()}
     got = {r.doc_id: r.asDict() for r in fields.with_text_fields(texts).collect()}
     assert {k: {**v, "doc_id": k} for k, v in want.items()} == got
+
+
+def test_long_runs_take_linear_time(spark):
+    texts = ["Notification" + " " * 100_000 + "!", "a" + " " * 100_000 + "b", "1" * 100_000, "1," * 50_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    start = time.time()
+    got = fields.with_text_fields(df).collect()
+    sizes = [r[0] for r in df.select(F.length(strip(F.col("text")))).collect()]
+    assert time.time() - start < 30 and len(got) == 4
+    assert sizes == [100_013, 100_002, 100_000, 100_000]

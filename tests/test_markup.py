@@ -48,3 +48,10 @@ def test_entities(spark):
     df = spark.createDataFrame([("&eacute;&#233;&#xE9;&#x1F600;&apos;&#0;&#xD800;&;&amp;amp;",)], "t string")
     got = df.select(decode_entities(F.col("t")).alias("v")).first().v
     assert got == "ééé😀'&#0;&#xD800;&;&amp;"
+
+
+def test_references_of_any_length(spark):
+    from noticeflow.functions.markup import decode_entities
+
+    df = spark.createDataFrame([("&#00000065;&#x0000000041;&#99999999999999999999;",)], "t string")
+    assert df.select(decode_entities(df.t)).first()[0] == "AA&#99999999999999999999;"
