@@ -9,6 +9,8 @@ Training runs on all texts: every task trains a copy of the network on its part
 are averaged, weighted by their words, in two rounds of half the texts each.
 """
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,15 +35,14 @@ def word_counts(texts):
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
-        counts = {}
+        counts = Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=schema)
 
         for batch in slices(batches):
             for t in batch.column("text").to_pylist():
-                for w in (t or "").encode().split():
-                    counts[w] = counts.get(w, 0) + 1
+                counts.update((t or "").encode().split())
             if len(counts) > 500_000:
                 yield out()
                 counts.clear()
@@ -100,10 +101,17 @@ class Network:
 
     @staticmethod
     def _softmax(z):
-        z = z - z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(axis=1, keepdims=True)
-        return e / s, z - np.log(s)
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
+
+    @staticmethod
+    def _log_of(z, chosen):
+        """Log of the softmax of each row at its chosen column."""
+        z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(z)), chosen]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
 
     def log_probs(self, line, at):
         """Log-probability of the word at each place, given the words around it."""
@@ -113,12 +121,12 @@ class Network:
             a = at[i : i + 4 * BATCH]
             h, word = self.hidden(line, a), line[a]
             cls, rest = np.divmod(word, PER_CLASS)
-            lp = self._softmax(h @ wc + bc)[1][np.arange(len(a)), cls].astype(np.float64)
+            lp = self._log_of(h @ wc + bc, cls).astype(np.float64)
             order = np.argsort(cls, kind="stable")
             ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
             for c in np.flatnonzero(np.diff(ends)):
                 rows = order[ends[c] : ends[c + 1]]
-                lp[rows] += self._softmax(h[rows] @ ww[c] + bw[c])[1][np.arange(len(rows)), rest[rows]]
+                lp[rows] += self._log_of(h[rows] @ ww[c] + bw[c], rest[rows])
             out[i : i + len(a)] = lp
         return out
 
@@ -136,7 +144,7 @@ class Network:
             h, word = self.hidden(line, a), line[a]
             cls, rest = np.divmod(word, PER_CLASS)
             scale = np.float32(1 / len(a))
-            d = self._softmax(h @ wc + bc)[0]
+            d = self._softmax(h @ wc + bc)
             d[np.arange(len(a)), cls] -= 1
             d *= scale
             dh = d @ wc.T
@@ -144,7 +152,7 @@ class Network:
             ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
             for c in np.flatnonzero(np.diff(ends)):
                 rows = order[ends[c] : ends[c + 1]]
-                e = self._softmax(h[rows] @ ww[c] + bw[c])[0]
+                e = self._softmax(h[rows] @ ww[c] + bw[c])
                 e[np.arange(len(rows)), rest[rows]] -= 1
                 e *= scale
                 dh[rows] += e @ ww[c].T
