@@ -110,7 +110,8 @@ _STORE_KEYED = cte("store_rows") + f""", keyed as (
 _STORE_MERGED = _STORE_KEYED + """, merged as (
   select * exclude (rn, written_at, batch), written_at as updated_at from (
     select *, row_number() over (partition by fingerprint order by seq desc) as rn,
-      first_value(written_at) over (partition by fingerprint order by seq) as created_at
+      first_value(written_at) over (partition by fingerprint order by seq) as created_at,
+      min(seq) over (partition by fingerprint) as first_seq
     from keyed) where rn = 1
 )"""
 
@@ -130,7 +131,7 @@ def merged_store(spark, sf_dir):
 
 def full_store(spark, sf_dir):
     """The merged store with all record columns."""
-    return conform(merged_store(spark, sf_dir), keep=("created_at", "updated_at", "_seq"))
+    return conform(merged_store(spark, sf_dir), keep=("created_at", "updated_at", "_seq", "first_seq"))
 
 
 @check("s5_store_scan", _STORE_MERGED + """
@@ -199,13 +200,11 @@ def s6_report_only(spark, sf_dir):
     base = scratch.scratch_path(spark, "run")
     conf = registry.RunConfig(store_path=f"{base}/store", report_path=f"{base}/report", report_date="2024-01-02")
     # the run's own order of writing, in the store's column order
-    snapshot = notice_store(spark, sf_dir).withColumn(
-        "_seq",
-        F.struct(
-            F.lit(None).cast("timestamp").alias("run_ts"), F.lit(0).alias("source_ord"),
-            F.lit(None).cast("timestamp").alias("fetched_at"), F.col("_seq").cast("int").alias("pos"),
-        ),
+    order = F.struct(
+        F.lit(None).cast("timestamp").alias("run_ts"), F.lit(0).alias("source_ord"),
+        F.lit(None).cast("timestamp").alias("fetched_at"), F.col("_seq").cast("int").alias("pos"),
     )
+    snapshot = notice_store(spark, sf_dir).withColumns({"_seq": order, "first_seq": order})
     store.write_store(snapshot.select(*store.store_schema(daily.SEQ).names), conf.store_path)
     return daily.run(spark, conf, report_only=True).summary
 
@@ -233,6 +232,23 @@ def ordered_candidates(spark, sf_dir):
     return links.with_seq(derived(spark, sf_dir, "candidates"))
 
 
+@check("d4_repeated_fetches", cte("candidates", "responses") + f""", usable as (
+  select request_url, sha256(case when seq % 2 = 0 then concat(body, ' again') else body end) as document_hash from responses where {_USABLE})
+select c.doc_id, coalesce(u.document_hash, '') as document_hash
+from candidates c left join usable u on c.notification_url = u.request_url and c.notification_url <> ''""")
+def d4_repeated_fetches(spark, sf_dir):
+    """Candidates with the last fetch of their document, where every second one was fetched again."""
+    first = http_documents(spark, sf_dir).withColumn("fetched_at", F.lit(datetime(2024, 1, 1)).cast("timestamp"))
+    again = first.filter("seq % 2 = 0").withColumns({
+        "content": F.concat("content", F.encode(F.lit(" again"), "UTF-8")),
+        "fetched_at": F.lit(datetime(2024, 1, 2)).cast("timestamp"),
+    })
+    found = ordered_candidates(spark, sf_dir)
+    wanted = docs.has_notification(found).select("notification_url").distinct()
+    fields = daily.fields_by_url(first.unionByName(again), registry.RunConfig(), wanted)
+    return docs.attach_documents(found, fields).select("doc_id", F.col("document.document_hash").alias("document_hash"))
+
+
 @check("w2_manifest", _ATTACHED + f"""
 select file_name, final_url, document_hash from (
   select {o.file_name('final_url')} as file_name, final_url, document_hash,
@@ -358,14 +374,23 @@ def l5_first_n(spark, sf_dir):
     return page_links(spark, sf_dir, WORDS, CAP)
 
 
-@check("l6_l7_links", cte("candidates") + """
-select doc_id, case when contains(lower(notification_url), '.pdf') or contains(lower(title), 'notice') or contains(lower(title), 'advert') then notification_url else '' end as notification_link,
-  case when contains(lower(application_url), 'apply') then title else '' end as application_link from candidates""")
+_ANCHOR_TEXT = """case doc_id % 6 when 0 then 'APPLY online' when 1 then 'Detailed Notice' when 2 then 'advertisement'
+  when 3 then 'Notice: how to apply' when 4 then 'Vacancies' else 'Jobs' end"""
+_ANCHOR_LINK = "case when doc_id % 4 = 0 then concat(source_url, '/more') when doc_id % 4 = 1 then upper(notification_url) else notification_url end"
+
+
+@check("l6_l7_links", cte("candidates") + f"""
+, a as (select doc_id, {_ANCHOR_TEXT} as text, {_ANCHOR_LINK} as href from candidates)
+select doc_id, case when contains(lower(href), '.pdf') or contains(lower(text), 'notice') or contains(lower(text), 'advert') then href else '' end as notification_link,
+  case when contains(lower(text), 'apply') then href else '' end as application_link from a""")
 def l6_l7_links(spark, sf_dir):
-    return derived(spark, sf_dir, "candidates").select(
+    anchors = derived(spark, sf_dir, "candidates").select(
+        "doc_id", F.expr(_ANCHOR_TEXT).alias("text"), F.expr(_ANCHOR_LINK).alias("href")
+    )
+    return anchors.select(
         "doc_id",
-        links.notification_link(F.col("title"), F.col("notification_url")).alias("notification_link"),
-        links.application_link(F.col("application_url"), F.col("title")).alias("application_link"),
+        links.notification_link(F.col("text"), F.col("href")).alias("notification_link"),
+        links.application_link(F.col("text"), F.col("href")).alias("application_link"),
     )
 
 
@@ -531,10 +556,11 @@ _CANDIDATE_JSON = "'{\"source_name\":\"' || source_name || '\",\"source_url\":\"
 
 
 @check("a1_request", cte("candidates") + f""" select c.doc_id, '{fixed.REQUEST_INSTRUCTION}' || chr(10) || 'DISCOVERY:' || chr(10) || {_CANDIDATE_JSON}
- || chr(10) || 'DOCUMENT:' || chr(10) || substr(text, 1, 120000) as request from candidates c join documents d on c.doc_id = d.doc_id""")
+ || chr(10) || 'DOCUMENT:' || chr(10) || substr(coalesce(text, ''), 1, 120000) as request from candidates c left join documents d on c.doc_id = d.doc_id""")
 def a1_request(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = derived(spark, sf_dir, "candidates").join(texts, "doc_id").withColumn("document", F.struct("text"))
+    found = derived(spark, sf_dir, "candidates").join(texts, "doc_id", "left")
+    found = found.withColumn("document", F.struct(F.coalesce("text", F.lit("")).alias("text")))
     rows = records.as_rows(found, ("doc_id",))
     return overlay.extraction_requests(rows.withColumn("text", F.col("document.text")), ["doc_id"])
 
@@ -588,6 +614,23 @@ def a3_overlay(spark, sf_dir):
     )
 
 
+_LATER = """case when doc_id % 3 = 0 then '{"organisation":"later"}' else '{"organisation":"cut' end"""
+
+
+@check("a3_repeated_answers", cte("overlay_rows") + f"""
+select doc_id, doc_id % 3 = 0 or {_VALID} as valid,
+  case when doc_id % 3 = 0 then 'later' when {_VALID} then coalesce(json_extract_string(response, '$.organisation'), '') end as organisation
+from overlay_rows""")
+def a3_repeated_answers(spark, sf_dir):
+    """Two answers to every request: the later one counts where it is valid."""
+    first = derived(spark, sf_dir, "overlay_rows").withColumn("landed_at", F.lit(1))
+    later = first.withColumns({"response": F.expr(_LATER), "landed_at": F.lit(2)})
+    given = overlay.ingest_responses(first.unionByName(later), ["doc_id", "landed_at"])
+    return overlay.latest_answers(given, ["doc_id"], ["landed_at"]).select(
+        "doc_id", "valid", F.when(F.col("valid"), F.col("record.organisation")).alias("organisation")
+    )
+
+
 @check("a4_backfill", _OVERLAID + """
 select r.doc_id, r.notification_url, r.application_url, r.official_source_url, '' as source_document, '' as document_hash,
   case when i.valid then '' else r.source_name end as source_name from recs r left join ingested i using (doc_id)""")
@@ -700,7 +743,7 @@ def k9_unique(spark, sf_dir):
     return merge.assert_unique(merged_store(spark, sf_dir))
 
 
-@check("k10_ids", _STORE_MERGED + " select row_number() over (order by created_at, fingerprint) as id, fingerprint from merged")
+@check("k10_ids", _STORE_MERGED + " select row_number() over (order by first_seq) as id, fingerprint from merged")
 def k10_ids(spark, sf_dir):
     return merge.with_id(merged_store(spark, sf_dir)).select("id", "fingerprint")
 
@@ -830,6 +873,27 @@ def e1_page_audit(spark, sf_dir):
     return audit.page_audit(pages)
 
 
+_AUDIT_STATUS = "case when seq % 19 = 0 then null else status end"
+_AUDIT_HTML = """case when seq % 23 = 0 then '<a href="http://[x">Job</a>' else '<a href="/1.pdf">Job</a>' end"""
+
+
+@check("e1_source_failures", cte("responses") + f"""
+, p as (select concat('source ', cast(seq % 4 as varchar)) as source_name, {_AUDIT_STATUS} as status, seq % 23 = 0 as broken from responses)
+select source_name, 'pages_ok' as stage, count_if(coalesce(status, 400) not between 400 and 599) as n from p group by 1
+union all select source_name, 'pages_failed', count_if(coalesce(status, 400) between 400 and 599) from p group by 1
+union all select source_name, 'pages_unparsable', count_if(broken) from p where coalesce(status, 400) not between 400 and 599 group by 1
+union all select 'source 9', 'sources_absent', 1""")
+def e1_source_failures(spark, sf_dir):
+    """Unanswered and failed fetches, pages that cannot be parsed, and a source without a page."""
+    pages = derived(spark, sf_dir, "responses").select(
+        F.concat(F.lit("source "), (F.col("seq") % 4).cast("string")).alias("source_name"),
+        F.expr(_AUDIT_STATUS).alias("status"), F.lit("https://a.org/").alias("final_url"), F.expr(_AUDIT_HTML).alias("html"),
+    )
+    sources = registry.sources_df(spark, [(f"source {i}", f"https://s{i}.org/", "s", ()) for i in (0, 1, 2, 3, 9)])
+    linked = links.linked_pages(landed.good_pages(pages))
+    return audit.run_audit(audit.page_audit(pages), audit.absent_sources(sources, pages), audit.link_audit(linked))
+
+
 # --- whole runs -----------------------------------------------------------
 
 @check("notices_closing_next", _NOTICE_RECORDS + """

@@ -24,6 +24,18 @@ def page_audit(pages):
     )
 
 
+def link_audit(linked):
+    """Pages with a link that cannot be parsed, which yield no candidate."""
+    return stage_counts(linked, F.col("source_name"), {"pages_unparsable": F.col("_links").isNull()})
+
+
+def absent_sources(sources, pages):
+    """Registered sources without any landed page."""
+    landed = pages.select("source_name").distinct()
+    absent = sources.select("source_name").join(landed, "source_name", "left_anti")
+    return absent.select("source_name", F.lit("sources_absent").alias("stage"), F.lit(1).cast("bigint").alias("n"))
+
+
 def row_audit(rows):
     """Candidates, their documents, and rejected answers where an overlay was applied."""
     wants = F.coalesce(F.col("candidate.notification_url"), F.lit("")) != ""

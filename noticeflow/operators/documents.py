@@ -55,15 +55,21 @@ def attach_documents(candidates, documents, columns=None):
 
     `documents` has one row per `request_url`.  Candidates without a link match nothing;
     they get scattered keys instead of one NULL key, which would put them all in one task.
-    Links that many candidates share are left to the skew split of adaptive execution.
+    Links that many candidates share are left to the skew split of adaptive execution, which
+    splits only a shuffle made for the join itself: the second key column keeps the planner
+    from reusing the partitions of the aggregate that made `documents` unique.
     """
     columns = columns or [c for c in documents.columns if c != "request_url"]
-    right = documents.select(F.col("request_url").alias("_key"), F.struct(*columns).alias("document"))
+    right = documents.select(
+        F.col("request_url").alias("_key"), F.xxhash64("request_url").alias("_hash"),
+        F.struct(*columns).alias("document"),
+    )
     scattered = F.concat(
         F.lit("\n"), F.pmod(F.xxhash64("_seq"), F.lit(_BLANK_KEYS)).cast("string")
     )
     left = candidates.withColumn("_key", F.coalesce(nz(F.col("notification_url")), scattered))
-    joined = left.join(right, "_key", "left").drop("_key")
+    left = left.withColumn("_hash", F.xxhash64("_key"))
+    joined = left.join(right, ["_key", "_hash"], "left").drop("_key", "_hash")
     # a candidate without a usable document gets blank text, hash and file
     plain = {"text": "", "document_hash": "", "source_document": "", "has_text": False}
     filled = [

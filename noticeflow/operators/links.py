@@ -92,16 +92,25 @@ def exploded(df, column, *keep):
     return rows.filter(F.col("pos").isNotNull())
 
 
+def linked_pages(pages, keywords=fixed.KEYWORDS, limit=fixed.LINKS_PER_PAGE, keep=()):
+    """Pages with their links as `_links` instead of their HTML; NULL for a page that cannot be parsed."""
+    return pages.select(
+        *keep, "source_name", "final_url",
+        page_links(F.col("final_url"), F.col("html"), keywords, limit).alias("_links"),
+    )
+
+
 def discover_links(pages, keywords=fixed.KEYWORDS, limit=fixed.LINKS_PER_PAGE, keep=()):
     """Candidates of every page, in document order (`pos` from 0).
 
     `pages` has `source_name`, `final_url` and `html`; `keep` names further columns to carry.
     """
-    found = pages.select(
-        *keep, "source_name", "final_url",
-        page_links(F.col("final_url"), F.col("html"), keywords, limit).alias("_links"),
-    )
-    links = exploded(found, "_links", *keep, "source_name", "final_url")
+    return link_candidates(linked_pages(pages, keywords, limit, keep), keep)
+
+
+def link_candidates(linked, keep=()):
+    """Candidates of pages whose links were taken."""
+    links = exploded(linked, "_links", *keep, "source_name", "final_url")
     text, href = F.col("l.text"), F.col("l.href")
     filled = {
         "source_name": F.col("source_name"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions.text import norm, nz
 from noticeflow.operators.numbering import number_rows
+from noticeflow.sources.scratch import fits_broadcast
 
 KEY_COLUMNS = ("organisation", "advertisement_number", "post_title", "publication_date")
 
@@ -20,13 +21,13 @@ def with_key(records, columns=KEY_COLUMNS):
     )
 
 
-def latest_in_batch(batch, seq="_seq", created="written_at", updated="written_at"):
-    """One row per fingerprint: the last one written, first and last write time.
+def latest_in_batch(batch, seq="_seq", created="written_at", updated="written_at", first="_seq"):
+    """One row per fingerprint: the last one written, first and last write time, first place in the order.
 
     The aggregate combines before the shuffle, so a key that holds much of the batch sends
     one row per task.
     """
-    payload = [c for c in batch.columns if c not in ("fingerprint", seq, created, updated)]
+    payload = [c for c in batch.columns if c not in ("fingerprint", seq, created, updated, first)]
     return (
         batch.groupBy("fingerprint")
         .agg(
@@ -34,6 +35,7 @@ def latest_in_batch(batch, seq="_seq", created="written_at", updated="written_at
             F.min_by(created, seq).alias("_created"),
             F.max_by(updated, seq).alias("_updated"),
             F.max(seq).alias("_last"),
+            F.min(first).alias("_first"),
         )
         .select(
             "fingerprint",
@@ -41,36 +43,58 @@ def latest_in_batch(batch, seq="_seq", created="written_at", updated="written_at
             F.col("_created").alias("created_at"),
             F.col("_updated").alias("updated_at"),
             F.col("_last").alias("_seq"),
+            F.col("_first").alias("first_seq"),
         )
     )
 
 
 def combine_changes(changes):
     """Change sets of several batches as one: one row per fingerprint."""
-    return latest_in_batch(changes, created="created_at", updated="updated_at")
+    return latest_in_batch(changes, created="created_at", updated="updated_at", first="first_seq")
 
 
 def classify(batch, store):
     """(fingerprint, action) for every key of the batch: update if stored, else insert."""
     keys = batch.select("fingerprint").distinct()
-    known = store.select("fingerprint")
-    return keys.join(known, "fingerprint", "left_semi").select(
-        "fingerprint", F.lit("update").alias("action")
-    ).unionByName(
-        keys.join(known, "fingerprint", "left_anti").select(
-            "fingerprint", F.lit("insert").alias("action")
-        )
+    known = store.select("fingerprint", F.lit("update").alias("_known"))
+    return keys.join(known, "fingerprint", "left").select(
+        "fingerprint", F.coalesce("_known", F.lit("insert")).alias("action")
     )
 
 
+#: What the first write of a key decides.
+_FIRST = ("created_at", "first_seq")
+
+
 def upsert(store, batch):
     """The store after the batch: last write wins on all columns, first insert time stays.
 
-    Both sides have one row per fingerprint (`latest_in_batch`), so no key is hot.  `batch`
-    feeds three branches and is best read from a written table; its file size then lets the
-    planner broadcast a small batch, and the store is rewritten without a shuffle.
-    A row older than the stored one (a replay) changes nothing.
+    Both sides have one row per fingerprint (`latest_in_batch`), so no key is hot.  A batch
+    that the planner may broadcast (best read from a written table, whose size is known) is
+    joined to the store without a shuffle of it; a larger one meets it in one full join, so the
+    store is read once.  A row older than the stored one (a replay) changes nothing.
     """
+    if fits_broadcast(batch):
+        return _upsert_small(store, batch)
+    names = [c for c in store.columns if c != "fingerprint"]
+    old, new = (
+        side.select("fingerprint", F.struct(*names).alias(name))
+        for side, name in ((store, "_old"), (batch, "_new"))
+    )
+    stored, wins = F.col("_old").isNotNull(), F.col("_new._seq") >= F.col("_old._seq")
+    take = F.coalesce(wins, F.lit(False)) | ~stored
+    return old.join(new, "fingerprint", "full").select(
+        "fingerprint",
+        *[
+            F.when(stored if c in _FIRST else ~take, F.col(f"_old.{c}"))
+            .otherwise(F.col(f"_new.{c}"))
+            .alias(c)
+            for c in names
+        ],
+    )
+
+
+def _upsert_small(store, batch):
     names = [c for c in store.columns if c != "fingerprint"]
     new = batch.select("fingerprint", F.struct(*names).alias("_new"))
     joined = store.join(new, "fingerprint", "left")
@@ -80,7 +104,7 @@ def upsert(store, batch):
         *[
             (
                 F.col(c)
-                if c == "created_at"
+                if c in _FIRST
                 else F.when(wins, F.col(f"_new.{c}")).otherwise(F.col(c))
             ).alias(c)
             for c in names
@@ -125,6 +149,6 @@ def to_interchange(store):
     return store.select(*cols)
 
 
-def with_id(store, order=("created_at", "fingerprint")):
-    """Optional surrogate number in first-insert order."""
+def with_id(store, order=("first_seq", "fingerprint")):
+    """Optional surrogate number in the order in which keys were first written."""
     return number_rows(store, [F.col(c).asc_nulls_first() for c in order], "id")

@@ -32,8 +32,11 @@ def extraction_requests(rows, keys, max_chars=fixed.REQUEST_MAX_CHARS):
     )
 
 
-_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
-_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_WHOLE = r"^\s*[+-]?[0-9]+(_[0-9]+)*(\.0+)?\s*$"
+_NOT_DIGITS = r"_|\.0+\s*$"
+_NUMBER = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|nan|inf|infinity)\s*$"
+# a date, or the start of that day
+_DAY = r"^\d{4}-\d{2}-\d{2}([Tt ]00:00(:00(\.0+)?)?)?$"
 _TRUE = ("1", "t", "true", "y", "yes", "on")
 _FALSE = ("0", "f", "false", "n", "no", "off")
 
@@ -57,12 +60,12 @@ def _field(field, answer):
         number = text.try_cast("double")
         value = (
             F.when(is_flag, F.try_variant_get(answer, path, "boolean").cast("bigint"))
-            .when(is_text, F.trim(text).try_cast("bigint"))
+            .when(is_text, F.trim(F.regexp_replace(text, _NOT_DIGITS, "")).try_cast("bigint"))
             .otherwise(F.coalesce(text.try_cast("bigint"), number.try_cast("bigint")))
         )
         fits = null | is_flag | (is_text & text.rlike(_WHOLE)) | (is_number & (number == F.floor(number)))
     elif isinstance(dt, T.DateType):
-        value = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+        value = F.when(text.rlike(_DAY), F.substring(text, 1, 10).try_cast("date"))
         fits = null | (is_text & value.isNotNull())
     elif isinstance(dt, T.DoubleType):
         value = F.when(is_flag, F.try_variant_get(answer, path, "boolean").cast("double")).otherwise(
@@ -100,6 +103,16 @@ def ingest_responses(responses, keys):
     )
 
 
+def latest_answers(answers, on, order):
+    """One answer per key: the last valid one by `order`, else the last one."""
+    kept = F.struct("valid", "record")
+    return (
+        answers.groupBy(*on)
+        .agg(F.max_by(kept, F.struct("valid", *order)).alias("a"))
+        .select(*on, "a.*")
+    )
+
+
 def overlay_applies(has_text, enabled):
     """Only documents with text are overlaid, and only when the overlay is switched on."""
     return has_text & F.lit(bool(enabled))

@@ -8,22 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeflow.operators.audit import page_audit, row_audit, run_audit
+from noticeflow.operators.audit import absent_sources, link_audit, page_audit, row_audit, run_audit
 from noticeflow.operators.documents import (
-    attach_documents, document_fields, document_texts, latest_documents,
+    attach_documents, document_fields, document_texts, has_notification, latest_documents,
 )
-from noticeflow.operators.links import discover_links, with_seq
+from noticeflow.operators.links import discover_links, link_candidates, linked_pages, with_seq
 from noticeflow.operators.merge import latest_in_batch, upsert, with_key
-from noticeflow.operators.overlay import extraction_requests, ingest_responses, overlay
+from noticeflow.operators.overlay import (
+    extraction_requests, ingest_responses, latest_answers, overlay,
+)
 from noticeflow.operators.records import as_rows, backfill, extract, records_of, verify
 from noticeflow.operators.report import (
     report_detail, report_summary, run_totals, with_number, with_report_date,
 )
+from noticeflow.schema import CANDIDATE
 from noticeflow.sources.landed import (
     good_pages, in_lookback, read_documents, read_pages, read_responses, registered_pages,
 )
 from noticeflow.sources.registry import sources_df
-from noticeflow.sources.scratch import stage
+from noticeflow.sources.scratch import drop, fits_broadcast, stage
 from noticeflow.sources.store import read_store, store_schema, write_store
 
 SEQ = T.StructType(
@@ -44,11 +47,12 @@ class RunResult:
     audit: Any = None
 
 
+CARRIED = ("source_ord", "fetched_at")
+
+
 def candidates_of(pages, conf):
     """Candidates of the good pages of registered sources."""
-    return discover_links(
-        good_pages(pages), conf.keywords, conf.links_per_page, keep=("source_ord", "fetched_at")
-    )
+    return discover_links(good_pages(pages), conf.keywords, conf.links_per_page, keep=CARRIED)
 
 
 def request_id():
@@ -58,12 +62,28 @@ def request_id():
     )
 
 
-def fields_by_url(documents, conf):
-    """Fields of the last usable fetch of every document."""
+def fields_by_url(documents, conf, links=None):
+    """Fields of the last usable fetch of every document.
+
+    With a table of `links` (`notification_url`) that may be broadcast, other documents are left
+    out before their texts are read into fields.  A larger one is not used: matching by a shuffle
+    would move all contents to save work on some.
+    """
+    if links is not None and fits_broadcast(links):
+        wanted = links.select(F.col("notification_url").alias("request_url"))
+        documents = documents.join(F.broadcast(wanted), "request_url", "left_semi")
     fields = document_fields(documents, conf.document_dir, keep=("fetched_at",))
     return latest_documents(fields, F.struct("fetched_at", "document_hash")).drop("fetched_at")
 
 
+def landed_answers(spark, conf):
+    """One answer per request: the last valid one that landed."""
+    answers = ingest_responses(
+        read_responses(spark, conf.responses_path), ["request_id", "landed_at", "response"]
+    )
+    return latest_answers(answers, ["request_id"], ["landed_at", "response"])
+
+
 def working_rows(candidates, fields, conf, answers=None, keys=("_seq",)):
     """Candidates with document and record, overlaid and back-filled."""
     rows = extract(as_rows(attach_documents(candidates, fields), keys))
@@ -78,41 +98,60 @@ def keyed_records(rows, conf, keys=("_seq",)):
     return with_key(verified)
 
 
+def in_run(df, conf, run_ts):
+    """With the look-back on, the rows fetched within it."""
+    if not conf.apply_lookback:
+        return df
+    since = F.lit(run_ts - timedelta(hours=conf.lookback_hours)).cast("timestamp")
+    return in_lookback(df, "fetched_at", since, F.lit(run_ts).cast("timestamp"))
+
+
 def pending_requests(spark, conf, run_ts=None):
-    """(request_id, request) for every candidate whose document has text."""
+    """(request_id, request), one for every candidate whose document has text and that has no answer yet."""
+    run_ts = run_ts or datetime.now(timezone.utc)
     pages = registered_pages(read_pages(spark, conf.pages_path), sources_df(spark, conf.sources))
-    texts = document_texts(
-        read_documents(spark, conf.documents_path), conf.document_dir, ("fetched_at",)
-    )
+    documents = in_run(read_documents(spark, conf.documents_path), conf, run_ts)
+    texts = document_texts(documents, conf.document_dir, ("fetched_at",))
     texts = latest_documents(texts, F.struct("fetched_at", "document_hash"))
-    found = with_seq(candidates_of(pages, conf), SEQ.names[1:])
-    rows = as_rows(attach_documents(found, texts.drop("fetched_at")))
-    wanted = rows.select("candidate", "document", F.col("document.text").alias("text"))
+    found = candidates_of(in_run(pages, conf, run_ts), conf)
+    # equal candidates of repeated fetches are one question; they are made one before texts are joined
+    once = with_seq(found.dropDuplicates(CANDIDATE.names), SEQ.names[1:])
+    rows = as_rows(attach_documents(once, texts.drop("fetched_at")))
+    wanted = rows.filter(F.col("document.text") != "").withColumn("request_id", request_id())
+    if conf.responses_path:
+        answered = read_responses(spark, conf.responses_path).select("request_id").distinct()
+        wanted = wanted.join(answered, "request_id", "left_anti")
     return extraction_requests(
-        wanted.filter(F.col("text") != "").withColumn("request_id", request_id()), ["request_id"]
+        wanted.withColumn("text", F.col("document.text")), ["request_id"]
     )
 
 
 def update_store(spark, conf, run_ts):
     """Discover, extract, merge; returns the run's audit."""
     now = F.lit(run_ts).cast("timestamp")
-    pages = registered_pages(read_pages(spark, conf.pages_path), sources_df(spark, conf.sources))
-    if conf.apply_lookback:
-        pages = in_lookback(
-            pages, "fetched_at", F.lit(run_ts - timedelta(hours=conf.lookback_hours)), now
-        )
-    found = with_seq(candidates_of(pages, conf), SEQ.names[1:], now)
-    fields = fields_by_url(read_documents(spark, conf.documents_path), conf)
-    answers = None
-    if conf.overlay_enabled and conf.responses_path:
-        answers = ingest_responses(read_responses(spark, conf.responses_path), ["request_id"])
-    # read by the merge and by the audit: pages are parsed once
-    rows = stage(working_rows(found, fields, conf, answers))
+    staged = []
+    sources = sources_df(spark, conf.sources)
+    pages = in_run(registered_pages(read_pages(spark, conf.pages_path), sources), conf, run_ts)
+    # read by discovery, by the document filter and by the audit: pages are parsed once
+    linked = stage(
+        linked_pages(good_pages(pages), conf.keywords, conf.links_per_page, CARRIED), staged=staged
+    )
+    found = with_seq(link_candidates(linked, CARRIED), SEQ.names[1:], now)
+    links = stage(has_notification(found).select("notification_url").distinct(), staged=staged)
+    fields = fields_by_url(in_run(read_documents(spark, conf.documents_path), conf, run_ts), conf, links)
+    answers = landed_answers(spark, conf) if conf.overlay_enabled and conf.responses_path else None
+    # read by the merge and by the audit
+    rows = stage(working_rows(found, fields, conf, answers), staged=staged)
     records = keyed_records(rows, conf).withColumn("written_at", now)
-    # read by three branches of the merge, with a known size
-    batch = stage(latest_in_batch(records))
-    write_store(upsert(read_store(spark, conf.store_path, store_schema(SEQ)), batch), conf.store_path)
-    return run_audit(page_audit(pages), row_audit(rows))
+    # joined to the store, with a known size
+    batch = stage(latest_in_batch(records), staged=staged)
+    store = read_store(spark, conf.store_path, store_schema(SEQ))
+    write_store(upsert(store, batch), conf.store_path, conf.snapshots_kept)
+    audit = stage(
+        run_audit(page_audit(pages), absent_sources(sources, pages), link_audit(linked), row_audit(rows))
+    )
+    drop(spark, staged)
+    return audit
 
 
 def report(spark, conf, store=None):

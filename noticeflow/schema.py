@@ -57,7 +57,7 @@ DOCUMENTS = T.StructType(
     ]
 )
 
-STORE_EXTRA = ("created_at", "updated_at", "_seq")
+STORE_EXTRA = ("created_at", "updated_at", "_seq", "first_seq")
 
 
 def default(field):

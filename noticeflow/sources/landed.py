@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions.documents import ok_status
 from noticeflow.schema import DOCUMENTS, PAGES
+from noticeflow.sources.scratch import exists
 
 
 def read_pages(spark, path, schema=PAGES, streaming=False):
@@ -24,7 +25,12 @@ def read_blobs(spark, path):
 
 
 def read_responses(spark, path):
-    return spark.read.schema("request_id string, response string").json(path)
+    """Landed answers; `landed_at` is the time of their file, so that a later one counts."""
+    kinds = "request_id string, response string"
+    if not exists(spark, path):  # nothing has landed yet
+        return spark.createDataFrame([], f"{kinds}, landed_at timestamp")
+    lines = spark.read.schema(kinds).json(path)
+    return lines.select("*", F.col("_metadata.file_modification_time").alias("landed_at"))
 
 
 def in_lookback(df, ts, since, until):

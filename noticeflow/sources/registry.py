@@ -23,6 +23,7 @@ class RunConfig:
     lookback_hours: int = fixed.LOOKBACK_HOURS
     apply_lookback: bool = False
     overlay_enabled: bool = False
+    snapshots_kept: int = 7
     report_format: str = "parquet"
     report_date: str = ""
 

@@ -22,9 +22,40 @@ def scratch_path(spark, label="t"):
     return f"{scratch_root(spark)}/noticeflow/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df, path=None):
-    """Write `df` and read it back: later steps reuse the files instead of its lineage."""
+def stage(df, path=None, staged=None):
+    """Write `df` and read it back: later steps reuse the files instead of its lineage.
+
+    The path is added to the list `staged`, for `drop` once nothing reads the table any more.
+    """
     spark = df.sparkSession
     path = path or scratch_path(spark)
+    if staged is not None:
+        staged.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hadoop_path(spark, path):
+    """(file system, path, path class) of a folder on whatever storage its scheme names."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm.org.apache.hadoop.fs.Path
+
+
+def exists(spark, path):
+    fs, where, _ = hadoop_path(spark, path)
+    return fs.exists(where)
+
+
+def drop(spark, paths):
+    """Delete tables or folders; one that is already gone is no error."""
+    for path in paths:
+        fs, where, _ = hadoop_path(spark, path)
+        fs.delete(where, True)
+
+
+def fits_broadcast(df):
+    """Would the planner broadcast `df`?  Its size estimate against the session's threshold."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return size <= limit

@@ -4,35 +4,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeflow.schema import RECORD
+from noticeflow.sources.scratch import drop, hadoop_path
 
 _PREFIX = "version="
 
 
-def _files(spark, path):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where, jvm
+def complete(spark, path, prefix):
+    """Names of the subfolders `<prefix>…` that were written to the end (success marker)."""
+    fs, where, to_path = hadoop_path(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [entry.getPath().getName() for entry in fs.listStatus(where)]
+    return sorted(
+        n for n in names if n.startswith(prefix) and fs.exists(to_path(f"{path}/{n}/_SUCCESS"))
+    )
 
 
 def versions(spark, path):
     """Numbers of the complete snapshots (those with a success marker), ascending."""
-    fs, where, jvm = _files(spark, path)
-    if not fs.exists(where):
-        return []
-    found = []
-    for entry in fs.listStatus(where):
-        name = entry.getPath().getName()
-        marker = jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
-        if name.startswith(_PREFIX) and fs.exists(marker):
-            found.append(int(name[len(_PREFIX):]))
-    return sorted(found)
+    return sorted(int(n[len(_PREFIX):]) for n in complete(spark, path, _PREFIX))
+
 
+def write_store(df, path, keep=None):
+    """Write the next snapshot; readers see it only once it is complete.  Returns its number.
 
-def write_store(df, path):
-    """Write the next snapshot; readers see it only once it is complete.  Returns its number."""
+    `keep` is how many of the latest snapshots stay, all without it; a table that was read from
+    one that goes can no longer be read.
+    """
     spark = df.sparkSession
     number = max(versions(spark, path), default=0) + 1
     df.write.mode("overwrite").parquet(f"{path}/{_PREFIX}{number:08d}")
+    if keep is not None:
+        gone = versions(spark, path)[: -max(keep, 1)]
+        drop(spark, [f"{path}/{_PREFIX}{n:08d}" for n in gone])
     return number
 
 
@@ -43,19 +47,28 @@ def store_schema(seq_type):
             T.StructField("created_at", T.TimestampType()),
             T.StructField("updated_at", T.TimestampType()),
             T.StructField("_seq", seq_type),
+            T.StructField("first_seq", seq_type),
         ]
     )
 
 
 def read_store(spark, path, schema=None):
-    """The latest complete snapshot, empty before the first."""
+    """The latest complete snapshot, empty before the first.
+
+    A snapshot written with another order of rows (`_seq`) is refused: its order would read as NULL.
+    """
     have = versions(spark, path)
     if not have:
         if schema is None:
             raise FileNotFoundError(f"no complete snapshot under {path}")
         return spark.createDataFrame([], schema)
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{path}/{_PREFIX}{have[-1]:08d}")
+    latest = spark.read.parquet(f"{path}/{_PREFIX}{have[-1]:08d}")
+    if schema is None:
+        return latest
+    kinds = [s["_seq"].dataType.simpleString() for s in (latest.schema, schema)]
+    if kinds[0] != kinds[1]:
+        raise ValueError(f"rows of {path} are ordered by {kinds[0]}, not by {kinds[1]}")
+    return spark.read.schema(schema).parquet(f"{path}/{_PREFIX}{have[-1]:08d}")
 
 
 def record_columns(store):

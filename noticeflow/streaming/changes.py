@@ -2,10 +2,13 @@
 
 A micro-batch is stateless up to its records; it is reduced to one row per fingerprint and
 written as one change set, replaced as a whole if the batch is replayed.  Change sets are
-folded into the store by one merge, so a stream of small batches does not rewrite the
-store each time.
+folded into the store by one merge and then deleted, so a stream of small batches does not
+rewrite the store each time.  Daily runs and streams over listing pages share one order of rows
+and so one store.
 """
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,38 +16,40 @@ from noticeflow.operators.merge import combine_changes, latest_in_batch, upsert
 from noticeflow.plans.daily import candidates_of, keyed_records, working_rows
 from noticeflow.schema import conform
 from noticeflow.sources.landed import registered_pages
-from noticeflow.sources.scratch import stage
-from noticeflow.sources.store import read_store, store_schema, write_store
+from noticeflow.sources.scratch import drop, stage
+from noticeflow.sources.store import complete, read_store, store_schema, versions, write_store
 
-_PREFIX = "batch="
+_PREFIX = "changes-"
 # order of rows within a batch
 ORDER = ("source_ord", "fetched_at", "pos")
 
 
-def page_records(pages, sources, fields, conf, written_at):
+def page_records(pages, sources, fields, conf, written_at, answers=None):
     """Keyed records of landed pages, stateless, as a stream if `pages` is one.
 
-    `fields` (one row per document) is joined by every micro-batch: pass a written table.
+    `fields` (one row per document) and `answers` (one row per request, see
+    `plans.daily.landed_answers`) are joined by every micro-batch: pass written tables.
     """
     found = candidates_of(registered_pages(pages, sources), conf)
-    rows = working_rows(found.withColumn("_seq", F.struct(*ORDER)), fields, conf)
+    rows = working_rows(found.withColumn("_seq", F.struct(*ORDER)), fields, conf, answers)
     keyed = keyed_records(rows, conf).select("*", "_seq.*").drop("_seq")
     return conform(keyed, keep=ORDER).withColumn("written_at", written_at)
 
 
-def change_writer(changes_path, order=ORDER):
-    """`foreachBatch` function: the batch's latest records as change set `batch=<id>`.
+def change_writer(changes_path, order=ORDER, stream=None):
+    """`foreachBatch` function: the batch's latest records as one change set.
 
-    `order` names the columns that order rows within a batch; together with the batch
-    number they make `_seq` total across batches.
+    The set's folder is named by stream and batch, so streams and restarts from a new checkpoint
+    do not overwrite each other; `stream` defaults to the id that the checkpoint keeps.  The time
+    of writing and the columns `order` make `_seq` total across batches and streams.
     """
 
     def write(batch, batch_id):
-        ordered = batch.withColumn(
-            "_seq", F.struct(F.lit(batch_id).cast("bigint").alias("batch_id"), *order)
-        ).drop(*order)
+        name = stream or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        now = F.lit(datetime.now(timezone.utc)).cast("timestamp").alias("run_ts")
+        ordered = batch.withColumn("_seq", F.struct(now, *order)).drop(*order)
         latest = latest_in_batch(ordered)
-        latest.write.mode("overwrite").parquet(f"{changes_path}/{_PREFIX}{batch_id}")
+        latest.write.mode("overwrite").parquet(f"{changes_path}/{_PREFIX}{name or 'main'}-{batch_id}")
 
     return write
 
@@ -63,7 +68,7 @@ def start_changes(records, changes_path, checkpoint_path, order=ORDER, trigger=N
 def seq_type(records, order=ORDER):
     fields = {f.name: f for f in records.schema.fields}
     return T.StructType(
-        [T.StructField("batch_id", T.LongType()), *[fields[c] for c in order]]
+        [T.StructField("run_ts", T.TimestampType()), *[fields[c] for c in order]]
     )
 
 
@@ -71,18 +76,28 @@ def change_schema(records, order=ORDER):
     return store_schema(seq_type(records, order))
 
 
-def read_changes(spark, changes_path, schema, after=None):
-    """Change sets of batches later than `after`, one row per fingerprint."""
-    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    changes = spark.read.schema(with_batch).parquet(changes_path)
-    if after is not None:
-        changes = changes.filter(F.col("batch") > after)
-    return combine_changes(changes.drop("batch"))
+def change_sets(spark, changes_path):
+    """Paths of the change sets that were written to the end."""
+    return [f"{changes_path}/{name}" for name in complete(spark, changes_path, _PREFIX)]
+
+
+def read_changes(spark, sets, schema):
+    """The rows of change sets, one per fingerprint."""
+    return combine_changes(spark.read.schema(schema).parquet(*sets))
 
 
-def fold_changes(spark, store_path, changes_path, schema):
-    """Merge the change sets the store does not hold yet; returns the new snapshot's number."""
-    store = read_store(spark, store_path, schema)
-    last = store.agg(F.max("_seq.batch_id").alias("b")).first().b
-    changes = stage(read_changes(spark, changes_path, schema, last))
-    return write_store(upsert(store, changes), store_path)
+def fold_changes(spark, store_path, changes_path, schema, keep=None):
+    """Merge all complete change sets into the store and delete them.
+
+    A set that is still being written waits for the next fold.  Should the fold be lost between
+    the new snapshot and the deletion, the next one merges the same rows again, which changes nothing.
+    Returns the latest snapshot's number, 0 for none.
+    """
+    sets = change_sets(spark, changes_path)
+    if not sets:
+        return max(versions(spark, store_path), default=0)
+    staged = []
+    changes = stage(read_changes(spark, sets, schema), staged=staged)
+    number = write_store(upsert(read_store(spark, store_path, schema), changes), store_path, keep)
+    drop(spark, [*sets, *staged])
+    return number

@@ -12,7 +12,7 @@ from noticeflow.plans import daily
 from noticeflow.schema import DOCUMENTS, PAGES, conform
 from noticeflow.sources.landed import read_documents, read_pages, registered_pages
 from noticeflow.sources.registry import RunConfig, sources_df, trust_rules
-from noticeflow.sources.scratch import stage
+from noticeflow.sources.scratch import scratch_root, stage
 from noticeflow.sources.store import read_store
 from noticeflow.streaming import changes
 
@@ -20,6 +20,7 @@ SOURCES = (
     ("Alpha", "https://alpha.gov.in/list", "a", ()),
     ("Beta", "https://beta.org/jobs", "b", ()),
     ("Down", "https://down.org/", "c", ()),
+    ("Never", "https://never.org/", "d", ()),
 )
 AT = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -75,6 +76,7 @@ def test_run_and_report(spark, scratch):
     assert audit[("Down", "pages_failed")] == 1 and audit[("Alpha", "candidates")] == 3
     assert audit[("Alpha", "documents_found")] == 2 and audit[("Alpha", "documents_unreadable")] == 1
     assert audit[("Beta", "documents_missing")] == 1
+    assert audit[("Never", "sources_absent")] == 1 and audit[("Alpha", "pages_unparsable")] == 0
     assert result.totals.first().records == 4
     summary = result.summary.orderBy("no").collect()
     assert [r.no for r in summary] == [1, 2, 3, 4]
@@ -162,28 +164,118 @@ def test_stream_equals_batch(spark, scratch):
         changes.start_changes(batch_records, f"{scratch}/changes", f"{scratch}/cp").awaitTermination()
         changes.fold_changes(spark, f"{scratch}/streamed", f"{scratch}/changes", schema)
     streamed = read_store(spark, f"{scratch}/streamed", schema)
-    assert streamed.select("_seq.batch_id").distinct().count() > 1
+    assert streamed.select("_seq.run_ts").distinct().count() > 1
     whole = merge.latest_in_batch(
         records(read_pages(spark, conf.pages_path)).withColumn("_seq", F.struct(*changes.ORDER)).drop(*changes.ORDER)
     )
-    plain = lambda df: {r.fingerprint: {k: v for k, v in r.asDict().items() if k not in ("_seq",)} for r in df.select(*schema.names).collect()}
+    plain = lambda df: {r.fingerprint: {k: v for k, v in r.asDict().items() if k not in ("_seq", "first_seq")} for r in df.select(*schema.names).collect()}
     assert plain(streamed) == plain(whole)
     # a replayed fold changes nothing
     changes.fold_changes(spark, f"{scratch}/streamed", f"{scratch}/changes", schema)
     assert plain(read_store(spark, f"{scratch}/streamed", schema)) == plain(whole)
 
 
+def change_rows(spark, rows):
+    df = spark.createDataFrame(rows, "pos int, fingerprint string, post_title string, written_at timestamp")
+    return conform(df, keep=("pos", "written_at"))
+
+
+def titles(spark, path, schema):
+    return {r.fingerprint: r.post_title for r in read_store(spark, path, schema).collect()}
+
+
 def test_replayed_batch_replaces_its_change_set(spark, scratch):
     write = changes.change_writer(f"{scratch}/changes", ["pos"])
-    df = spark.createDataFrame([(1, "a", "x", AT), (2, "a", "y", AT)], "pos int, fingerprint string, post_title string, written_at timestamp")
-    rows = conform(df, keep=("pos", "written_at"))
+    rows = change_rows(spark, [(1, "a", "x", AT), (2, "a", "y", AT)])
     for _ in range(2):
         write(rows, 0)
+    assert len(changes.change_sets(spark, f"{scratch}/changes")) == 1
     write(rows.filter("pos = 1"), 1)
     schema = changes.change_schema(rows, ["pos"])
-    got = changes.read_changes(spark, f"{scratch}/changes", schema).collect()
-    assert [(r.post_title, r._seq.batch_id) for r in got] == [("x", 1)]
-    assert changes.read_changes(spark, f"{scratch}/changes", schema, after=1).count() == 0
+    got = changes.read_changes(spark, changes.change_sets(spark, f"{scratch}/changes"), schema).collect()
+    # the later batch wins although its row comes first within it; the first write is kept
+    assert [(r.post_title, r.first_seq.pos, r._seq.pos) for r in got] == [("x", 1, 1)]
+    assert got[0].first_seq.run_ts < got[0]._seq.run_ts
+
+
+def test_fold_after_restart_second_stream_and_half_written_set(spark, scratch):
+    path, store = f"{scratch}/changes", f"{scratch}/store"
+    schema = changes.change_schema(change_rows(spark, []), ["pos"])
+    assert changes.fold_changes(spark, store, path, schema) == 0
+    changes.change_writer(path, ["pos"], "one")(change_rows(spark, [(1, "a", "old", AT)]), 5)
+    changes.fold_changes(spark, store, path, schema)
+    # batch numbers start again; another stream uses the same numbers
+    changes.change_writer(path, ["pos"], "one")(change_rows(spark, [(1, "a", "new", AT), (2, "b", "b", AT)]), 0)
+    changes.change_writer(path, ["pos"], "two")(change_rows(spark, [(1, "c", "c", AT)]), 0)
+    changes.change_writer(path, ["pos"], "two")(change_rows(spark, [(1, "d", "d", AT)]), 1)
+    os.remove(f"{path}/changes-two-1/_SUCCESS")
+    changes.fold_changes(spark, store, path, schema)
+    assert titles(spark, store, schema) == {"a": "new", "b": "b", "c": "c"}
+    assert changes.change_sets(spark, path) == []
+    # the half-written set counts once it is complete
+    open(f"{path}/changes-two-1/_SUCCESS", "w").close()
+    changes.fold_changes(spark, store, path, schema, keep=2)
+    assert titles(spark, store, schema)["d"] == "d"
+    assert len([n for n in os.listdir(store) if n.startswith("version=")]) == 2
+
+
+def test_store_of_another_order_is_refused(spark, scratch):
+    schema = changes.change_schema(change_rows(spark, []), ["pos"])
+    changes.change_writer(f"{scratch}/changes", ["pos"])(change_rows(spark, [(1, "a", "x", AT)]), 0)
+    changes.fold_changes(spark, f"{scratch}/store", f"{scratch}/changes", schema)
+    with pytest.raises(ValueError, match="ordered by"):
+        read_store(spark, f"{scratch}/store", daily.store_schema(daily.SEQ))
+
+
+def test_page_stream_and_daily_run_share_one_order(spark):
+    rows = spark.createDataFrame([], "source_ord int, fetched_at timestamp, pos int")
+    assert changes.seq_type(rows).simpleString() == daily.SEQ.simpleString()
+
+
+def test_repeated_snapshots_and_answers(spark, scratch):
+    land(spark, scratch)
+    pages = spark.read.parquet(f"{scratch}/pages")
+    again = pages.filter("request_url like '%alpha%'").withColumn("fetched_at", F.col("fetched_at") + F.expr("interval 1 hour"))
+    again.write.mode("append").parquet(f"{scratch}/pages")
+    conf = config(scratch, overlay_enabled=True)
+    asked = daily.pending_requests(spark, conf).collect()
+    assert len(asked) == len({r.request_id for r in asked}) == 2
+    plain = {(r.source_name, r.stage): r.n for r in daily.update_store(spark, conf, AT).collect()}
+    conf = config(scratch, overlay_enabled=True, responses_path=f"{scratch}/answers")
+    os.makedirs(conf.responses_path)
+    for k, title in enumerate(("First", "Second", None)):
+        answer = json.dumps({"post_title": title} if title else {"post_title": 7})
+        file = f"{conf.responses_path}/{k}.json"
+        with open(file, "w") as f:
+            f.writelines(json.dumps({"request_id": r.request_id, "response": answer}) + "\n" for r in asked)
+        os.utime(file, (1700000000 + k, 1700000000 + k))
+    assert daily.pending_requests(spark, conf).count() == 0
+    audit = {(r.source_name, r.stage): r.n for r in daily.update_store(spark, conf, AT).collect()}
+    assert all(audit[key] == n for key, n in plain.items())
+    assert {r.post_title for r in read_store(spark, conf.store_path).collect()} >= {"Second"}
+
+
+def test_documents_of_other_runs_are_not_read_into_fields(spark, scratch):
+    land(spark, scratch)
+    conf = config(scratch)
+    documents = read_documents(spark, conf.documents_path)
+    links = stage(spark.createDataFrame([("https://www.alpha.gov.in/list/2.pdf",)], "notification_url string"))
+    assert [r.request_url for r in daily.fields_by_url(documents, conf, links).collect()] == [links.first()[0]]
+    assert daily.fields_by_url(documents, conf).count() == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "LeftSemi" not in daily.fields_by_url(documents, conf, links)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert daily.in_run(documents, config(scratch, apply_lookback=True), datetime(2024, 3, 1, tzinfo=timezone.utc)).count() == 0
+
+
+def test_working_tables_are_deleted(spark, scratch):
+    land(spark, scratch)
+    root = f"{scratch_root(spark)}/noticeflow"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    daily.update_store(spark, config(scratch), AT)
+    assert len(set(os.listdir(root)) - before) == 1  # the audit
 
 
 def test_discovery_in_a_stream_is_stateless(spark, scratch):

@@ -115,7 +115,9 @@ def test_shared_link_is_split_across_tasks(spark):
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
-        joined = docs.attach_documents(links.with_seq(cands), texts)
+        # unique by an aggregate, as in the daily plan
+        fields = docs.latest_documents(texts, "document_hash")
+        joined = docs.attach_documents(links.with_seq(cands), fields)
         joined = joined.withColumn("part", F.spark_partition_id())
         rows = joined.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("document.document_hash") != "").alias("hits"), F.max("title"))
         sizes = rows.collect()

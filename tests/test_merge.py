@@ -96,6 +96,23 @@ def test_small_batch_does_not_shuffle_the_store(spark, scratch):
     assert merged.count() == 50001
 
 
+def test_large_batch_reads_the_store_once(spark):
+    store = latest(spark, [(1, "a", "a1", DAY[0]), (2, "b", "b1", DAY[0])])
+    new = latest(spark, [(3, "b", "", DAY[2]), (4, "c", "c1", DAY[2])])
+    small = state(merge.upsert(store, new))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = merge.upsert(store, new)
+        assert state(merged) == small
+        assert state(merge.upsert(merged, store)) == small
+        assert {r.fingerprint: r.first_seq for r in merged.collect()} == {"a": 1, "b": 2, "c": 4}
+        plan = merged._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and "Union" not in plan
+        assert {(r.fingerprint, r.action) for r in merge.classify(new, store).collect()} == {("b", "update"), ("c", "insert")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_uniqueness_check(spark):
     ok = spark.createDataFrame([("a",), ("b",)], "fingerprint string")
     assert tuple(merge.assert_unique(ok).first()) == (2, 2)
