@@ -1,6 +1,7 @@
 """Small helpers that several operators share."""
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Window
@@ -63,6 +64,16 @@ def slices(batches, column="text", most=SLICE_BYTES):
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    # Workers are kept for the next task; what they hold counts against the executor until then.
+    _HASHES.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark):
+    """Rows with whole texts go to Python in batches bounded by bytes, unless the session sets a bound itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.sparkContext.getConf().toDebugString():
+        spark.conf.set(key, str(2 * SLICE_BYTES))
 
 
 def whole_groups(batches, key):

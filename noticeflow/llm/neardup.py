@@ -155,6 +155,7 @@ def signatures(texts, idf, most=60_000):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("node"), pa.array(bands, fields[2][1]), pa.array(sketch, pa.binary())], schema=schema
             )
+        _draws.cache_clear()  # 38 MB that later stages don't need
 
     return texts.mapInArrow(run, "doc_id long, node binary, bands array<long>, sketch binary")
 

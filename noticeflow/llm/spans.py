@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import slices, stage
+from noticeflow.llm.common import slices, small_batches, stage
 
 #: Sentences in a run.  Two, as passages of 50 words may hold no more.
 RUN = 2
@@ -88,6 +88,7 @@ def _rewrite(text, at, run):
 
 def _joined(docs, run, least_words):
     """The rows with all their columns and `_at`: the repeated runs of the row's text, null if there is none."""
+    small_batches(docs.sparkSession)
     digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     spans = stage(span_hashes(_key(docs), run, least_words))
     gone = repeated(spans).groupBy("doc_id", "digest").agg(F.collect_set("at").alias("_at"))
