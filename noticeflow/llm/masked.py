@@ -3,7 +3,8 @@
 A small network predicts every word of a text from the two words before and the two after it; the sum of
 the conditional log-probabilities scores the text.  Frequent words have numbers of their own, all
 others share hash buckets.  The prediction is in two steps, the word's class and the word within it,
-so a word costs a few dozen exponentials.
+so a word costs a few dozen exponentials.  A word of a bucket has the bucket's probability times its
+share of the bucket's words in all texts, which is joined by word.
 
 Training runs on all texts: every task trains a copy of the network on its part of the texts, and the copies
 are averaged, weighted by their words, in two rounds of half the texts each.
@@ -16,15 +17,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import slices
+from noticeflow.llm.common import slices, stage
 
-WORDS, BUCKETS = 768, 255
-CLASSES, PER_CLASS = 32, 32
+WORDS, BUCKETS = 1536, 511
+CLASSES, PER_CLASS = 64, 32
 SIZE = CLASSES * PER_CLASS
 #: The number that stands before the first and after the last word.
 EDGE = SIZE - 1
 AROUND = (-2, -1, 1, 2)
-WIDTH = 16
+WIDTH = 24
 ROUNDS = 2
 BATCH, RATE = 8192, 0.15
 _PARTS = 64
@@ -51,6 +52,38 @@ def word_counts(texts):
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def bucket(word):
+    return xxhash.xxh3_64_intdigest(word) % BUCKETS
+
+
+def shares(counts, words):
+    """`word` and `log_share` of every word of `counts` but `words`: its share of all words of its bucket."""
+    shared = counts.sparkSession.sparkContext.broadcast(frozenset(words))
+
+    def rare(batch):
+        pairs = zip(*(c.to_pylist() for c in batch.columns))
+        return [(w, n, bucket(w)) for w, n in pairs if w not in shared.value]
+
+    def add(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, n, b in rare(batch):
+                total[b] += n
+        yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS), pa.int32()), pa.array(total)], ["bucket", "n"])
+
+    slim = counts.select("word", "n")
+    sums = slim.mapInArrow(add, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS rows
+    totals = {r["bucket"]: r["n"] for r in sums}
+
+    def divide(batches):
+        for batch in batches:
+            rows = rare(batch)
+            part = np.log([n / totals[b] for _, n, b in rows]) if rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _, _ in rows], pa.binary()), pa.array(part, pa.float64())], ["word", "log_share"])
+
+    return slim.mapInArrow(divide, "word binary, log_share double")
+
+
 class Coder(dict):
     """Numbers of words: the most frequent WORDS by rank, others by hash bucket (kept for a while)."""
 
@@ -62,7 +95,7 @@ class Coder(dict):
         if len(self) > 400_000:
             self.clear()
             self.update(self.own)
-        self[word] = out = self.own.get(word, WORDS + xxhash.xxh3_64_intdigest(word) % BUCKETS)
+        self[word] = out = self.own[word] if word in self.own else WORDS + bucket(word)
         return out
 
     def line(self, texts):
@@ -222,23 +255,32 @@ def score(docs):
     """
     text = F.col("text").cast("string").alias("text")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    top = word_counts(texts).orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    words = [bytes(r["word"]) for r in top]
+    counts = stage(word_counts(texts))
+    words = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
     net = train(texts, words)
     shared = docs.sparkSession.sparkContext.broadcast((words, net.flat))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())])
+    kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("rare", kind)])
 
     def run(batches):
         words, flat = shared.value
-        coder, net = Coder(words), Network(flat)
+        coder, net, frequent = Coder(words), Network(flat), frozenset(words)
         for batch in slices(batches):
-            line, at, owner = coder.line(batch.column("text").to_pylist())
+            texts = batch.column("text").to_pylist()
+            line, at, owner = coder.line(texts)
             n = np.bincount(owner, minlength=batch.num_rows)
             total = np.bincount(owner, net.log_probs(line, at), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total.astype(np.float64))], schema=schema)
-
-    out = texts.mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
-    return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+            rare = [[(w, k) for w, k in Counter((t or "").encode().split()).items() if w not in frequent] for t in texts]
+            cols = [batch.column("doc_id"), batch.column("row"), pa.array(n), pa.array(total.astype(np.float64)), pa.array(rare, kind)]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    # Written once, so that the rows' numbers hold.
+    numbered = texts.withColumn("row", F.monotonically_increasing_id())
+    out = stage(numbered.mapInArrow(run, "doc_id long, row long, n_tokens long, log_prob double, rare array<struct<word: binary, times: int>>"))
+    rare = out.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
+    more = rare.join(shares(counts, words), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("more"))
+    out = out.drop("rare").join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def op9_pseudo_likelihood(spark, sf_dir):

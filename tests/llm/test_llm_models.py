@@ -150,6 +150,22 @@ def test_scores(spark):
     assert masked.score(empty).count() == 0
 
 
+def test_rare_words_have_their_share_of_the_bucket(spark):
+    """Bucket by bucket the shares sum to one, and of two words of a bucket the rarer one scores less."""
+    words = [f"w{i}" for i in range(4000)]
+    same = [w.encode() for w in words if masked.bucket(w.encode()) == 7]
+    counts = {w.encode(): 1 + i % 5 for i, w in enumerate(words)}
+    got = {bytes(r["word"]): r["log_share"] for r in masked.shares(spark.createDataFrame(list(counts.items()), "word binary, n long"), same[:1]).collect()}
+    assert set(got) == set(counts) - {same[0]}
+    for b in range(masked.BUCKETS):
+        assert abs(sum(np.exp(v) for w, v in got.items() if masked.bucket(w) == b) - 1) < 1e-9
+    often, seldom = (w.decode() for w in same[:2])
+    frequent = " ".join(f"f{i} f{i} f{i} f{i} f{i} f{i} f{i} f{i} f{i}" for i in range(masked.WORDS))
+    docs = documents(spark, [f"{often} a", f"{seldom} a", " ".join([often] * 7), frequent, f"{often} a"])
+    score = {r["doc_id"]: r["log_prob"] for r in masked.score(docs).collect()}
+    assert abs(score[0] - score[1] - np.log(9)) < 1e-6 and score[0] == score[4]
+
+
 def test_span_query_equals_sql(spark, sf_dir):
     df = spans.op10_spans(spark, sf_dir)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == oracle_rows(sf_dir, spans.OP10_SQL)
