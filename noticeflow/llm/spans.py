@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of `RUN` consecutive sentences is hashed; equal hashes meet in one global aggregation that
-keeps the first place of each repeated run; every sentence covered by a repeated run elsewhere is
-removed.  Sentences end after a run of `.!?` followed by white space, or with the line.
+Every run of `RUN` consecutive sentences with enough words is hashed, and from every sentence also the
+shortest run that reaches these words, be it one long sentence or many short ones.  Equal hashes meet
+in one global aggregation that keeps the first place of each repeated run; every sentence covered by a
+repeated run elsewhere is removed.  Sentences end after a run of `.!?` followed by white space, or with
+the line.  The registered query takes runs of `RUN` sentences only, as its SQL defines.
 """
 
 import re
@@ -38,6 +40,20 @@ def runs(text, run=RUN, least_words=LEAST_WORDS):
     return [(int(i), b"\n".join(plain[i : i + run])) for i in np.flatnonzero(total >= least_words)]
 
 
+def passages(text, run=RUN, least_words=LEAST_WORDS):
+    """(first sentence, sentences, normalised text) of every run of `run` sentences with enough words and, from every sentence with words, of the shortest run that reaches them."""
+    words = [s.encode().split() for s in sentences(text)]
+    plain = [b" ".join(w) for w in words]
+    upto = np.cumsum([0] + [len(w) for w in words])
+    out = []
+    for i, end in enumerate(np.searchsorted(upto, upto[:-1] + least_words).tolist()):
+        if words[i] and end < len(upto):
+            out.append((i, end - i, b"\n".join(plain[i:end])))
+        if i + run < len(upto) and upto[i + run] - upto[i] >= least_words and (end - i != run or not words[i]):
+            out.append((i, run, b"\n".join(plain[i : i + run])))
+    return out
+
+
 def _key(docs):
     """The row's document: rows with equal doc_id and text are one document, each of which keeps its text."""
     text = F.col("text").cast("string")
@@ -46,64 +62,66 @@ def _key(docs):
     )
 
 
-def span_hashes(keyed, run=RUN, least_words=LEAST_WORDS):
-    """doc_id, digest, first sentence `at` and a 128-bit hash of every run."""
-    fields = [("doc_id", pa.int64()), ("digest", pa.int64()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
+def span_hashes(keyed, run=RUN, least_words=LEAST_WORDS, whole=True):
+    """doc_id, digest, first sentence `at`, sentences `size` and a 128-bit hash of every run; of `run` sentences only unless `whole`."""
+    fields = [("doc_id", pa.int64()), ("digest", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
     schema = pa.schema(fields)
 
     def work(batches):
         for batch in slices(batches):
-            row, at, h = [], [], []
+            row, at, size, h = [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                for i, s in runs(text or "", run, least_words):
+                found = passages(text or "", run, least_words) if whole else [(i, run, s) for i, s in runs(text or "", run, least_words)]
+                for i, n, s in found:
                     row.append(k)
                     at.append(i)
+                    size.append(n)
                     h.append(xxhash.xxh3_128_digest(s))
             take = pa.array(row, pa.int64())
             halves = np.frombuffer(b"".join(h), ">i8").reshape(-1, 2).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("digest").take(take), pa.array(at, pa.int32())]
+                [batch.column("doc_id").take(take), batch.column("digest").take(take), pa.array(at, pa.int32()), pa.array(size, pa.int32())]
                 + [pa.array(np.ascontiguousarray(halves[:, i])) for i in (0, 1)],
                 schema=schema,
             )
 
-    return keyed.mapInArrow(work, "doc_id long, digest long, at int, h1 long, h2 long")
+    return keyed.mapInArrow(work, "doc_id long, digest long, at int, size int, h1 long, h2 long")
 
 
 def repeated(spans):
-    """doc_id, digest, at of every run that is found before, by (doc_id, digest, at) with null ids first."""
+    """doc_id, digest, at, size of every run that is found before, by (doc_id, digest, at) with null ids first."""
     place = F.struct("doc_id", "digest", "at")
     first = stage(
         spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last"))
         .select("h1", "h2", "first")
     )
     # Both sides are plain tables, so a run found very often is split by the skew rule.
-    return spans.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "digest", "at")
+    return spans.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "digest", "at", "size")
 
 
-def _rewrite(text, at, run):
-    out = {i + k for i in at for k in range(run)}
+def _rewrite(text, at):
+    out = {r["at"] + k for r in at for k in range(r["size"])}
     return "".join(s for i, s in enumerate(sentences(text)) if i not in out), len(out)
 
 
-def _joined(docs, run, least_words):
-    """The rows with all their columns and `_at`: the repeated runs of the row's text, null if there is none."""
+def _joined(docs, run, least_words, whole):
+    """The rows with all their columns and `_at`: start and size of the repeated runs of the row's text, null if there is none."""
     small_batches(docs.sparkSession)
     digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    spans = stage(span_hashes(_key(docs), run, least_words))
-    gone = repeated(spans).groupBy("doc_id", "digest").agg(F.collect_set("at").alias("_at"))
+    spans = stage(span_hashes(_key(docs), run, least_words, whole))
+    gone = repeated(spans).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("at", "size")).alias("_at"))
     right = gone.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_at")
     left = docs.withColumn("_own", digest)
     on = left["doc_id"].cast("long").eqNullSafe(right["_id"]) & (left["_own"] == right["_digest"])
     return left.join(right, on, "left").select(*docs.columns, "_at")
 
 
-def deduplicate(docs, run=RUN, least_words=LEAST_WORDS):
+def deduplicate(docs, run=RUN, least_words=LEAST_WORDS, whole=True):
     """`doc_id`, `text` without repeated sentences, and `removed` (their number), a row for every row.
 
     The first place of a repeated run stays: that of the smallest doc_id (null before all).  Rows with
     equal doc_id and text count as one document and get equal results.  A null text stays null; texts
-    that consist of repeated runs only become empty.
+    that consist of repeated runs only become empty.  `whole` as in `span_hashes`.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.int32())])
@@ -111,21 +129,21 @@ def deduplicate(docs, run=RUN, least_words=LEAST_WORDS):
     def work(batches):
         for batch in slices(batches):
             texts, ats = batch.column("text").to_pylist(), batch.column("_at").to_pylist()
-            new = [_rewrite(t, at, run) if at else (t, 0) for t, at in zip(texts, ats)]
+            new = [_rewrite(t, at) if at else (t, 0) for t, at in zip(texts, ats)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([t for t, _ in new], pa.string()), pa.array([n for _, n in new], pa.int32())], schema=schema
             )
 
-    return _joined(slim, run, least_words).mapInArrow(work, "doc_id long, text string, removed int")
+    return _joined(slim, run, least_words, whole).mapInArrow(work, "doc_id long, text string, removed int")
 
 
-def rewritten(docs, run=RUN, least_words=LEAST_WORDS):
+def rewritten(docs, run=RUN, least_words=LEAST_WORDS, whole=True):
     """The rows of documents with repeated sentences removed and `n_chars` of the new text; rows whose text becomes empty go."""
 
     def work(batches):
         for batch in slices(batches):
             texts, ats = batch.column("text").to_pylist(), batch.column("_at").to_pylist()
-            new = [_rewrite(t, at, run)[0] if at else t for t, at in zip(texts, ats)]
+            new = [_rewrite(t, at)[0] if at else t for t, at in zip(texts, ats)]
             stay = pa.array([not at or bool(t.strip()) for t, at in zip(new, ats)], pa.bool_())
             sizes = [None if t is None else len(t) if at else n for t, at, n in zip(new, ats, batch.column("n_chars").to_pylist())]
             out = batch.select([n for n in batch.schema.names if n != "_at"])
@@ -133,11 +151,12 @@ def rewritten(docs, run=RUN, least_words=LEAST_WORDS):
                 out = out.set_column(out.schema.get_field_index(name), name, col)
             yield out.filter(stay)
 
-    return _joined(docs, run, least_words).mapInArrow(work, docs.schema)
+    return _joined(docs, run, least_words, whole).mapInArrow(work, docs.schema)
 
 
 def op10_spans(spark, sf_dir):
-    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """By runs of RUN sentences only, as OP10_SQL defines; the pipeline takes all runs."""
+    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=False)
 
 
 OP10_SQL = rf"""
