@@ -202,12 +202,15 @@ def lead(sketches, least, enough):
 _KEY = ["band", "bucket", "chunk"]
 
 
-def _in_chunks(rows):
-    """Rows of buckets with two or more of them, in chunks of about CHUNK; `chunks` of the bucket."""
+def _in_chunks(rows, turn=0):
+    """Rows of buckets with two or more of them, in chunks of about CHUNK; `chunks` of the bucket.
+
+    The chunk depends on band, bucket and `turn` as well, so texts apart in one bucket may meet in another.
+    """
     sizes = stage(rows.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     rows = rows.join(sizes, ["band", "bucket"]).withColumn("chunks", chunks)
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("n")
+    return rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(turn), "band", "bucket", "node"), F.col("chunks")).cast("int")).drop("n")
 
 
 def _lead_chunks(rows):
@@ -290,9 +293,10 @@ def candidates(sketched):
     several = found.filter("member is null and chunks > 1").select("band", "bucket", "chunks", "node", "sketch")
     whole = stage(several.select("band", "bucket", "chunks").distinct())
     several, final = several.drop("chunks"), []
-    n = several.count()
+    n, turn = several.count(), 0
     while n:
-        led = stage(_lead_chunks(_in_chunks(several)))
+        turn += 1
+        led = stage(_lead_chunks(_in_chunks(several, turn)))
         links.append(led.filter("member is not null").select(F.col("node").alias("a"), F.col("member").alias("b")))
         fewer = led.filter("member is null").select("band", "bucket", "chunks", "node", "sketch")
         several = fewer.filter("chunks > 1").drop("chunks")

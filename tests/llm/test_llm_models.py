@@ -74,6 +74,18 @@ def test_chunks_of_one_bucket(spark, monkeypatch):
     assert {r["class_id"] for r in classes.collect()} == {0}
 
 
+def test_chunks_differ_by_band_bucket_and_turn(spark):
+    """Two texts apart in one band are together in another."""
+    rows = spark.range(40).selectExpr("encode(cast(id as string), 'utf-8') as node").crossJoin(spark.range(12).selectExpr("cast(id as int) as band", "cast(5 as long) as bucket"))
+    old, neardup.CHUNK = neardup.CHUNK, 10
+    try:
+        chunk = {t: {(r["band"], bytes(r["node"])): r["chunk"] for r in neardup._in_chunks(rows, t).collect()} for t in (0, 1)}
+    finally:
+        neardup.CHUNK = old
+    apart = [sum(chunk[0][b, b"1"] != chunk[0][b, b"%d" % i] for b in range(12)) for i in range(2, 40)]
+    assert all(apart) and sum(n < 12 for n in apart) > 30 and chunk[0] != chunk[1]
+
+
 def test_label_model_learns_accuracies():
     rng = np.random.default_rng(0)
     right = [0.95, 0.9, 0.9, 0.85, 0.8, 0.75, 0.7]
