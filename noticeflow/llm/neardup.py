@@ -4,8 +4,10 @@ A text is the set of its five-word shingles, weighted by term frequency times in
 frequency.  Consistent weighted samples agree with the probability of the weighted Jaccard
 similarity; texts that agree in all samples of a band meet in a bucket.  In a bucket each text is
 held against leaders, texts of the bucket that are unlike each other, so a bucket of alike texts gives
-one link per text and not one per pair.  Links are verified on the whole texts, and the connected
-texts form a class.
+one link per text and not one per pair.  Links are verified on the whole texts.  Texts of a bucket that
+verified links have not joined yet are then held against the rest of the bucket in rounds, until no
+pair of different classes whose samples allow the similarity is left untried.  The connected texts
+form a class.
 """
 
 import functools
@@ -282,7 +284,7 @@ def _across(rows, leaders):
 
 
 def candidates(sketched):
-    """Distinct links (a: leader, b: member) to verify, from rows (node, bands, sketch) with distinct nodes."""
+    """Distinct links (a: leader, b: member) to verify, from rows (node, bands, sketch) with distinct nodes; and the rows of the buckets."""
     # Most texts are alone in their buckets: sketches join the rest only.
     met = sketched.filter("bands is not null").select("node", F.posexplode("bands").alias("band", "bucket"))
     met = stage(_in_chunks(met.select("band", "bucket", "node")))
@@ -308,10 +310,81 @@ def candidates(sketched):
     if final:
         leaders = functools.reduce(lambda x, y: x.union(y), final).join(whole, ["band", "bucket"])
         links.append(_across(rows, leaders))
-    pair = functools.reduce(lambda x, y: x.union(y), links)
+    return stage(_once(functools.reduce(lambda x, y: x.union(y), links))), rows
+
+
+def _once(pair):
+    """Every pair (a, b) once, whichever way round it came."""
     low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
     once = pair.select(low, high, "a").groupBy("low", "high").agg(F.min("a").alias("a"))
-    return stage(once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b")))
+    return once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
+
+
+def _open_pairs(rows, labels, most):
+    """Pairs (a, b) of a bucket in different classes that agree in enough samples; `cut` where a row had more than `most` in a chunk.
+
+    Only rows outside the bucket's largest class are held against the others: they pass by in a stream
+    after the members of each chunk.
+    """
+    least = _agreement()
+    own = rows.select("band", "bucket", "node", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = stage(own)
+    sizes = own.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
+    mixed = stage(mixed.select("band", "bucket", F.col("m.label").alias("main"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    own = stage(own.join(mixed, ["band", "bucket"]))
+    chunk = F.pmod(F.xxhash64("band", "bucket", "node"), F.col("chunks")).cast("int").alias("chunk")
+    members = own.select("band", "bucket", chunk, F.lit(0).alias("role"), "node", "label", "sketch")
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    others = own.filter("label != main").select("band", "bucket", every, F.lit(1).alias("role"), "node", "label", "sketch")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("cut", pa.bool_())])
+
+    def run(batches):
+        key, held, of, sketches, full = None, [], [], [], None
+        for batch in batches:
+            out = []
+            for r in batch.to_pandas().itertuples(index=False):
+                if (now := (r.band, r.bucket, r.chunk)) != key:
+                    key, held, of, sketches, full = now, [], [], [], None
+                row = np.frombuffer(r.sketch, np.uint8)
+                if r.role == 0:
+                    held.append(r.node)
+                    of.append(r.label)
+                    sketches.append(row)
+                elif held:
+                    if full is None:
+                        full, classes = np.stack(sketches), np.array(of, object)
+                    agree = (full == row).sum(axis=1)
+                    at = np.flatnonzero((agree >= least) & (classes != r.label))
+                    best = at[np.argsort(-agree[at], kind="stable")][:most]
+                    out += [(r.node, held[j], len(at) > len(best)) for j in best]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], schema.field(i).type) for i in range(3)], schema=schema)
+
+    dealt = members.union(others).repartition(*_KEY).sortWithinPartitions(*_KEY, "role", "node")
+    return dealt.mapInArrow(run, "a binary, b binary, cut boolean")
+
+
+#: Pairs of a row and chunk that the rounds try; the last takes all that are left.
+_TRIES = (4, 32, None)
+
+
+def settled(links, rows, verify):
+    """`node` and `label` of the classes by verified links, after rounds over the pairs that `links` has not tried."""
+    ends = lambda x: x.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    near, tried = stage(verify(links).select("a", "b")), ends(links)
+    labels = components(near)
+    for most in _TRIES:
+        pairs = stage(_open_pairs(rows, labels, most))
+        new = _once(pairs.select("a", "b"))
+        new = new.select("a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        new = stage(new.join(tried, ["low", "high"], "left_anti").select("a", "b"))
+        if not new.isEmpty():
+            near = near.union(stage(verify(new).select("a", "b")))
+            tried = tried.union(ends(new))
+            labels = components(near)
+        if pairs.filter("cut").isEmpty():
+            break
+    return labels
 
 
 #: A set of nodes as a bit map of this many bits, which lets through some more; its size is bounded.
@@ -391,9 +464,8 @@ def classify(docs):
     nodes = per_id.groupBy("node").agg(least.alias("m"), F.sum("n").alias("copies"))
     nodes = stage(nodes.select("node", F.col("m.doc_id").alias("first"), F.col("m.n").alias("same"), "copies"))
     distinct = stage(known.select("node", "bands", "sketch").dropDuplicates(["node"]))
-    links = candidates(distinct)
-    near = verified(links, rows.filter("node is not null"), nodes, idf)
-    joined = components(stage(near.select("a", "b").distinct()))
+    links, met = candidates(distinct)
+    joined = settled(links, met, lambda some: verified(some, rows.filter("node is not null"), nodes, idf))
     labelled = nodes.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stage(labelled)
     classes = stage(labelled.groupBy("label").agg(F.min("first").alias("class_id")))

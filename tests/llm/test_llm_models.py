@@ -86,6 +86,28 @@ def test_chunks_differ_by_band_bucket_and_turn(spark):
     assert all(apart) and sum(n < 12 for n in apart) > 30 and chunk[0] != chunk[1]
 
 
+def test_chunked_group_of_pairs_just_over_the_bound(spark, monkeypatch):
+    """Texts of 0.75 to each other, each with a partner of 0.80 to 0.85, in buckets of many chunks: classes as by brute force."""
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    base = prose(1, 30)
+    ones = [edited(base, 5, s) for s in range(40)]
+    texts = ones + [edited(t, 7, 100 + s) for s, t in enumerate(ones)]
+    n, counts = neardup.document_frequencies(documents(spark, texts))
+    sets = [neardup.weighted(t, neardup.inverse_frequencies(n, counts)) for t in texts]
+    want, found = list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            s = neardup.weighted_jaccard(sets[i], sets[j])
+            if s >= 0.8:
+                found.append(s)
+                low, high = sorted((want[i], want[j]))
+                want = [low if c == high else c for c in want]
+    assert sum(s < 0.85 for s in found) >= 20 and len(set(want)) > 5
+    classes, _ = neardup.classify(documents(spark, texts))
+    got = {r["doc_id"]: r["class_id"] for r in classes.collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_label_model_learns_accuracies():
     rng = np.random.default_rng(0)
     right = [0.95, 0.9, 0.9, 0.85, 0.8, 0.75, 0.7]
