@@ -4,7 +4,8 @@ Personal values are found by their form, validated (check digits, value ranges,
 days) and permuted by a keyed Feistel network within their own format: a card number becomes
 another valid card number, a day another day written the same way.  The permutation depends on the
 key, the kind and the format only, so equal values stay equal across documents and tables, and
-whoever holds the key can undo it.  Numbers that fail validation stay as they are.
+whoever holds the key can undo it.  Ten-digit phone numbers and addresses of irregular ranges are permuted
+among their like; other numbers that fail validation stay as they are.
 """
 
 import datetime
@@ -28,7 +29,7 @@ _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 
 _FORMS = re.compile(
     r"(?P<email>(?<![\w.%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}\b)"
-    r"|(?P<secret>\bAKIA[A-Z0-9]{16}\b|(?<=[\"'=])(?=[a-f]{0,15}\d)[0-9a-f]{16,64}\b|\bghp_[A-Za-z0-9]{36}\b)"
+    r"|(?P<secret>\bAKIA[A-Z0-9]{16}\b|(?<=[\"'=])(?=[A-Fa-f]{0,15}\d)[0-9A-Fa-f]{16,64}\b|\bghp_[A-Za-z0-9]{36}\b)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<date>(?<![\w/.\-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[./\-]\d{1,2}[./\-]\d{4})(?![\w/\-])(?!\.\d))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
@@ -130,18 +131,29 @@ class Pseudonyms:
             return "AKIA" + self._base(s[4:], "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b"secret36")
         if s.startswith("ghp_"):
             return "ghp_" + self._characters(s[4:], b"secret62")
-        return self._base(s, "0123456789abcdef", b"secret16")
-
-    def _base(self, s, alphabet, tweak):
-        x = 0
-        for c in s:
-            x = x * len(alphabet) + alphabet.index(c)
-        x = self.net.permute(x, len(alphabet) ** len(s), tweak + bytes([len(s)]), self.undo)
-        out = ""
-        for _ in s:
-            x, r = divmod(x, len(alphabet))
-            out = alphabet[r] + out
-        return out
+        # Without capitals, with capitals only and with both: each class keeps its letters, and a digit near the start.
+        case = lambda t: (re.search("[a-f]", t) is not None, re.search("[A-F]", t) is not None)
+        near = lambda t: re.search(r"\d", t[:16]) is not None
+        small, large = case(s)
+        if not large:
+            return self._base(s, "0123456789abcdef", b"secret16", near)
+        alphabet, tweak = ("0123456789abcdefABCDEF", b"secret22") if small else ("0123456789ABCDEF", b"secret16-capitals")
+        return self._base(s, alphabet, tweak, lambda t: near(t) and case(t) == (small, large))
+
+    def _base(self, s, alphabet, tweak, good=lambda t: True):
+        """Permutes within the good strings over the alphabet."""
+        while True:
+            x = 0
+            for c in s:
+                x = x * len(alphabet) + alphabet.index(c)
+            x = self.net.permute(x, len(alphabet) ** len(s), tweak + bytes([len(s)]), self.undo)
+            out = ""
+            for _ in s:
+                x, r = divmod(x, len(alphabet))
+                out = alphabet[r] + out
+            if good(out):
+                return out
+            s = out
 
     def _card(self, s):
         d = _digits(s)
@@ -158,10 +170,11 @@ class Pseudonyms:
             body = str(self.net.permute(int(body), 10 ** len(body), b"phone" + head.encode() + bytes([len(d)]), self.undo)).zfill(len(body))
             return _refill(s, head + body)
         head, body = d[:-10], d[-10:]
-        good = lambda x: 2_000_000_000 <= x and x // 1_000_000 % 10 >= 2
-        if not good(int(body)):
-            return None
-        return _refill(s, head + str(self._walk(int(body), 10**10, b"phone", good)))
+        # Regular and irregular codes are permuted among their like.
+        regular = lambda x: 2_000_000_000 <= x and x // 1_000_000 % 10 >= 2
+        own = regular(int(body))
+        x = self._walk(int(body), 10**10, b"phone" if own else b"phone-irregular", lambda x: regular(x) == own)
+        return _refill(s, head + str(x).zfill(10))
 
     def _ssn(self, s):
         good = lambda x: 0 < x // 1_000_000 < 900 and x // 1_000_000 != 666 and x // 10_000 % 100 and x % 10_000
@@ -176,9 +189,12 @@ class Pseudonyms:
             return None
         good = lambda x: 0 < x >> 24 < 224 and x >> 24 not in (10, 127)
         x = int.from_bytes(bytes(map(int, parts)), "big")
-        if not good(x):  # unspecified, private, loopback and multicast addresses name nobody
-            return None
-        return ".".join(map(str, self._walk(x, 1 << 32, b"ip", good).to_bytes(4, "big")))
+        if good(x):
+            x = self._walk(x, 1 << 32, b"ip", good)
+        else:  # 0, 10 and 127 keep their first part, 224 to 255 are permuted among each other
+            low, n = (224 << 24, 32 << 24) if x >> 24 >= 224 else (x >> 24 << 24, 1 << 24)
+            x = low + self.net.permute(x - low, n, b"ip-irregular" + bytes([low >> 24]), self.undo)
+        return ".".join(map(str, x.to_bytes(4, "big")))
 
     def _iban(self, s):
         flat = s.replace(" ", "")

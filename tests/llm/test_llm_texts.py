@@ -135,6 +135,18 @@ def test_pseudonyms_keep_format_and_can_be_undone():
         assert p.replace(v)[0] == v
 
 
+def test_irregular_phones_addresses_and_capital_secrets_are_hidden():
+    p, u = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", undo=True)
+    rng, values = random.Random(4), ["+1 (017) 555-7713", "+1 (132) 555-1352", "255-155-1352", "248.40.198.62", "10.0.0.1", "127.0.0.1", "0.1.2.3"]
+    values += ["".join(rng.choices(a, k=n)) for a in ("0123456789ABCDEF", "0123456789abcdefABCDEF", "0123456789abcdef") for n in (16, 17, 32, 64) for _ in range(400)]
+    values += [f"{a:03d}-{b:03d}-{c:04d}" for a, b, c in ((rng.randrange(200), rng.randrange(1000), rng.randrange(10_000)) for _ in range(200))]
+    values += [f"{rng.randrange(224, 256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(200)]
+    for v in values:
+        new, counts = p.replace(f'"{v}"')
+        assert new != f'"{v}"' and sum(counts.values()) == 1
+        assert p.replace(new)[1] == counts and u.replace(new)[0] == f'"{v}"'
+
+
 @pytest.mark.parametrize("n", [2, 3, 10, 97, 1000])
 def test_feistel_is_a_permutation(n):
     f = pseudonyms.Feistel(b"z")
