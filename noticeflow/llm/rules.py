@@ -18,7 +18,7 @@ from noticeflow.llm.common import slices, stage, word_hashes
 SHARE = 0.75
 STEPS = 4
 #: Groups with fewer rows take the estimate of their language, then of all rows.
-LEAST_ROWS = 200
+LEAST_ROWS = 30
 #: Squared Mahalanobis distance beyond which a text is rejected.  For normal statistics a chi-square
 #: value with 5 degrees of freedom exceeds it once in 600,000 rows; the statistics of clean texts have longer tails.
 CUTOFF = 35.0

@@ -192,6 +192,13 @@ def test_rules(spark):
     assert sum(kept[:400]) >= 396 and not any(kept[400:])
 
 
+def test_groups_of_some_tens_of_rows_have_their_own_estimate(spark):
+    data = [(i, prose(i, 6 + i % 5), "en", "hot" if i < 240 else "small") for i in range(280)] + [(300 + i, prose(i, 6), "en", "few") for i in range(5)]
+    stats = rules.transformed(rules.text_statistics(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")))
+    groups = {(r["source"], r["g"] == r["g2"]) for r in rules.fit(stats).select("source", "g", "g2").collect()}
+    assert groups == {("hot", True), ("small", True), ("few", False)}
+
+
 def plain_dedup(docs):
     """By the definition, over rows (doc_id, text) with distinct ids."""
     seen, out = set(), {}
