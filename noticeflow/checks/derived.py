@@ -90,7 +90,16 @@ select case when o_orderkey % 2 = 0 then o_orderkey else -1 - o_orderkey end as
 from {orders}
 """
 
+# fetches of listing pages over twenty days, of which some addresses are registered
+LANDINGS = r"""
+select o_orderkey as seq, concat('https://list', cast(o_orderkey % 6 as string), '.example.org/jobs') as request_url,
+  1704067200 + 3600 * (o_orderkey % 480) as fetched_s, cast(case when o_orderkey % 11 = 0 then 404 else 200 end as int) as status,
+  concat('<a href="/', cast(o_orderkey as string), '.pdf">Job ', cast(o_orderkey as string), '</a>') as html
+from {orders}
+"""
+
 ALL = {
+    "landings": LANDINGS,
     "notices": NOTICES,
     "bulletins": BULLETINS,
     "candidates": CANDIDATES,

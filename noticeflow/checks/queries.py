@@ -1,6 +1,6 @@
 """One query per operator over the given tables, with the oracle's SQL next to it."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 from pyspark.sql import functions as F
 
@@ -99,6 +99,30 @@ def s4_documents(spark, sf_dir):
     return found.select("doc_id", F.length("text").cast("bigint").alias("n_read"), "n_chars")
 
 
+_LISTED = [(f"list {i}", f"https://list{i}.example.org/jobs", "list", ()) for i in (4, 1, 2)]
+
+
+@check("s3_landed_pages", cte("landings") + f"""
+, sources(source_ord, source_name, request_url) as (values {", ".join(f"({i}, '{n}', '{u}')" for i, (n, u, _, _) in enumerate(_LISTED))})
+select l.seq, cast(s.source_ord as bigint) as source_ord, s.source_name, concat('Job ', cast(l.seq as varchar)) as title
+from landings l join sources s using (request_url)
+where l.status = 200 and l.fetched_s between epoch(timestamp '2024-01-10 12:30:00') and epoch(timestamp '2024-01-13 06:30:00')""")
+def s3_landed_pages(spark, sf_dir):
+    """Candidates of registered pages of a look-back, from a landed table in folders by day."""
+    path = scratch.scratch_path(spark, "landed")
+    fetched = derived(spark, sf_dir, "landings").select(
+        "request_url", F.col("request_url").alias("final_url"), "status", F.lit("text/html").alias("content_type"), "html",
+        F.timestamp_seconds("fetched_s").alias("fetched_at"),
+    )
+    landed.land(fetched, path)
+    pages = landed.registered_pages(landed.read_pages(spark, path), registry.sources_df(spark, _LISTED))
+    since, until = (datetime(2024, 1, d, h, 30, tzinfo=timezone.utc) for d, h in ((10, 12), (13, 6)))
+    recent = landed.good_pages(landed.in_lookback(pages, "fetched_at", since, until))
+    found = links.discover_links(recent, ("job",), keep=("source_ord",))
+    seq = F.regexp_extract("title", r"(\d+)$", 1).cast("bigint").alias("seq")
+    return found.select(seq, big("source_ord"), "source_name", "title")
+
+
 # --- store ----------------------------------------------------------------
 
 _STORE_COLUMNS = (
@@ -146,6 +170,36 @@ def s5_store_scan(spark, sf_dir):
     )
 
 
+def merged_versions(spark, sf_dir):
+    """Path of a store whose second version is a merge of the incoming batch."""
+    path = scratch.scratch_path(spark, "store")
+    keep = ("created_at", "updated_at", "_seq", "first_seq")
+    old, new = (conform(merge.latest_in_batch(b), keep=keep) for b in store_batches(spark, sf_dir))
+    store.write_store(old, path)
+    batch = scratch.stage(new)
+    store.merge_store(batch, path, batch.schema)
+    return path
+
+
+@check("k4_merge_store", _STORE_MERGED + f""" select fingerprint, {', '.join(_STORE_COLUMNS)}, seq, first_seq,
+  cast(created_at as varchar) as created_at, cast(updated_at as varchar) as updated_at from merged""")
+def k4_merge_store(spark, sf_dir):
+    """The store after a merge that rewrites the parts with keys of the batch."""
+    return store.read_store(spark, merged_versions(spark, sf_dir)).select(
+        "fingerprint", *_STORE_COLUMNS, F.col("_seq").alias("seq"), "first_seq", text_of("created_at"), text_of("updated_at")
+    )
+
+
+@check("e5_merge_counts", _STORE_KEYED + """
+, incoming as (select distinct fingerprint, fingerprint in (select fingerprint from keyed where batch = 0) as stored from keyed where batch = 1)
+select 'inserted' as name, count_if(not stored) as n from incoming
+union all select 'updated', count_if(stored) from incoming union all select 'replayed', 0""")
+def e5_merge_counts(spark, sf_dir):
+    """What the merge observed while it was written."""
+    history = store.store_history(spark, merged_versions(spark, sf_dir))
+    return history.filter("version = 2 and name != 'rows'").select("name", "n")
+
+
 _NOTICE_RECORDS = cte("notices", "candidates") + f""", fields as (
   select doc_id, {o.select_fields('text')} from notices
 ), recs as (
@@ -249,6 +303,22 @@ def d4_repeated_fetches(spark, sf_dir):
     return docs.attach_documents(found, fields).select("doc_id", F.col("document.document_hash").alias("document_hash"))
 
 
+@check("s4_linked_documents", cte("candidates", "responses") + f"""
+select request_url, sha256(case when seq % 2 = 0 then concat(body, ' again') else body end) as document_hash from responses
+where {_USABLE} and request_url in (select notification_url from candidates)""")
+def s4_linked_documents(spark, sf_dir):
+    """Fields of repeated fetches of those documents only that a candidate links to."""
+    first = http_documents(spark, sf_dir).withColumn("fetched_at", F.lit(datetime(2024, 1, 1)).cast("timestamp"))
+    again = first.filter("seq % 2 = 0").withColumns({
+        "content": F.concat("content", F.encode(F.lit(" again"), "UTF-8")),
+        "fetched_at": F.lit(datetime(2024, 1, 2)).cast("timestamp"),
+    })
+    wanted = scratch.stage(docs.has_notification(ordered_candidates(spark, sf_dir)).select("notification_url").distinct())
+    fields = daily.fields_by_url(first.unionByName(again), registry.RunConfig(), wanted)
+    exact = fields.join(wanted, fields["request_url"] == wanted["notification_url"], "left_semi")
+    return exact.select("request_url", "document_hash")
+
+
 @check("w2_manifest", _ATTACHED + f"""
 select file_name, final_url, document_hash from (
   select {o.file_name('final_url')} as file_name, final_url, document_hash,
@@ -273,6 +343,19 @@ def w3_report_write(spark, sf_dir):
     return back.select("no", "report_date", "post")
 
 
+def _written_report(spark, sf_dir):
+    path = scratch.scratch_path(spark, "report")
+    conf = registry.RunConfig(report_path=path, report_date="2024-01-02")
+    daily.write_report(daily.report(spark, conf, notice_store(spark, sf_dir)), conf)
+    return path
+
+
+@check("w3_report_summary", _NOTICE_RECORDS + f" select *, cast('2024-01-02' as date) as report_date from ({_SUMMARY})")
+def w3_report_summary(spark, sf_dir):
+    """Every column of the written summary."""
+    return spark.read.parquet(f"{_written_report(spark, sf_dir)}/summary")
+
+
 @check("w4_totals", _STORE_MERGED + " select count(*) as records from merged")
 def w4_totals(spark, sf_dir):
     return rep.run_totals(merged_store(spark, sf_dir))
@@ -794,6 +877,12 @@ def r4_detail(spark, sf_dir):
     return rep.report_detail(rep.with_number(notice_store(spark, sf_dir)))
 
 
+@check("w3_report_detail", f"select *, cast('2024-01-02' as date) as report_date from ({ORACLE['r4_detail']})")
+def w3_report_detail(spark, sf_dir):
+    """Every column of the written detail."""
+    return spark.read.parquet(f"{_written_report(spark, sf_dir)}/detail")
+
+
 @check("r5_not_stated", """
 select doc_id, case when n_chars % 3 = 0 then 'Not stated' else cast(n_chars % 3 as varchar) end as number,
   case when doc_id % 2 = 0 then 'Not stated' else lang end as text from documents""")

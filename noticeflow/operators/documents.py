@@ -7,6 +7,10 @@ from noticeflow.functions.fields import with_text_fields
 from noticeflow.functions.text import non_blank, nz
 from noticeflow.functions.urls import safe_file_name
 
+#: Bits of the link filter for each link, and at most: 2^27 bits are the 16 MB that are broadcast.
+BITS_EACH, MOST_BITS = 16, 1 << 27
+_BITMAP = 1 << 15  # bits of one value of the bitmap aggregate
+
 # candidates without a notification link are spread over this many keys that match nothing
 _BLANK_KEYS = 4096
 
@@ -40,6 +44,32 @@ def document_fields(documents, document_dir="documents", keep=()):
     return with_text_fields(document_texts(documents, document_dir, keep))
 
 
+def link_filter(links, bits, column="notification_url"):
+    """Bitmaps (`bucket`, `bitmap`) of the hashed links, at most `bits` bits in all."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+    return links.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bitmap")
+    )
+
+
+def linked_documents(documents, links):
+    """The documents that a link (`notification_url`) may name, before anything of them is read into fields.
+
+    All documents with a link stay and a sixteenth at most of the others, as long as there are up to
+    MOST_BITS / BITS_EACH links; of more links the filter keeps its size and lets more through.  Exact
+    matching is left to the join with candidates, so results don't depend on it.  `links` should be a
+    written table, as it is counted first.
+    """
+    wanted = BITS_EACH * max(links.count(), 1)
+    bits = min(MOST_BITS, max(_BITMAP, 1 << (wanted - 1).bit_length()))
+    bitmaps = F.broadcast(link_filter(links, bits))
+    place = F.pmod(F.xxhash64("request_url"), F.lit(bits)) + 1
+    at = F.bitmap_bit_position(place)
+    byte = F.substring(bitmaps["bitmap"], F.floor(at / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1
+    return documents.join(bitmaps, (F.bitmap_bucket_number(place) == bitmaps["bucket"]) & is_set, "left_semi")
+
+
 def latest_documents(documents, order):
     """One row per requested URL where landed fetches repeat: the last one by `order`."""
     others = [c for c in documents.columns if c != "request_url"]

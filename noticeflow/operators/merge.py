@@ -74,6 +74,11 @@ def upsert(store, batch):
     joined to the store without a shuffle of it; a larger one meets it in one full join, so the
     store is read once.  A row older than the stored one (a replay) changes nothing.
     """
+    return upsert_actions(store, batch).drop("_action")
+
+
+def upsert_actions(store, batch):
+    """`upsert` with `_action`: keep, insert, update or replay."""
     if fits_broadcast(batch):
         return _upsert_small(store, batch)
     names = [c for c in store.columns if c != "fingerprint"]
@@ -91,9 +96,15 @@ def upsert(store, batch):
             .alias(c)
             for c in names
         ],
+        _action(stored, F.col("_new").isNotNull(), wins),
     )
 
 
+def _action(stored, given, wins):
+    taken = F.when(wins, "update").otherwise("replay")
+    return F.when(~given, "keep").when(~stored, "insert").otherwise(taken).alias("_action")
+
+
 def _upsert_small(store, batch):
     names = [c for c in store.columns if c != "fingerprint"]
     new = batch.select("fingerprint", F.struct(*names).alias("_new"))
@@ -109,10 +120,11 @@ def _upsert_small(store, batch):
             ).alias(c)
             for c in names
         ],
+        _action(F.lit(True), F.col("_new").isNotNull(), wins),
     )
     stored = store.select("fingerprint").join(batch.select("fingerprint"), "fingerprint", "left_semi")
     inserts = batch.join(stored, "fingerprint", "left_anti").select("fingerprint", *names)
-    return merged.unionByName(inserts)
+    return merged.unionByName(inserts.withColumn("_action", F.lit("insert")))
 
 
 def assert_unique(store):

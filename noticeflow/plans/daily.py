@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 from noticeflow.operators.audit import absent_sources, link_audit, page_audit, row_audit, run_audit
 from noticeflow.operators.documents import (
-    attach_documents, document_fields, document_texts, has_notification, latest_documents,
+    attach_documents, document_fields, document_texts, has_notification, latest_documents, linked_documents,
 )
 from noticeflow.operators.links import discover_links, link_candidates, linked_pages, with_seq
-from noticeflow.operators.merge import latest_in_batch, upsert, with_key
+from noticeflow.operators.merge import latest_in_batch, with_key
 from noticeflow.operators.overlay import (
     extraction_requests, ingest_responses, latest_answers, overlay,
 )
@@ -26,8 +26,8 @@ from noticeflow.sources.landed import (
     good_pages, in_lookback, read_documents, read_pages, read_responses, registered_pages,
 )
 from noticeflow.sources.registry import sources_df
-from noticeflow.sources.scratch import drop, fits_broadcast, stage
-from noticeflow.sources.store import read_store, store_schema, write_store
+from noticeflow.sources.scratch import drop, stage
+from noticeflow.sources.store import merge_store, read_store, read_version, store_schema
 
 SEQ = T.StructType(
     [
@@ -45,6 +45,8 @@ class RunResult:
     detail: DataFrame
     totals: DataFrame
     audit: Any = None
+    # keys inserted, updated and replayed by the merge that made the stored version
+    counts: Any = None
 
 
 CARRIED = ("source_ord", "fetched_at")
@@ -65,13 +67,11 @@ def request_id():
 def fields_by_url(documents, conf, links=None):
     """Fields of the last usable fetch of every document.
 
-    With a table of `links` (`notification_url`) that may be broadcast, other documents are left
-    out before their texts are read into fields.  A larger one is not used: matching by a shuffle
-    would move all contents to save work on some.
+    With a table of `links` (`notification_url`), of any size, other documents are left out before
+    their texts are read into fields, but for a few that the filter lets through.
     """
-    if links is not None and fits_broadcast(links):
-        wanted = links.select(F.col("notification_url").alias("request_url"))
-        documents = documents.join(F.broadcast(wanted), "request_url", "left_semi")
+    if links is not None:
+        documents = linked_documents(documents, links)
     fields = document_fields(documents, conf.document_dir, keep=("fetched_at",))
     return latest_documents(fields, F.struct("fetched_at", "document_hash")).drop("fetched_at")
 
@@ -102,8 +102,8 @@ def in_run(df, conf, run_ts):
     """With the look-back on, the rows fetched within it."""
     if not conf.apply_lookback:
         return df
-    since = F.lit(run_ts - timedelta(hours=conf.lookback_hours)).cast("timestamp")
-    return in_lookback(df, "fetched_at", since, F.lit(run_ts).cast("timestamp"))
+    since = run_ts - timedelta(hours=conf.lookback_hours)
+    return in_lookback(df, "fetched_at", since, run_ts)
 
 
 def pending_requests(spark, conf, run_ts=None):
@@ -130,6 +130,13 @@ def update_store(spark, conf, run_ts):
     """Discover, extract, merge; returns the run's audit."""
     now = F.lit(run_ts).cast("timestamp")
     staged = []
+    try:
+        return _update_store(spark, conf, run_ts, now, staged)
+    finally:
+        drop(spark, staged)
+
+
+def _update_store(spark, conf, run_ts, now, staged):
     sources = sources_df(spark, conf.sources)
     pages = in_run(registered_pages(read_pages(spark, conf.pages_path), sources), conf, run_ts)
     # read by discovery, by the document filter and by the audit: pages are parsed once
@@ -145,13 +152,10 @@ def update_store(spark, conf, run_ts):
     records = keyed_records(rows, conf).withColumn("written_at", now)
     # joined to the store, with a known size
     batch = stage(latest_in_batch(records), staged=staged)
-    store = read_store(spark, conf.store_path, store_schema(SEQ))
-    write_store(upsert(store, batch), conf.store_path, conf.snapshots_kept)
-    audit = stage(
+    merge_store(batch, conf.store_path, store_schema(SEQ), conf.snapshots_kept, conf.store_parts)
+    return stage(
         run_audit(page_audit(pages), absent_sources(sources, pages), link_audit(linked), row_audit(rows))
     )
-    drop(spark, staged)
-    return audit
 
 
 def report(spark, conf, store=None):
@@ -182,5 +186,6 @@ def run(spark, conf, report_only=False, run_ts=None):
         audit = update_store(spark, conf, run_ts or datetime.now(timezone.utc))
     result = report(spark, conf)
     result.audit = audit
+    result.counts = read_version(spark, conf.store_path).counts
     write_report(result, conf)
     return result

@@ -24,6 +24,7 @@ class RunConfig:
     apply_lookback: bool = False
     overlay_enabled: bool = False
     snapshots_kept: int = 7
+    store_parts: int = 64
     report_format: str = "parquet"
     report_date: str = ""
 

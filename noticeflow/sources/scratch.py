@@ -47,6 +47,23 @@ def exists(spark, path):
     return fs.exists(where)
 
 
+def write_text(spark, path, text):
+    """Write a small file; readers that see it complete are up to the caller."""
+    fs, where, _ = hadoop_path(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark, path):
+    fs, where, _ = hadoop_path(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def drop(spark, paths):
     """Delete tables or folders; one that is already gone is no error."""
     for path in paths:

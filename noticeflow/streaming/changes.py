@@ -7,19 +7,23 @@ rewrite the store each time.  Daily runs and streams over listing pages share on
 and so one store.
 """
 
+import json
 from datetime import datetime, timezone
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeflow.operators.merge import combine_changes, latest_in_batch, upsert
+from noticeflow.operators.merge import combine_changes, latest_in_batch
 from noticeflow.plans.daily import candidates_of, keyed_records, working_rows
 from noticeflow.schema import conform
 from noticeflow.sources.landed import registered_pages
-from noticeflow.sources.scratch import drop, stage
-from noticeflow.sources.store import complete, read_store, store_schema, versions, write_store
+from noticeflow.sources.scratch import drop, exists, read_text, stage, write_text
+from noticeflow.sources.store import complete, merge_store, store_schema, versions
 
 _PREFIX = "changes-"
+#: Counts of a change set, beside its files; readers of the table pass over names with an underscore.
+_COUNTS = "_counts.json"
 # order of rows within a batch
 ORDER = ("source_ord", "fetched_at", "pos")
 
@@ -36,6 +40,14 @@ def page_records(pages, sources, fields, conf, written_at, answers=None):
     return conform(keyed, keep=ORDER).withColumn("written_at", written_at)
 
 
+def row_counts():
+    """What a micro-batch counts while it is written: records, and those with, without and with an unreadable document."""
+    wants = F.coalesce(F.col("notification_url"), F.lit("")) != ""
+    found = F.coalesce(F.col("document_hash"), F.lit("")) != ""
+    conditions = {"records": F.lit(True), "documents_found": wants & found, "documents_missing": wants & ~found}
+    return [F.count_if(c).alias(name) for name, c in conditions.items()]
+
+
 def change_writer(changes_path, order=ORDER, stream=None):
     """`foreachBatch` function: the batch's latest records as one change set.
 
@@ -47,9 +59,11 @@ def change_writer(changes_path, order=ORDER, stream=None):
     def write(batch, batch_id):
         name = stream or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         now = F.lit(datetime.now(timezone.utc)).cast("timestamp").alias("run_ts")
-        ordered = batch.withColumn("_seq", F.struct(now, *order)).drop(*order)
-        latest = latest_in_batch(ordered)
-        latest.write.mode("overwrite").parquet(f"{changes_path}/{_PREFIX}{name or 'main'}-{batch_id}")
+        spark, seen = batch.sparkSession, Observation()
+        ordered = batch.withColumn("_seq", F.struct(now, *order)).drop(*order).observe(seen, *row_counts())
+        path = f"{changes_path}/{_PREFIX}{name or 'main'}-{batch_id}"
+        latest_in_batch(ordered).write.mode("overwrite").parquet(path)
+        write_text(spark, f"{path}/{_COUNTS}", json.dumps(seen.get))
 
     return write
 
@@ -86,18 +100,32 @@ def read_changes(spark, sets, schema):
     return combine_changes(spark.read.schema(schema).parquet(*sets))
 
 
+def set_counts(spark, sets):
+    """Sums of the counts of change sets; a set without any adds none."""
+    total = {}
+    for path in sets:
+        if exists(spark, f"{path}/{_COUNTS}"):
+            for name, n in json.loads(read_text(spark, f"{path}/{_COUNTS}")).items():
+                total[name] = total.get(name, 0) + n
+    return total
+
+
 def fold_changes(spark, store_path, changes_path, schema, keep=None):
     """Merge all complete change sets into the store and delete them.
 
     A set that is still being written waits for the next fold.  Should the fold be lost between
-    the new snapshot and the deletion, the next one merges the same rows again, which changes nothing.
-    Returns the latest snapshot's number, 0 for none.
+    the new version and the deletion, the next one merges the same rows again, which changes nothing
+    but the version's counts.  The counts of the sets go to the version (`store_history`).
+    Returns the latest version's number, 0 for none.
     """
     sets = change_sets(spark, changes_path)
     if not sets:
         return max(versions(spark, store_path), default=0)
     staged = []
-    changes = stage(read_changes(spark, sets, schema), staged=staged)
-    number = write_store(upsert(read_store(spark, store_path, schema), changes), store_path, keep)
-    drop(spark, [*sets, *staged])
+    try:
+        changes = stage(read_changes(spark, sets, schema), staged=staged)
+        number = merge_store(changes, store_path, schema, keep, counts=set_counts(spark, sets)).number
+        drop(spark, sets)
+    finally:
+        drop(spark, staged)
     return number

@@ -262,11 +262,14 @@ def test_documents_of_other_runs_are_not_read_into_fields(spark, scratch):
     links = stage(spark.createDataFrame([("https://www.alpha.gov.in/list/2.pdf",)], "notification_url string"))
     assert [r.request_url for r in daily.fields_by_url(documents, conf, links).collect()] == [links.first()[0]]
     assert daily.fields_by_url(documents, conf).count() == 2
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "LeftSemi" not in daily.fields_by_url(documents, conf, links)._jdf.queryExecution().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("-1", "10485760"):  # one plan for any number of links
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            plan = daily.fields_by_url(documents, conf, links)._jdf.queryExecution().optimizedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        # fields stand above the filter, so texts that no link names are not read into them
+        assert plan.index("document_hash") < plan.index("Join LeftSemi") and "sha2" not in plan[plan.index("Join LeftSemi"):]
     assert daily.in_run(documents, config(scratch, apply_lookback=True), datetime(2024, 3, 1, tzinfo=timezone.utc)).count() == 0
 
 
