@@ -951,6 +951,19 @@ def e5_audit(spark, sf_dir):
     return audit.run_audit(audit.row_audit(audit_rows(spark, sf_dir)))
 
 
+@check("e5_observed_audit", ORACLE["e5_audit"])
+def e5_observed_audit(spark, sf_dir):
+    """The same counts, observed while the rows are written."""
+    rows = audit_rows(spark, sf_dir)
+    names = [f"source {i}" for i in range(4)]
+    rows, counts = audit.observed(rows, names, F.col("candidate.source_name"), audit.row_stages(rows.columns))
+    written = []
+    scratch.stage(rows, staged=written)
+    scratch.drop(spark, written)
+    found = [(name, stage, n) for (name, stage), n in counts().items()]
+    return spark.createDataFrame(found, "source_name string, stage string, n bigint")
+
+
 @check("e1_page_audit", cte("responses") + """
 , p as (select 'source ' || cast(seq % 4 as varchar) as source_name, status from responses)
 select source_name, 'pages_ok' as stage, count_if(status not between 400 and 599) as n from p group by 1

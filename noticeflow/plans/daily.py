@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeflow.operators.audit import absent_sources, link_audit, page_audit, row_audit, run_audit
+from noticeflow.operators.audit import (
+    MOST_OBSERVED, absent_sources, link_audit, link_stages, observed, observed_audit, page_audit, page_stages, row_audit,
+    row_stages, run_audit,
+)
 from noticeflow.operators.documents import (
     attach_documents, document_fields, document_texts, has_notification, latest_documents, linked_documents,
 )
@@ -138,21 +141,29 @@ def update_store(spark, conf, run_ts):
 
 def _update_store(spark, conf, run_ts, now, staged):
     sources = sources_df(spark, conf.sources)
+    names = list(dict.fromkeys(s[0] for s in conf.sources))
+    watched = names if len(names) <= MOST_OBSERVED else []
     pages = in_run(registered_pages(read_pages(spark, conf.pages_path), sources), conf, run_ts)
-    # read by discovery, by the document filter and by the audit: pages are parsed once
-    linked = stage(
-        linked_pages(good_pages(pages), conf.keywords, conf.links_per_page, CARRIED), staged=staged
-    )
+    seen, page_counts = observed(pages, watched, F.col("source_name"), page_stages())
+    # read by discovery and by the document filter: pages are parsed once
+    linked = linked_pages(good_pages(seen), conf.keywords, conf.links_per_page, CARRIED)
+    linked, link_counts = observed(linked, watched, F.col("source_name"), link_stages())
+    linked = stage(linked, staged=staged)
     found = with_seq(link_candidates(linked, CARRIED), SEQ.names[1:], now)
     links = stage(has_notification(found).select("notification_url").distinct(), staged=staged)
     fields = fields_by_url(in_run(read_documents(spark, conf.documents_path), conf, run_ts), conf, links)
     answers = landed_answers(spark, conf) if conf.overlay_enabled and conf.responses_path else None
-    # read by the merge and by the audit
-    rows = stage(working_rows(found, fields, conf, answers), staged=staged)
+    rows = working_rows(found, fields, conf, answers)
+    rows, row_counts = observed(rows, watched, F.col("candidate.source_name"), row_stages(rows.columns))
+    # written as they are: counts are taken by the tasks that write, so a lost shuffle counts no row twice
+    rows = stage(rows, staged=staged)
     records = keyed_records(rows, conf).withColumn("written_at", now)
     # joined to the store, with a known size
     batch = stage(latest_in_batch(records), staged=staged)
     merge_store(batch, conf.store_path, store_schema(SEQ), conf.snapshots_kept, conf.store_parts)
+    if watched:
+        counts = observed_audit(names, page_counts(), link_counts(), row_counts())
+        return stage(spark.createDataFrame(counts, "source_name string, stage string, n bigint"))
     return stage(
         run_audit(page_audit(pages), absent_sources(sources, pages), link_audit(linked), row_audit(rows))
     )

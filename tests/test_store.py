@@ -187,3 +187,20 @@ def test_the_link_filter_has_a_size(spark, monkeypatch):
     assert docs.link_filter(links, docs.MOST_BITS).count() == 2
     documents = spark.range(50_000).select(F.concat(F.lit("u"), "id").alias("request_url"))
     assert docs.linked_documents(documents, links).count() == 50_000
+
+
+def test_observed_audit_equals_the_grouped_one(spark, scratch, monkeypatch):
+    rows = [(f"https://s{i}.org/", f"https://s{i}.org/", (200, 404, None, 200)[i], "text/html", f'<a href="{i}.pdf">Notice {i}</a><a href="http://[x">y</a>' if i else "", AT) for i in range(4)]
+    spark.createDataFrame(rows * 3, PAGES).write.parquet(f"{scratch}/pages")
+    document = [("https://s3.org/3.pdf", "https://s3.org/3.pdf", 200, "application/pdf", b"x", None, AT)]
+    spark.createDataFrame(document, "request_url string, final_url string, status int, content_type string, content binary, pages array<string>, fetched_at timestamp").write.parquet(f"{scratch}/docs")
+    sources = tuple((f"S{i}", f"https://s{i}.org/", "s", ()) for i in range(6))
+    got = []
+    for most in (64, 0):
+        monkeypatch.setattr(daily, "MOST_OBSERVED", most)
+        conf = RunConfig(pages_path=f"{scratch}/pages", documents_path=f"{scratch}/docs", store_path=f"{scratch}/store{most}", sources=sources, keywords=("notice",))
+        got.append({(r.source_name, r.stage, r.n) for r in daily.update_store(spark, conf, AT).collect()})
+    assert got[0] == got[1] and ("S5", "sources_absent", 1) in got[0] and ("S1", "pages_failed", 3) in got[0]
+    nothing = RunConfig(**{**conf.__dict__, "sources": (), "store_path": f"{scratch}/none"})
+    monkeypatch.setattr(daily, "MOST_OBSERVED", 64)
+    assert daily.update_store(spark, nothing, AT).count() == 0
