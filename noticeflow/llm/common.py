@@ -1,5 +1,8 @@
 """Small helpers that several operators share."""
 
+import contextlib
+import contextvars
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -7,12 +10,45 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from noticeflow.sources.scratch import stage
+from noticeflow.sources import scratch
 
 #: Rows handed to Python code at a time stay under this many bytes of text.
 SLICE_BYTES = 4 << 20
 
 
+_AT_WORK = contextvars.ContextVar("working tables", default=None)
+
+
+def stage(df, keep=False):
+    """Write `df` and read it back.  Within `working` the table is deleted at the end, unless `keep`: what a result reads stays."""
+    return scratch.stage(df, staged=None if keep else _AT_WORK.get())
+
+
+@contextlib.contextmanager
+def working(spark):
+    """Deletes the tables that `stage` wrote within, also when the work fails."""
+    paths = []
+    token = _AT_WORK.set(paths)
+    try:
+        yield
+    finally:
+        _AT_WORK.reset(token)
+        scratch.drop(spark, paths)
+
+
+def maybe_in(df, key, some, bits=1 << 20):
+    """Rows of `df` whose non-null `key` may be in the column `key` of `some`: all that are, and some more as `some` grows.
+
+    Only a bit map of `bits` bits is broadcast.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    number, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = some.groupBy(number.alias("_number")).agg(F.bitmap_construct_agg(at).alias("_map"))
+    byte = F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (at % 8).cast("int")) == 1
+    return df.filter(F.col(key).isNotNull()).join(F.broadcast(maps), (number == F.col("_number")) & is_set, "left_semi")
+
+
 class HashOf(dict):
     """Word (bytes) to a stable 64-bit hash; forgets everything once `limit` words are known."""
 

@@ -4,31 +4,34 @@ A text is the set of its five-word shingles, weighted by term frequency times in
 frequency.  Consistent weighted samples agree with the probability of the weighted Jaccard
 similarity; texts that agree in all samples of a band meet in a bucket.  In a bucket each text is
 held against leaders, texts of the bucket that are unlike each other, so a bucket of alike texts gives
-one link per text and not one per pair.  Links are verified on the whole texts.  Texts of a bucket that
-verified links have not joined yet are then held against the rest of the bucket in rounds, until no
-pair of different classes whose samples allow the similarity is left untried.  The connected texts
-form a class.
+one link per text and not one per pair.  Links are verified on the whole texts, and the texts they
+connect form classes.  Buckets whose texts are of several classes then are settled exactly: the sets of
+those outside the bucket's largest class meet all sets of the bucket in cells of bounded size, every
+similarity is worked out there, and only links that join classes leave the cell.
 """
 
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import rolling, slices, stage, whole_groups, word_hashes
+from noticeflow.llm.common import maybe_in, rolling, slices, small_batches, stage, whole_groups, word_hashes, working
 from noticeflow.llm.components import components
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-#: Document frequencies are counted per hash bucket: sizes are bounded, and a bucket's share of the
-#: documents is the same at any number of them.
-DF_BITS = 18
-#: idf = 1 + ln(documents / document frequency) / IDF_SCALE: gentle, so that a passage shared by many
-#: copies still counts when the copies are compared.
-IDF_SCALE = 25.0
+#: Texts are counted per hash bucket first; a bucket that fewer texts than LEAST_SHARE meet holds no frequent shingle.
+DF_BITS = 20
+#: Shingles of fewer texts than this share count as in none.  The sum of all shares is the mean number of
+#: shingles of a text, so at most that mean over LEAST_SHARE shingles have a count of their own.
+LEAST_SHARE = 0.002
+#: idf = ln((1 + 2 SMOOTH) / (share of texts + SMOOTH)): smoothed, so that a passage that many copies share
+#: still counts when the copies are compared.
+SMOOTH = 0.05
+#: Shares are of this many texts at least, so that in a small table no passage counts as common.
+LEAST_TEXTS = 10_000
 CHUNK = 512
 #: Share of agreeing samples with a leader from which a text leads no others.
 LEADING = 0.78
@@ -44,8 +47,12 @@ def shingles(text, width=WIDTH):
     return np.unique(rolling(word_hashes(words), width), return_counts=True)
 
 
-def document_frequencies(texts):
-    """Number of texts and, for each hash bucket, of texts with a shingle in it; null texts don't count.
+def _buckets(hashes):
+    return (hashes >> np.uint64(64 - DF_BITS)).astype(np.int64)
+
+
+def _bucket_counts(texts):
+    """Number of texts and, for each hash bucket, of texts with a shingle in it.
 
     Each task adds up one bounded array and hands it on in parts, which are summed part by part.
     """
@@ -53,41 +60,97 @@ def document_frequencies(texts):
     schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
     def count(batches):
-        total, n = np.zeros(size, np.int64), 0
+        total, n = np.zeros(size, np.uint32), 0
         for batch in slices(batches):
-            found = []
             for t in batch.column("text").to_pylist():
                 if t is not None:
                     n += 1
-                    found.append(np.unique(shingles(t)[0] >> np.uint64(64 - DF_BITS)))
-            if found:
-                total += np.bincount(np.concatenate(found).astype(np.int64), minlength=size)
-        rows = [p.tobytes() for p in np.split(total, _PARTS)] + [np.array([n], np.int64).tobytes()]
+                    total[np.unique(_buckets(shingles(t)[0]))] += np.uint32(1)
+        rows = [p.tobytes() for p in np.split(total, _PARTS)] + [np.array([n], np.uint32).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS + 1), pa.int32()), pa.array(rows, pa.binary())], schema=schema)
 
     def add(batches):
         sums = {}
         for batch in batches:
             for part, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                counts = np.frombuffer(counts, np.int64)
+                counts = np.frombuffer(counts, np.uint32).astype(np.int64)
                 sums[part] = sums[part] + counts if part in sums else counts
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], schema=schema)
 
     kind = "part int, counts binary"
-    parts = texts.select("text").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect()  # 2 MB in all
+    parts = texts.select("text").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect()  # 8 MB in all
     sums = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in parts}
     if not sums:
         return 0, np.zeros(size, np.int64)
     return int(sums[_PARTS][0]), np.concatenate([sums[p] for p in range(_PARTS)])
 
 
-def inverse_frequencies(n, counts):
-    return (1 + np.log(max(n, 1) / np.maximum(counts, 1)).clip(0) / IDF_SCALE).astype(np.float32)
+def document_frequencies(texts):
+    """Number of texts, and the shingles that LEAST_SHARE of them or more hold: hashes in order, and how many texts; null texts don't count.
+
+    Counts are exact: a second pass counts every shingle of the buckets that are met often enough.
+    """
+    n, buckets = _bucket_counts(texts)
+    least = LEAST_SHARE * max(n, LEAST_TEXTS)
+    often = texts.sparkSession.sparkContext.broadcast(np.packbits(buckets >= least))
+    schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+
+    def count(batches):
+        flags, held, size = np.unpackbits(often.value).astype(bool), [], 0
+        for batch in slices(batches):
+            for t in batch.column("text").to_pylist():
+                if t:
+                    h = rolling(word_hashes(t.encode().split()), WIDTH)
+                    own = np.unique(h[flags[_buckets(h)]])
+                    held.append(own)
+                    size += len(own)
+            if size > 2_000_000:
+                yield _counted(held, schema)
+                held, size = [], 0
+        if held:
+            yield _counted(held, schema)
+
+    if not n or not (buckets >= least).any():
+        return n, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    found = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = found.toArrow()
+    keys, counts = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return n, (keys[order], counts[order])
+
+
+def _counted(held, schema):
+    found, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], schema=schema)
+
+
+class Weights:
+    """Inverse document frequency of shingles: of the frequent ones by their count, of all others one value."""
+
+    def __init__(self, n, frequent):
+        self.keys, counts = frequent
+        self.values = np.log((1 + 2 * SMOOTH) / (counts / max(n, LEAST_TEXTS) + SMOOTH)).astype(np.float32)
+        self.rare = np.float32(np.log((1 + 2 * SMOOTH) / SMOOTH))
+        self.flags = np.zeros(1 << DF_BITS, bool)
+        self.flags[_buckets(self.keys)] = True
+
+    def of(self, hashes):
+        out = np.full(len(hashes), self.rare, np.float32)
+        at = np.flatnonzero(self.flags[_buckets(hashes)])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
+            same = self.keys[place] == hashes[at]
+            out[at[same]] = self.values[place[same]]
+        return out
+
+
+def inverse_frequencies(n, frequent):
+    return Weights(n, frequent)
 
 
 def weighted(text, idf):
     found, times = shingles(text)
-    return found, times * idf[found >> np.uint64(64 - DF_BITS)]
+    return found, times * idf.of(found)
 
 
 def weighted_jaccard(a, b):
@@ -133,8 +196,8 @@ def samples(sets, k=BANDS * ROWS):
 
 
 def signatures(texts, idf, most=60_000):
-    """doc_id, node, `bands` (null for texts without words) and `sketch` (one byte per sample)."""
-    fields = [("doc_id", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())]
+    """doc_id, node, `bands` (null for texts without words), `sketch` (one byte per sample) and `size`, its number of shingles."""
+    fields = [("doc_id", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("size", pa.int32())]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -142,6 +205,7 @@ def signatures(texts, idf, most=60_000):
             sets = [weighted(t, idf.value) if t else None for t in batch.column("text").to_pylist()]
             some = [i for i, s in enumerate(sets) if s is not None and len(s[0])]
             bands, sketch = [None] * len(sets), [None] * len(sets)
+            sizes = [0 if s is None else len(s[0]) for s in sets]
             while some:
                 size = np.cumsum([len(sets[i][0]) for i in some])
                 n = max(1, int(np.searchsorted(size, most)))
@@ -155,11 +219,11 @@ def signatures(texts, idf, most=60_000):
                     bands[i], sketch[i] = w, s.tobytes()
                 some = some[n:]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("node"), pa.array(bands, fields[2][1]), pa.array(sketch, pa.binary())], schema=schema
+                [batch.column("doc_id"), batch.column("node"), pa.array(bands, fields[2][1]), pa.array(sketch, pa.binary()), pa.array(sizes, pa.int32())], schema=schema
             )
         _draws.cache_clear()  # 38 MB that later stages don't need
 
-    return texts.mapInArrow(run, "doc_id long, node binary, bands array<long>, sketch binary")
+    return texts.mapInArrow(run, "doc_id long, node binary, bands array<long>, sketch binary, size int")
 
 
 def _agreement():
@@ -288,7 +352,7 @@ def candidates(sketched):
     # Most texts are alone in their buckets: sketches join the rest only.
     met = sketched.filter("bands is not null").select("node", F.posexplode("bands").alias("band", "bucket"))
     met = stage(_in_chunks(met.select("band", "bucket", "node")))
-    rows = stage(met.join(sketched.select("node", "sketch"), "node"))
+    rows = stage(met.join(sketched.select("node", "sketch", "size"), "node"))
     found = stage(_lead_chunks(rows))
     links = [found.filter("member is not null").select(F.col("node").alias("a"), F.col("member").alias("b"))]
     # Leaders of different chunks are led in turn, as long as that leaves clearly fewer of them.
@@ -320,75 +384,175 @@ def _once(pair):
     return once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
 
 
-def _open_pairs(rows, labels, most):
-    """Pairs (a, b) of a bucket in different classes that agree in enough samples; `cut` where a row had more than `most` in a chunk.
+# Exact similarities in cells -----------------------------------------------------------------------------
 
-    Only rows outside the bucket's largest class are held against the others: they pass by in a stream
-    after the members of each chunk.
-    """
-    least = _agreement()
-    own = rows.select("band", "bucket", "node", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+#: Rows and bytes of sets on either side of a cell.
+CELL, CELL_BYTES = 1024, 24 << 20
+_CELL_KEY = ["band", "bucket", "i", "j"]
+_ELEMENT_BYTES = 12
+
+
+def _cells(rows, labels):
+    """Rows of the buckets with several classes, dealt to the cells of a grid: role 1, outside the bucket's largest class (i), meets role 0, all rows (j)."""
+    own = rows.select("band", "bucket", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = stage(own)
-    sizes = own.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
-    mixed = stage(mixed.select("band", "bucket", F.col("m.label").alias("main"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
+    sizes = own.groupBy("band", "bucket", "label").agg(F.count("*").alias("n"), F.sum(F.col("size") * _ELEMENT_BYTES).alias("bytes"))
+    total = F.struct(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).alias("all")
+    mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "label", "bytes")).alias("main"), total, F.count("*").alias("classes")).filter("classes > 1")
+    parts = lambda n, size: F.greatest(F.ceil(n / CELL), F.ceil(size / CELL_BYTES), F.lit(1)).cast("int")
+    mixed = stage(
+        mixed.select(
+            "band", "bucket", F.col("main.label").alias("main"), parts(F.col("all.n"), F.col("all.bytes")).alias("columns"),
+            parts(F.col("all.n") - F.col("main.n"), F.col("all.bytes") - F.col("main.bytes")).alias("lines"),
+        )
+    )
     own = stage(own.join(mixed, ["band", "bucket"]))
-    chunk = F.pmod(F.xxhash64("band", "bucket", "node"), F.col("chunks")).cast("int").alias("chunk")
-    members = own.select("band", "bucket", chunk, F.lit(0).alias("role"), "node", "label", "sketch")
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
-    others = own.filter("label != main").select("band", "bucket", every, F.lit(1).alias("role"), "node", "label", "sketch")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("cut", pa.bool_())])
+    place = lambda n: F.pmod(F.xxhash64("band", "bucket", "node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = own.select("band", "bucket", every("lines").alias("i"), place("columns").alias("j"), F.lit(0).alias("role"), "node", "label")
+    others = own.filter("label != main").select("band", "bucket", place("lines").alias("i"), every("columns").alias("j"), F.lit(1).alias("role"), "node", "label")
+    return stage(members.union(others))
+
+
+def _sets(cells, texts, nodes):
+    """node, `hashes` and `times` of its shingles, once for every node of the cells."""
+    asked = cells.select("node").distinct()
+    schema = pa.schema([("node", pa.binary()), ("hashes", pa.binary()), ("times", pa.binary())])
 
     def run(batches):
-        key, held, of, sketches, full = None, [], [], [], None
-        for batch in batches:
-            out = []
-            for r in batch.to_pandas().itertuples(index=False):
-                if (now := (r.band, r.bucket, r.chunk)) != key:
-                    key, held, of, sketches, full = now, [], [], [], None
-                row = np.frombuffer(r.sketch, np.uint8)
-                if r.role == 0:
-                    held.append(r.node)
-                    of.append(r.label)
-                    sketches.append(row)
-                elif held:
-                    if full is None:
-                        full, classes = np.stack(sketches), np.array(of, object)
-                    agree = (full == row).sum(axis=1)
-                    at = np.flatnonzero((agree >= least) & (classes != r.label))
-                    best = at[np.argsort(-agree[at], kind="stable")][:most]
-                    out += [(r.node, held[j], len(at) > len(best)) for j in best]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], schema.field(i).type) for i in range(3)], schema=schema)
+        for batch in slices(batches):
+            made = [shingles(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([h.tobytes() for h, _ in made], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in made], pa.binary())], schema=schema
+            )
+
+    return stage(_with_texts(asked, texts, nodes).select("node", "text").mapInArrow(run, "node binary, hashes binary, times binary"))
 
-    dealt = members.union(others).repartition(*_KEY).sortWithinPartitions(*_KEY, "role", "node")
-    return dealt.mapInArrow(run, "a binary, b binary, cut boolean")
 
+class _Side:
+    """The sets of one side of a cell, each occurrence of a shingle an element of its own weight."""
+
+    def __init__(self, sets, idf):
+        sizes = [len(h) for h, _ in sets]
+        hashes, times = (np.concatenate([s[k] for s in sets]) for k in (0, 1))
+        weight = idf.of(hashes).astype(np.float64)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        self.total = np.bincount(row, weight * times, minlength=len(sets))
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        with np.errstate(over="ignore"):
+            element = np.repeat(hashes, times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        order = np.argsort(element, kind="stable")
+        self.element, self.row, self.weight = element[order], np.repeat(row, times)[order], np.repeat(weight, times)[order]
+
+
+def similarities(lines, columns, idf, dense=1 / 64, most=4_000_000):
+    """Matrix of the weighted Jaccard similarities of two lists of sets (hashes, times).
+
+    Elements that many pairs share are multiplied as matrices, the others are added pair by pair.
+    """
+    a, b = _Side(lines, idf), _Side(columns, idf)
+    both = np.zeros((len(lines), len(columns)))
+    found, at, n = np.unique(a.element, return_index=True, return_counts=True)
+    low, high = np.searchsorted(b.element, found), np.searchsorted(b.element, found, side="right")
+    shared = high > low
+    at, n, low, m = at[shared], n[shared], low[shared], (high - low)[shared]
+    weight = a.weight[at]
+    often = n * m >= dense * both.size
+    for k in range(0, int(often.sum()), 1024):
+        i, x, j, y, w = (v[often][k : k + 1024] for v in (at, n, low, m, weight))
+        left, right = np.zeros((len(lines), len(i)), np.float32), np.zeros((len(columns), len(i)), np.float32)
+        left[a.row[_ranges(i, x)], np.repeat(np.arange(len(i)), x)] = np.repeat(w, x)
+        right[b.row[_ranges(j, y)], np.repeat(np.arange(len(i)), y)] = 1
+        both += left @ right.T
+    i, x, j, y, w = (v[~often] for v in (at, n, low, m, weight))
+    cuts = np.searchsorted(np.cumsum(x * y), np.arange(0, int((x * y).sum()) + most, most))
+    for lo, hi in zip(cuts, [*cuts[1:], len(i)]):
+        if lo < hi:
+            u, v = x[lo:hi], y[lo:hi]
+            line = np.repeat(a.row[_ranges(i[lo:hi], u)], np.repeat(v, u))
+            column = b.row[_ranges(np.repeat(j[lo:hi], u), np.repeat(v, u))]
+            both += np.bincount(line * len(columns) + column, np.repeat(w[lo:hi], u * v), minlength=both.size).reshape(both.shape)
+    return both / np.maximum(a.total[:, None] + b.total[None, :] - both, 1e-30)
+
+
+def _ranges(starts, sizes):
+    """start, start + 1, ... of every range, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _joining(lines, columns, idf, similarity):
+    """Pairs of indices whose similarity is enough, as few as join all classes that such pairs connect.  Sides: lists of (label, set)."""
+    near = similarities([s for _, s in lines], [s for _, s in columns], idf)
+    names = {x: k for k, x in enumerate(dict.fromkeys(x for x, _ in lines + columns))}
+    line, column = (np.array([names[x] for x, _ in side]) for side in (lines, columns))
+    root = list(range(len(names)))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    at = np.argwhere((near >= similarity - 1e-4) & (line[:, None] != column[None, :]))
+    at = at[np.argsort(-near[at[:, 0], at[:, 1]], kind="stable")]
+    sure = near[at[:, 0], at[:, 1]] >= similarity + 1e-4
+    # Of the pairs that are well over the bound one for each two classes is enough.
+    _, first = np.unique(line[at[sure, 0]] * len(names) + column[at[sure, 1]], return_index=True)
+    out = []
+    for i, j, safe in [(*at[sure][k], True) for k in np.sort(first)] + [(*x, False) for x in at[~sure]]:
+        x, y = top(line[i]), top(column[j])
+        if x != y and (safe or _exact(lines[i][1], columns[j][1], idf) >= similarity):
+            root[x] = y
+            out.append((int(i), int(j)))
+    return out
 
-#: Pairs of a row and chunk that the rounds try; the last takes all that are left.
-_TRIES = (4, 32, None)
 
+def _exact(a, b, idf):
+    """As `verified` works it out, for similarities that rounding might take across the bound."""
+    return weighted_jaccard(*((h, n * idf.of(h)) for h, n in (a, b)))
 
-def settled(links, rows, verify):
-    """`node` and `label` of the classes by verified links, after rounds over the pairs that `links` has not tried."""
-    ends = lambda x: x.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-    near, tried = stage(verify(links).select("a", "b")), ends(links)
+
+def joined_in_cells(cells, sets, idf, similarity=SIMILARITY):
+    """Links (a, b) that join the classes of a cell, at most one fewer than its classes."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches):
+        for frame in whole_groups(batches, _CELL_KEY):
+            a, b = [], []
+            for _, cell in frame.groupby(_CELL_KEY, sort=False):
+                sides = []
+                for role in (1, 0):
+                    part = cell[cell["role"] == role]
+                    made = [(np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32).astype(np.int64)) for h, n in zip(part["hashes"], part["times"])]
+                    sides.append((part["node"].tolist(), list(zip(part["label"], made))))
+                if sides[0][0] and sides[1][0]:
+                    for i, j in _joining(sides[0][1], sides[1][1], idf.value, similarity):
+                        a.append(sides[0][0][i])
+                        b.append(sides[1][0][j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+
+    small_batches(cells.sparkSession)
+    dealt = cells.join(sets, "node").select(*_CELL_KEY, "role", "node", "label", "hashes", "times").repartition(*_CELL_KEY).sortWithinPartitions(*_CELL_KEY, "role", "node")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def settled(links, rows, texts, nodes, idf):
+    """`node` and `label` of the classes: by verified links, and then by all similar pairs of the buckets that these leave in several classes."""
+    near = stage(verified(links, texts, nodes, idf).select("a", "b"))
     labels = components(near)
-    for most in _TRIES:
-        pairs = stage(_open_pairs(rows, labels, most))
-        new = _once(pairs.select("a", "b"))
-        new = new.select("a", "b", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-        new = stage(new.join(tried, ["low", "high"], "left_anti").select("a", "b"))
-        if not new.isEmpty():
-            near = near.union(stage(verify(new).select("a", "b")))
-            tried = tried.union(ends(new))
-            labels = components(near)
-        if pairs.filter("cut").isEmpty():
-            break
-    return labels
+    cells = _cells(rows, labels)
+    if cells.isEmpty():
+        return labels
+    more = stage(joined_in_cells(cells, _sets(cells, texts, nodes), idf))
+    return labels if more.isEmpty() else components(near.union(more))
 
 
-#: A set of nodes as a bit map of this many bits, which lets through some more; its size is bounded.
-_FILTER_BITS = 20
+def _with_texts(asked, texts, nodes):
+    """The rows of `asked` (column `node`, which may repeat) with the text of the node."""
+    some = maybe_in(texts, "node", asked).select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"), "text")
+    placed = stage(asked.join(nodes.select("node", "first"), "node"))
+    # Joined on the id as well, so that very many copies of one text don't meet in one task.
+    return some.join(placed, (some["_node"] == placed["node"]) & some["_id"].eqNullSafe(placed["first"])).drop("_node", "_id", "first")
 
 
 def verified(links, texts, nodes, idf, similarity=SIMILARITY):
@@ -397,30 +561,14 @@ def verified(links, texts, nodes, idf, similarity=SIMILARITY):
     `texts`: doc_id, node, text; `nodes`: the `first` doc_id of each node, whose text is read.  The members of a leader are dealt out in parts,
     each with a copy of the leader; one leader's weights are held at a time.
     """
-    spark = links.sparkSession
     per = links.groupBy("a").agg(F.ceil(F.count("*") / LINKS_PER_PART).cast("int").alias("parts"))
     per = stage(per)
     links = stage(links.join(per, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")))
-    place = F.pmod(F.xxhash64("node"), F.lit(1 << _FILTER_BITS)).cast("int")
-    both = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    bits = np.zeros(1 << _FILTER_BITS, bool)
-    bits[[r[0] for r in both.select(place).distinct().collect()]] = True  # at most one number per bit
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
-
-    @F.pandas_udf("boolean")
-    def wanted(p: pd.Series) -> pd.Series:
-        p = p.to_numpy()
-        return pd.Series((shared.value[p >> 3] >> (7 - (p & 7))) & 1 == 1)
-
-    some = texts.filter(wanted(place))
     asked = (
         links.select(F.col("b").alias("node"), "a", "part", F.lit(1).alias("role"))
         .union(links.select(F.col("a").alias("node"), "a", "part", F.lit(0).alias("role")).distinct())
     )
-    asked = stage(asked.join(nodes.select("node", "first"), "node")).withColumnRenamed("node", "_node")
-    # Joined on the id as well, so that very many copies of one text don't meet in one task.
-    same = (some["node"] == asked["_node"]) & some["doc_id"].eqNullSafe(asked["first"])
-    dealt = some.join(asked, same).select("a", "part", "role", "node", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    dealt = _with_texts(asked, texts, nodes).select("a", "part", "role", "node", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
 
     def run(batches):
@@ -454,22 +602,28 @@ def classify(docs):
     and its doc_id as class.  Texts of fewer than five words are one shingle; texts without words are like
     equal texts only.  Null ids sort last: a class has a null id only if all of its rows do.
     """
+    with working(docs.sparkSession):
+        return _classified(docs)
+
+
+def _classified(docs):
+    small_batches(docs.sparkSession)
     rows = keyed(docs)
     idf = docs.sparkSession.sparkContext.broadcast(inverse_frequencies(*document_frequencies(rows)))
-    sketched = stage(signatures(rows, idf))
+    sketched = stage(signatures(rows, idf), keep=True)
     known = sketched.filter("node is not null")
     # Rows of a text per id first: `same` of them have the text's smallest id.
     per_id = known.groupBy("node", "doc_id").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "n"))
     nodes = per_id.groupBy("node").agg(least.alias("m"), F.sum("n").alias("copies"))
     nodes = stage(nodes.select("node", F.col("m.doc_id").alias("first"), F.col("m.n").alias("same"), "copies"))
-    distinct = stage(known.select("node", "bands", "sketch").dropDuplicates(["node"]))
+    distinct = stage(known.select("node", "bands", "sketch", "size").dropDuplicates(["node"]))
     links, met = candidates(distinct)
-    joined = settled(links, met, lambda some: verified(some, rows.filter("node is not null"), nodes, idf))
+    joined = settled(links, met, rows.filter("node is not null"), nodes, idf)
     labelled = nodes.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = stage(labelled)
     classes = stage(labelled.groupBy("label").agg(F.min("first").alias("class_id")))
-    table = stage(labelled.join(classes, "label").select("node", "label", "first", "same", "copies", "class_id"))
+    table = stage(labelled.join(classes, "label").select("node", "label", "first", "same", "copies", "class_id"), keep=True)
     out = sketched.select("doc_id", "node").join(table.select("node", "copies", "class_id"), "node", "left")
     return out.select("doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies")), table
 
