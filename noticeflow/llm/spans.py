@@ -1,10 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of `RUN` consecutive sentences with enough words is hashed, and from every sentence also the
-shortest run that reaches these words, be it one long sentence or many short ones.  Equal hashes meet
-in one global aggregation that keeps the first place of each repeated run; every sentence covered by a
-repeated run elsewhere is removed.  Sentences end after a run of `.!?` followed by white space, or with
-the line.  The registered query takes runs of `RUN` sentences only, as its SQL defines.
+From every sentence the shortest run of two or more consecutive sentences that reaches `LEAST_WORDS`
+words is hashed, so every two sentences of that many words are a run, and short sentences make longer
+ones; a single sentence counts as a run from `ALONE_WORDS` words on.  Equal hashes meet in one global
+aggregation that keeps the first place of each repeated run; every sentence covered by a repeated run
+elsewhere is removed.  Sentences end after a run of `.!?` followed by white space, or with the line.
 """
 
 import re
@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.common import slices, small_batches, stage
 
-#: Sentences in a run.  Two, as passages of 50 words may hold no more.
+#: Sentences in a run at least.  Two, as passages of 50 words may hold no more.
 RUN = 2
 #: Words a run needs: shorter runs recur by chance.
 LEAST_WORDS = 10
+#: Words a single sentence needs to be a run.
+ALONE_WORDS = 50
 _BREAK = re.compile(r"[.!?]+[ \t\r\n]+|\n+")
 
 
@@ -31,27 +33,18 @@ def sentences(text):
     return [text[i:j] for i, j in zip(ends, ends[1:])]
 
 
-def runs(text, run=RUN, least_words=LEAST_WORDS):
-    """(first sentence, normalised text) of every run with enough words; white space counts as one space."""
-    words = [s.encode().split() for s in sentences(text)]
-    plain = [b" ".join(w) for w in words]
-    sizes = np.array([len(w) for w in words], np.int64)
-    total = np.convolve(sizes, np.ones(run, np.int64), "valid") if len(sizes) >= run else np.zeros(0)
-    return [(int(i), b"\n".join(plain[i : i + run])) for i in np.flatnonzero(total >= least_words)]
+def passages(text, run=RUN, least_words=LEAST_WORDS, alone_words=ALONE_WORDS):
+    """(first sentence, sentences, normalised text) of the runs; white space counts as one space.
 
-
-def passages(text, run=RUN, least_words=LEAST_WORDS):
-    """(first sentence, sentences, normalised text) of every run of `run` sentences with enough words and, from every sentence with words, of the shortest run that reaches them."""
+    Of every sentence: the shortest run of `run` or more sentences from it that has `least_words` words,
+    if the text goes on for that long, and the sentence alone if it has `alone_words`.
+    """
     words = [s.encode().split() for s in sentences(text)]
     plain = [b" ".join(w) for w in words]
     upto = np.cumsum([0] + [len(w) for w in words])
-    out = []
-    for i, end in enumerate(np.searchsorted(upto, upto[:-1] + least_words).tolist()):
-        if words[i] and end < len(upto):
-            out.append((i, end - i, b"\n".join(plain[i:end])))
-        if i + run < len(upto) and upto[i + run] - upto[i] >= least_words and (end - i != run or not words[i]):
-            out.append((i, run, b"\n".join(plain[i : i + run])))
-    return out
+    ends = np.maximum(np.searchsorted(upto, upto[:-1] + least_words), np.arange(run, len(words) + run))
+    out = [(i, end - i, b"\n".join(plain[i:end])) for i, end in enumerate(ends.tolist()) if end < len(upto)]
+    return out + [(i, 1, plain[i]) for i, w in enumerate(words) if len(w) >= alone_words]
 
 
 def _key(docs):
@@ -62,8 +55,8 @@ def _key(docs):
     )
 
 
-def span_hashes(keyed, run=RUN, least_words=LEAST_WORDS, whole=True):
-    """doc_id, digest, first sentence `at`, sentences `size` and a 128-bit hash of every run; of `run` sentences only unless `whole`."""
+def span_hashes(keyed, run=RUN, least_words=LEAST_WORDS, alone_words=ALONE_WORDS):
+    """doc_id, digest, first sentence `at`, sentences `size` and a 128-bit hash of every run."""
     fields = [("doc_id", pa.int64()), ("digest", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]
     schema = pa.schema(fields)
 
@@ -71,8 +64,7 @@ def span_hashes(keyed, run=RUN, least_words=LEAST_WORDS, whole=True):
         for batch in slices(batches):
             row, at, size, h = [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                found = passages(text or "", run, least_words) if whole else [(i, run, s) for i, s in runs(text or "", run, least_words)]
-                for i, n, s in found:
+                for i, n, s in passages(text or "", run, least_words, alone_words):
                     row.append(k)
                     at.append(i)
                     size.append(n)
@@ -104,11 +96,11 @@ def _rewrite(text, at):
     return "".join(s for i, s in enumerate(sentences(text)) if i not in out), len(out)
 
 
-def _joined(docs, run, least_words, whole):
+def _joined(docs, run, least_words, alone_words):
     """The rows with all their columns and `_at`: start and size of the repeated runs of the row's text, null if there is none."""
     small_batches(docs.sparkSession)
     digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    spans = stage(span_hashes(_key(docs), run, least_words, whole))
+    spans = stage(span_hashes(_key(docs), run, least_words, alone_words))
     gone = repeated(spans).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("at", "size")).alias("_at"))
     right = gone.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_at")
     left = docs.withColumn("_own", digest)
@@ -116,12 +108,12 @@ def _joined(docs, run, least_words, whole):
     return left.join(right, on, "left").select(*docs.columns, "_at")
 
 
-def deduplicate(docs, run=RUN, least_words=LEAST_WORDS, whole=True):
+def deduplicate(docs, run=RUN, least_words=LEAST_WORDS, alone_words=ALONE_WORDS):
     """`doc_id`, `text` without repeated sentences, and `removed` (their number), a row for every row.
 
     The first place of a repeated run stays: that of the smallest doc_id (null before all).  Rows with
     equal doc_id and text count as one document and get equal results.  A null text stays null; texts
-    that consist of repeated runs only become empty.  `whole` as in `span_hashes`.
+    that consist of repeated runs only become empty.  Runs as in `passages`.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.int32())])
@@ -134,10 +126,10 @@ def deduplicate(docs, run=RUN, least_words=LEAST_WORDS, whole=True):
                 [batch.column("doc_id"), pa.array([t for t, _ in new], pa.string()), pa.array([n for _, n in new], pa.int32())], schema=schema
             )
 
-    return _joined(slim, run, least_words, whole).mapInArrow(work, "doc_id long, text string, removed int")
+    return _joined(slim, run, least_words, alone_words).mapInArrow(work, "doc_id long, text string, removed int")
 
 
-def rewritten(docs, run=RUN, least_words=LEAST_WORDS, whole=True):
+def rewritten(docs, run=RUN, least_words=LEAST_WORDS, alone_words=ALONE_WORDS):
     """The rows of documents with repeated sentences removed and `n_chars` of the new text; rows whose text becomes empty go."""
 
     def work(batches):
@@ -151,12 +143,11 @@ def rewritten(docs, run=RUN, least_words=LEAST_WORDS, whole=True):
                 out = out.set_column(out.schema.get_field_index(name), name, col)
             yield out.filter(stay)
 
-    return _joined(docs, run, least_words, whole).mapInArrow(work, docs.schema)
+    return _joined(docs, run, least_words, alone_words).mapInArrow(work, docs.schema)
 
 
 def op10_spans(spark, sf_dir):
-    """By runs of RUN sentences only, as OP10_SQL defines; the pipeline takes all runs."""
-    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=False)
+    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP10_SQL = rf"""
@@ -168,14 +159,23 @@ sentence as (
   select doc_id, i - 1 as pos, parts[i] as raw,
     list_filter(regexp_split_to_array(parts[i], '[ \t\r\n\f\v]+'), lambda w : w <> '') as words
   from cut, lateral (select unnest(generate_series(1, len(parts))) as i)),
+counted as (
+  select doc_id, pos, array_to_string(words, ' ') as plain, len(words) as n, sum(len(words)) over (partition by doc_id order by pos) as upto,
+    max(pos) over (partition by doc_id) as last
+  from sentence),
+plains as (select doc_id, list(plain order by pos) as plain from counted group by doc_id),
+reached as (select doc_id, upto, min(pos) as pos from counted group by doc_id, upto),
+ended as (
+  select c.doc_id, c.pos, c.last, greatest(r.pos, c.pos + {RUN - 1}) as stop
+  from counted c asof join reached r on c.doc_id = r.doc_id and c.upto - c.n + {LEAST_WORDS} <= r.upto),
 run as (
-  select doc_id, pos, array_to_string(words, ' ') || chr(10) || lead(array_to_string(words, ' ')) over w as span,
-    len(words) + lead(len(words)) over w as n
-  from sentence window w as (partition by doc_id order by pos)),
+  select e.doc_id, e.pos, e.stop, array_to_string(p.plain[e.pos + 1 : e.stop + 1], chr(10)) as span
+  from ended e join plains p using (doc_id) where e.stop <= e.last
+  union all select doc_id, pos, pos, plain from counted where n >= {ALONE_WORDS}),
 later as (
-  select doc_id, pos from run where n >= {LEAST_WORDS}
+  select doc_id, pos, stop from run
   qualify row_number() over (partition by span order by doc_id, pos) > 1),
-gone as (select doc_id, pos from later union select doc_id, pos + 1 from later),
+gone as (select distinct doc_id, unnest(generate_series(pos, stop)) as pos from later),
 left_over as (
   select s.doc_id, string_agg(s.raw, '' order by s.pos) filter (where g.pos is null) as text, cast(count(g.pos) as integer) as removed
   from sentence s left join gone g using (doc_id, pos) group by s.doc_id)

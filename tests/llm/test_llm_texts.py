@@ -200,14 +200,19 @@ def test_groups_of_some_tens_of_rows_have_their_own_estimate(spark):
 
 
 def plain_dedup(docs):
-    """By the definition, over rows (doc_id, text) with distinct ids."""
+    """Every run by its definition, word by word: of two or more sentences the shortest of ten words from each sentence, one sentence from 50 words."""
     seen, out = set(), {}
     for i, text in sorted(docs):
         parts, gone = spans.sentences(text or ""), set()
-        for at, run in spans.runs(text or ""):
-            if run in seen:
-                gone |= {at, at + 1}
-            seen.add(run)
+        sizes = [len(p.split()) for p in parts]
+        for at in range(len(parts)):
+            ends = [at + 1] if sizes[at] >= 50 else []
+            ends += [e for e in range(at + 2, len(parts) + 1) if sum(sizes[at:e]) >= 10][:1]
+            for end in ends:
+                run = tuple(tuple(p.split()) for p in parts[at:end])
+                if run in seen:
+                    gone |= set(range(at, end))
+                seen.add(run)
         out[i] = "".join(s for k, s in enumerate(parts) if k not in gone)
     return out
 
@@ -222,24 +227,6 @@ def test_spans(spark):
     assert spans.deduplicate(empty).count() == 0
 
 
-def plain_passages(docs):
-    """As `plain_dedup`, with every run searched for word by word."""
-    seen, out = set(), {}
-    for i, text in sorted(docs):
-        parts, gone = spans.sentences(text or ""), set()
-        sizes = [len(p.split()) for p in parts]
-        for at in range(len(parts)):
-            ends = [next((e for e in range(at + 1, len(parts) + 1) if sum(sizes[at:e]) >= 10), None) if sizes[at] else None]
-            ends += [at + 2] if at + 2 <= len(parts) and sum(sizes[at : at + 2]) >= 10 else []
-            for end in {e for e in ends if e}:
-                run = tuple(tuple(p.split()) for p in parts[at:end])
-                if run in seen:
-                    gone |= set(range(at, end))
-                seen.add(run)
-        out[i] = "".join(s for k, s in enumerate(parts) if k not in gone)
-    return out
-
-
 def test_passages_of_50_words_in_any_sentences(spark):
     rng = random.Random(5)
     short = [" ".join(f"s{k}{a}." for k in range(i, i + 60)) for i, a in ((0, "a"), (100, "b"))]  # one word each
@@ -249,7 +236,7 @@ def test_passages_of_50_words_in_any_sentences(spark):
     texts = [short[0], lines, long, f"x {short[0]}", f"own{1} a b c.\n{lines}\n{short[1]}", f"Before it. {long} After it.", long, lines, *glued]
     texts += [" ".join(rng.choice(["a.", "b", "c d.", "e f g h i j k l m n o.", "\n"]) for _ in range(40)) for _ in range(60)]
     got = {r["doc_id"]: r["text"] for r in spans.deduplicate(documents(spark, texts)).collect()}
-    assert got == plain_passages(list(enumerate(texts)))
+    assert got == plain_dedup(list(enumerate(texts)))
     first = {tuple(w[k : k + 50]) for t in texts[:3] for w in [t.split()] for k in range(len(w) - 49)}
     for i in range(3, 8):
         words = got[i].split()
