@@ -14,6 +14,7 @@ from noticeflow.functions.text import has_keyword, non_blank, nz
 from noticeflow.operators import audit, links, merge, overlay, records
 from noticeflow.operators import documents as docs
 from noticeflow.operators import report as rep
+from noticeflow.operators import trust as trust_op
 from noticeflow.plans import daily
 from noticeflow.schema import conform
 from noticeflow.sources import landed, registry, scratch, store
@@ -123,6 +124,25 @@ def s3_landed_pages(spark, sf_dir):
     return found.select(seq, big("source_ord"), "source_name", "title")
 
 
+@check("s4_landed_files", """
+select doc_id, octet_length(encode(text || chr(10))) as n_bytes, sha256(text || chr(10)) as document_hash, 'same' as status from documents""")
+def s4_landed_files(spark, sf_dir):
+    """Documents landed as files, one folder each; sizes, hashes and the check of a manifest."""
+    path = scratch.scratch_path(spark, "files")
+    given = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("value"))
+    given.repartition(spark.sparkContext.defaultParallelism, "doc_id").write.partitionBy("doc_id").text(path)
+    blobs = landed.read_blobs(spark, path)
+    named = blobs.withColumn("path", F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    found = docs.file_hashes(named)
+    wanted = given.select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"),
+        doc_fn.content_hash(F.encode(F.concat("value", F.lit("\n")), "UTF-8")).alias("document_hash"),
+    )
+    checked = docs.check_files(wanted, named)
+    seq = F.substring_index("file_name", ".", 1).cast("bigint").alias("doc_id")
+    return found.join(checked, "file_name").select(seq, big("n_bytes"), "document_hash", "status")
+
+
 # --- store ----------------------------------------------------------------
 
 _STORE_COLUMNS = (
@@ -743,6 +763,28 @@ def v3_trusted(spark, sf_dir):
     )
 
 
+_HOST = "concat('https://h', cast(o_orderkey % 977 as varchar), '.d', cast(o_custkey % 400 as varchar), '.n', cast(o_orderkey % 50 as varchar), case when o_orderkey % 3 = 0 then '.example.org' else '.example.com' end, '/x')"
+_RULES = """
+select 'domain' as kind, concat('d', cast(c_custkey % 400 as varchar), '.n', cast(c_custkey % 50 as varchar), '.example.org') as value from customer where c_custkey % 3 = 0
+union all select 'domain', concat('other', cast(c_custkey as varchar), '.example.net') from customer
+union all select 'suffix', concat('.d', cast(c_custkey % 37 as varchar), '.n7.example.com') from customer
+union all select 'suffix', concat('7.d', cast(c_custkey % 11 as varchar), '.n', cast(c_custkey % 50 as varchar), '.example.com') from customer"""
+
+
+@check("v3_rule_table", f"""
+with hosts as (select o_orderkey as seq, {_HOST} as url, {o.domain(_HOST)} as domain from orders),
+rules as (select distinct kind, value from ({_RULES})),
+judged as (select domain, exists (select 1 from rules r where (kind = 'domain' and (domain = value or suffix(domain, '.' || value))) or (kind = 'suffix' and suffix(domain, value))) as trusted
+  from (select distinct domain from hosts))
+select seq, domain, trusted from hosts join judged using (domain)""")
+def v3_rule_table(spark, sf_dir):
+    """Verdicts by as many rules as there are customers, looked up by hash."""
+    url = F.expr(_HOST.replace("varchar", "string"))
+    hosts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), urls.domain_of(url).alias("domain"))
+    rules = spark.sql(_RULES.replace("varchar", "string").replace("from customer", "from {customer}"), customer=table(spark, sf_dir, "customer"))
+    return trust_op.with_verdict(hosts, rules, "domain", "trusted")
+
+
 _URL = "case when doc_id % 2 = 0 then source_url else '' end"
 _PICKED = f"coalesce(nullif({_URL}, ''), nullif(notification_url, ''), '')"
 

@@ -100,17 +100,45 @@ def attach_documents(candidates, documents, columns=None):
     left = candidates.withColumn("_key", F.coalesce(nz(F.col("notification_url")), scattered))
     left = left.withColumn("_hash", F.xxhash64("_key"))
     joined = left.join(right, ["_key", "_hash"], "left").drop("_key", "_hash")
+    return joined.withColumn("document", filled(columns))
+
+
+def filled(columns):
+    """The joined struct `document` with blanks where there is none."""
     # a candidate without a usable document gets blank text, hash and file
     plain = {"text": "", "document_hash": "", "source_document": "", "has_text": False}
-    filled = [
-        (
-            F.coalesce(F.col(f"document.{c}"), F.lit(plain[c]))
-            if c in plain
-            else F.col(f"document.{c}")
-        ).alias(c)
-        for c in columns
-    ]
-    return joined.withColumn("document", F.struct(*filled))
+    return F.struct(
+        *[
+            (
+                F.coalesce(F.col(f"document.{c}"), F.lit(plain[c]))
+                if c in plain
+                else F.col(f"document.{c}")
+            ).alias(c)
+            for c in columns
+        ]
+    )
+
+
+def attach_landing(candidates, documents, wait):
+    """As `attach_documents` for two streams: documents may land before or after their page.
+
+    Both sides have an event time (`fetched_at`) with a watermark, and a document counts if it was fetched
+    within `wait` of the page, so state older than that goes.  A candidate whose document doesn't come
+    is given out blank once the watermark has passed `wait`; one without a link waits for nothing.  If
+    several fetches count, each gives a row.  Adds `_landed`, when page and document were both there.
+    """
+    columns = [c for c in documents.columns if c not in ("request_url", "fetched_at")]
+    right = documents.select(
+        F.col("request_url").alias("_key"), F.col("fetched_at").alias("_fetched"), F.struct(*columns).alias("document")
+    )
+    link, span = nz(F.col("notification_url")), F.expr(f"interval {wait}")
+    near = F.col("_fetched").between(F.col("fetched_at") - span, F.col("fetched_at") + span)
+    waiting = candidates.filter(link.isNotNull()).join(right, (F.col("notification_url") == F.col("_key")) & near, "left_outer")
+    nothing = F.lit(None).cast(right.schema["document"].dataType)
+    alone = candidates.filter(link.isNull()).withColumns({"document": nothing, "_fetched": F.lit(None).cast("timestamp")})
+    both = waiting.drop("_key").unionByName(alone)
+    landed = F.greatest("fetched_at", "_fetched").alias("_landed")
+    return both.select(*candidates.columns, landed, filled(columns).alias("document"))
 
 
 def has_notification(candidates):
@@ -127,3 +155,20 @@ def document_manifest(documents, seq="_seq"):
         .agg(F.max_by(F.struct("final_url", "document_hash"), seq).alias("d"))
         .select("file_name", "d.final_url", "d.document_hash")
     )
+
+
+def file_hashes(blobs):
+    """(file_name, n_bytes, document_hash) of landed files."""
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    return blobs.select(name.alias("file_name"), F.col("length").alias("n_bytes"), content_hash(F.col("content")).alias("document_hash"))
+
+
+def check_files(manifest, blobs):
+    """(file_name, status) of every manifest row: `same`, `changed` or, where no file landed, `missing`."""
+    found = file_hashes(blobs).select("file_name", F.col("document_hash").alias("_found"))
+    status = (
+        F.when(F.col("_found").isNull(), "missing")
+        .when(F.col("_found") == F.col("document_hash"), "same")
+        .otherwise("changed")
+    )
+    return manifest.join(found, "file_name", "left").select("file_name", status.alias("status"))

@@ -9,6 +9,7 @@ from noticeflow.functions.fields import confidence
 from noticeflow.functions.text import nz
 from noticeflow.functions.trust import is_trusted_domain
 from noticeflow.functions.urls import domain_of
+from noticeflow.operators.trust import with_verdict
 from noticeflow.schema import CANDIDATE, RECORD, default
 
 # blank instead of NULL when the candidate has no document
@@ -80,7 +81,18 @@ def records_of(rows, keys=("_seq",)):
 
 def verify(records, domains, suffixes):
     """Verdict and domain of the official source, or of the notification where there is none."""
-    url = F.coalesce(nz(F.col("official_source_url")), nz(F.col("notification_url")), F.lit(""))
-    judged = records.withColumn("official_domain", domain_of(url))
+    url, judged = _judged(records)
     verdict = is_trusted_domain(F.col("official_domain"), domains, suffixes)
     return judged.withColumn("source_verified", F.when(url != "", verdict).otherwise(F.lit(False)))
+
+
+def verify_by_rules(records, rules):
+    """`verify` by a table of rules (`kind`, `value`) of any number."""
+    url, judged = _judged(records)
+    ruled = with_verdict(judged, rules)
+    return ruled.withColumn("source_verified", (url != "") & F.col("source_verified"))
+
+
+def _judged(records):
+    url = F.coalesce(nz(F.col("official_source_url")), nz(F.col("notification_url")), F.lit(""))
+    return url, records.withColumn("official_domain", domain_of(url))

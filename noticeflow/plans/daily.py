@@ -20,15 +20,16 @@ from noticeflow.operators.merge import latest_in_batch, with_key
 from noticeflow.operators.overlay import (
     extraction_requests, ingest_responses, latest_answers, overlay,
 )
-from noticeflow.operators.records import as_rows, backfill, extract, records_of, verify
+from noticeflow.operators.records import as_rows, backfill, extract, records_of, verify, verify_by_rules
 from noticeflow.operators.report import (
     report_detail, report_summary, run_totals, with_number, with_report_date,
 )
+from noticeflow.operators.trust import MOST_LITERAL
 from noticeflow.schema import CANDIDATE
 from noticeflow.sources.landed import (
     good_pages, in_lookback, read_documents, read_pages, read_responses, registered_pages,
 )
-from noticeflow.sources.registry import sources_df
+from noticeflow.sources.registry import sources_df, trust_rules_df
 from noticeflow.sources.scratch import drop, stage
 from noticeflow.sources.store import merge_store, read_store, read_version, store_schema
 
@@ -89,7 +90,12 @@ def landed_answers(spark, conf):
 
 def working_rows(candidates, fields, conf, answers=None, keys=("_seq",)):
     """Candidates with document and record, overlaid and back-filled."""
-    rows = extract(as_rows(attach_documents(candidates, fields), keys))
+    return attached_rows(attach_documents(candidates, fields), conf, answers, keys)
+
+
+def attached_rows(attached, conf, answers=None, keys=("_seq",)):
+    """`working_rows` of candidates that have their document."""
+    rows = extract(as_rows(attached, keys))
     if answers is not None:
         rows = overlay(rows.withColumn("request_id", request_id()), answers, ["request_id"],
                        conf.overlay_enabled)
@@ -97,8 +103,11 @@ def working_rows(candidates, fields, conf, answers=None, keys=("_seq",)):
 
 
 def keyed_records(rows, conf, keys=("_seq",)):
-    verified = verify(records_of(rows, keys), conf.trusted_domains, conf.trusted_suffixes)
-    return with_key(verified)
+    records = records_of(rows, keys)
+    if len(conf.trusted_domains) + len(conf.trusted_suffixes) > MOST_LITERAL and not rows.isStreaming:
+        rules = trust_rules_df(rows.sparkSession, conf.trusted_domains, conf.trusted_suffixes)
+        return with_key(verify_by_rules(records, rules))
+    return with_key(verify(records, conf.trusted_domains, conf.trusted_suffixes))
 
 
 def in_run(df, conf, run_ts):

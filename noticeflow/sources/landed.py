@@ -44,8 +44,11 @@ def read_documents(spark, path, schema=DOCUMENTS):
 
 
 def read_blobs(spark, path):
-    """Landed files as (path, content), for hashing and manifests."""
-    return spark.read.format("binaryFile").load(path).select("path", "content", "modificationTime")
+    """Landed files, one row each: path, modificationTime, length, content, and what their folders name.
+
+    Contents are read only where `content` is used.  The source lists no file without bytes.
+    """
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
 
 
 def read_responses(spark, path):

@@ -14,8 +14,9 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticeflow.operators.documents import attach_landing, document_fields
 from noticeflow.operators.merge import combine_changes, latest_in_batch
-from noticeflow.plans.daily import candidates_of, keyed_records, working_rows
+from noticeflow.plans.daily import attached_rows, candidates_of, keyed_records, working_rows
 from noticeflow.schema import conform
 from noticeflow.sources.landed import registered_pages
 from noticeflow.sources.scratch import drop, exists, read_text, stage, write_text
@@ -40,6 +41,22 @@ def page_records(pages, sources, fields, conf, written_at, answers=None):
     return conform(keyed, keep=ORDER).withColumn("written_at", written_at)
 
 
+def landing_records(pages, documents, sources, conf, written_at, wait="1 day", late="1 hour", answers=None):
+    """`page_records` where documents are a stream too, so that one landing after its page still reaches the record.
+
+    `wait` is how far apart page and document may be fetched, `late` how late either may land.  The record
+    of a candidate takes its place in the order by the later of both fetches, so of several fetches of
+    a document the last one stays.
+    """
+    found = candidates_of(registered_pages(pages.withWatermark("fetched_at", late), sources), conf)
+    fields = document_fields(documents.withWatermark("fetched_at", late), conf.document_dir, keep=("fetched_at",))
+    attached = attach_landing(found, fields, wait)
+    order = F.struct("source_ord", F.col("_landed").alias("fetched_at"), "pos")
+    rows = attached_rows(attached.withColumn("_seq", order), conf, answers)
+    keyed = keyed_records(rows, conf).select("*", "_seq.*").drop("_seq")
+    return conform(keyed, keep=ORDER).withColumn("written_at", written_at)
+
+
 def row_counts():
     """What a micro-batch counts while it is written: records, and those with, without and with an unreadable document."""
     wants = F.coalesce(F.col("notification_url"), F.lit("")) != ""

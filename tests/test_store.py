@@ -204,3 +204,17 @@ def test_observed_audit_equals_the_grouped_one(spark, scratch, monkeypatch):
     nothing = RunConfig(**{**conf.__dict__, "sources": (), "store_path": f"{scratch}/none"})
     monkeypatch.setattr(daily, "MOST_OBSERVED", 64)
     assert daily.update_store(spark, nothing, AT).count() == 0
+
+
+def test_files_are_checked_against_the_manifest(spark, scratch):
+    for name, body in (("a.pdf", b"one"), ("b.pdf", b"two"), ("empty.pdf", b"")):
+        with open(f"{scratch}/{name}", "wb") as f:
+            f.write(body)
+    blobs = landed.read_blobs(spark, scratch)
+    scan = blobs.select("path", "length")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in scan and "content" in blobs._jdf.queryExecution().executedPlan().toString()
+    hashes = {r.file_name: (r.n_bytes, r.document_hash) for r in docs.file_hashes(blobs).collect()}
+    assert {k: n for k, (n, _) in hashes.items()} == {"a.pdf": 3, "b.pdf": 3}
+    rows = [("a.pdf", hashes["a.pdf"][1]), ("b.pdf", hashes["a.pdf"][1]), ("gone.pdf", "x"), ("empty.pdf", "e")]
+    manifest = spark.createDataFrame(rows, "file_name string, document_hash string")
+    assert {tuple(r) for r in docs.check_files(manifest, blobs).collect()} == {("a.pdf", "same"), ("b.pdf", "changed"), ("gone.pdf", "missing"), ("empty.pdf", "missing")}
