@@ -199,6 +199,12 @@ def test_groups_of_some_tens_of_rows_have_their_own_estimate(spark):
     assert groups == {("hot", True), ("small", True), ("few", False)}
 
 
+@pytest.mark.parametrize("value", ["ghp_" + "aBcDeF" * 6, "AKIA" + "ABCDEFGH" * 2, "anna.berg@mail.org", "(217) 555-7713", "78.40.198.62", "2021-03-04", "219-09-9999", "=" + "0a1b" * 8])
+def test_every_form_is_read_in_a_text_with_nothing_else(spark, value):
+    out = pseudonyms.pseudonymise(documents(spark, [f"plain words before {value} and after"]), b"key").collect()[0]
+    assert value not in out["text"] and out["text"].startswith("plain words before ") and sum(out["replaced"].values()) == 1
+
+
 def plain_dedup(docs):
     """Every run by its definition, word by word: of two or more sentences the shortest of ten words from each sentence, one sentence from 50 words."""
     seen, out = set(), {}
