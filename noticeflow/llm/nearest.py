@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-Every vector is projected on `PROJECTIONS` random lines; each line's projections are kept as a
-sorted array.  A query opens a window around its own projection on every line; virtual rehashing
-widens all windows together, step by step, so that a step only visits what the last one left out.  A
-vector seen in at least `THRESHOLD` of the windows is verified by its distance; the search stops
-when ten verified vectors lie within the radius that the windows stand for.
+Every vector is projected on `PROJECTIONS` random lines, taken from random rotations so that the lines of
+one rotation are at right angles; each line's projections are kept as a sorted array.  A query opens a
+window around its own projection on every line; virtual rehashing widens all windows together, step by
+step, so that a step only visits what the last one left out.  A vector seen in at least `THRESHOLD` of
+the windows is verified by its distance; the search stops when ten verified vectors lie within the
+radius that the windows stand for.
 
 Data are worked on in blocks of a bounded number of vectors, queries in blocks of a bounded number;
 each block of data returns its nearest vectors, and these are merged by query.
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.common import stage
 
-PROJECTIONS = 48
+PROJECTIONS = 192
 #: Collisions from which a vector is verified.
-THRESHOLD = 26
+THRESHOLD = 158
 #: Half width of a window in units of the radius; growth of the radius per step.
-HALF_WIDTH, GROWTH = 0.8, 1.2
+HALF_WIDTH, GROWTH = 1.4, 1.06
 BLOCK, QUERIES = 8192, 1024
 #: Vectors whose mutual distances give the first radius: a bounded sample, as every vector is indexed anyway.
 SAMPLE = 512
@@ -29,33 +30,35 @@ _SEED = 11
 
 
 def lines(dim, n=PROJECTIONS):
-    return np.random.default_rng(_SEED).standard_normal((dim, n))
+    """n directions of the length of standard normal ones, in rotations of `dim` directions each."""
+    rng = np.random.default_rng(_SEED)
+    turns = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-n // dim))]
+    return np.concatenate(turns, axis=1)[:, :n] * np.sqrt(dim)
 
 
 class Block:
     """The sorted arrays of one block of vectors."""
 
-    def __init__(self, ids, vectors, a):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, rows, ids, vectors, a):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
         p = vectors @ a
         self.order = np.argsort(p, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(p, self.order.T, axis=0).T.copy()
 
     def search(self, own, query, projected, radius, k, threshold):
-        """The k nearest verified rows for one query: (squared distances, rows)."""
+        """The k nearest verified vectors for one query, whose row is `own`: (squared distances, places), and how many were verified."""
         n, m = len(self.ids), len(projected)
         seen = np.zeros(n, np.int16)
-        checked = self.ids == own
+        checked = self.rows == own
+        before = int(checked.sum())
         lo = hi = np.array([np.searchsorted(self.sorted[i], projected[i]) for i in range(m)])
         rows, dist = np.zeros(0, np.int64), np.zeros(0)
         while True:
             new_lo = np.array([np.searchsorted(self.sorted[i], projected[i] - HALF_WIDTH * radius) for i in range(m)])
             new_hi = np.array([np.searchsorted(self.sorted[i], projected[i] + HALF_WIDTH * radius, "right") for i in range(m)])
             new_lo, new_hi = np.minimum(new_lo, lo), np.maximum(new_hi, hi)
-            for i in range(m):
-                o = self.order[i]
-                seen[o[new_lo[i] : lo[i]]] += 1
-                seen[o[hi[i] : new_hi[i]]] += 1
+            visited = [self.order[i][at] for i in range(m) for at in (slice(new_lo[i], lo[i]), slice(hi[i], new_hi[i]))]
+            seen += np.bincount(np.concatenate(visited), minlength=n).astype(np.int16)
             lo, hi = new_lo, new_hi
             fresh = np.flatnonzero((seen >= threshold) & ~checked)
             checked[fresh] = True
@@ -65,7 +68,7 @@ class Block:
                 best = np.lexsort((self.ids[rows], dist))[:k]
                 rows, dist = rows[best], dist[best]
             if checked.all() or len(rows) >= k and dist.max() <= radius * radius:
-                return dist, rows
+                return dist, rows, int(checked.sum()) - before
             radius *= GROWTH
 
 
@@ -78,22 +81,23 @@ def search(rows, every=100, k=10, threshold=THRESHOLD):
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by `every`, against all rows.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part; nor do null
-    ids, and vectors of another length than the query's.  Rows with equal id and vector count once; of
-    rows with equal ids and different vectors each is a candidate, and the query is the least of them.
-    Fewer than k candidates are all returned; an empty table gives an empty result.
+    ids, and vectors of another length than the query's.  Of several rows with a query's id that of the
+    least vector asks, and the others are candidates, as every row but the query's own is; so repeated rows
+    can be found repeatedly.  Of equal distances the smaller vec_id comes first.  Fewer than k candidates
+    are all returned; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     vector = F.col("embedding").cast("array<double>")
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v")).filter(F.col("vec_id").isNotNull() & _valid(F.col("v")))
-    base = stage(base.dropDuplicates(["vec_id", "v"]))
-    queries = base.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    base = stage(base.withColumn("row", F.monotonically_increasing_id()))  # written, so that the numbers hold
+    queries = base.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "row")).alias("q")).select("vec_id", "q.*")
     blocks = -(-queries.count() // QUERIES)
     queries = stage(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(blocks, 1))).cast("int")))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
     sample = base.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").collect()
     found = None
     for b in range(blocks):  # a block has about QUERIES vectors, so what is sent out is bounded
-        asked = [(r["vec_id"], np.array(r["v"])) for r in queries.filter(F.col("block") == b).collect()]
+        asked = [(r["vec_id"], r["row"], np.array(r["v"])) for r in queries.filter(F.col("block") == b).collect()]
         shared = spark.sparkContext.broadcast((asked, [np.array(r["v"]) for r in sample]))
         part = stage(base.mapInArrow(_task(shared, schema, k, threshold), "query_id long, vec_id long, score double"))
         found = part if found is None else found.union(part)
@@ -103,37 +107,42 @@ def search(rows, every=100, k=10, threshold=THRESHOLD):
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def start_radius(near, query, k):
+    """Half the distance to the k-th of a sample of vectors, where the windows begin."""
+    d = np.sqrt(((near - query) ** 2).sum(axis=1))
+    d = np.sort(d[d > 0])
+    return float(d[min(len(d) - 1, k)]) * 0.5 if len(d) else 1.0
+
+
 def _task(shared, schema, k, threshold):
-    def answer(ids, vectors, asked, sample):
+    def answer(held, asked, sample):
+        rows, ids, vectors = (np.array(x) for x in held)
         dim = vectors.shape[1]
-        mine = [(i, q) for i, q in asked if len(q) == dim]
+        mine = [(i, own, q) for i, own, q in asked if len(q) == dim]
         if not mine:
             return
         a = lines(dim)
-        block = Block(ids, vectors, a)
+        block = Block(rows, ids, vectors, a)
         near = np.stack([s for s in sample if len(s) == dim] or [vectors[0]])
         out = []
-        for i, q in mine:
-            d = np.sqrt(((near - q) ** 2).sum(axis=1))
-            d = np.sort(d[d > 0])
-            radius = float(d[min(len(d) - 1, k)]) * 0.5 if len(d) else 1.0
-            dist, rows = block.search(i, q, q @ a, radius, k, threshold)
-            out += zip([i] * len(rows), ids[rows].tolist(), np.sqrt(dist).tolist())
+        for i, own, q in mine:
+            dist, at, _ = block.search(own, q, q @ a, start_radius(near, q, k), k, threshold)
+            out += zip([i] * len(at), ids[at].tolist(), np.sqrt(dist).tolist())
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], schema.field(c).type) for c in range(3)], schema=schema)
 
     def run(batches):
         asked, sample = shared.value
         held = {}
         for batch in batches:
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist()):
-                ids, vectors = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == BLOCK:
-                    yield from answer(np.array(ids), np.array(vectors), asked, sample)
+            for r, i, v in zip(*(batch.column(c).to_pylist() for c in ("row", "vec_id", "v"))):
+                parts = held.setdefault(len(v), ([], [], []))
+                for part, value in zip(parts, (r, i, v)):
+                    part.append(value)
+                if len(parts[0]) == BLOCK:
+                    yield from answer(parts, asked, sample)
                     del held[len(v)]
-        for ids, vectors in held.values():
-            yield from answer(np.array(ids), np.array(vectors), asked, sample)
+        for parts in held.values():
+            yield from answer(parts, asked, sample)
 
     return run
 
