@@ -1,33 +1,43 @@
 """Quality rules with robust multivariate outliers.
 
 Five statistics of every text are transformed and compared with the minimum-covariance-determinant
-estimate of the text's language and source: the mean and covariance of that half (`share`) of the
-rows which lies closest together.  The estimate starts from medians and spreads and takes
-concentration steps: each adds up counts, sums and products per distance class of a group, so one
-aggregation gives the moments of the closest rows without collecting any group.
+estimate of the text's language and source: mean and covariance of those `SHARE` of the rows whose
+covariance has the least determinant.  The search takes concentration steps from several starts, one of
+medians and spreads and others of random subsets: each step adds up counts, sums and products per
+distance class of a group, so one aggregation gives the moments of the closest rows without collecting
+any group.  After two steps the best starts go on until they stand still, and the least determinant wins.
+Equal vectors of statistics count once in an estimate, so copies don't outweigh other texts.
 """
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noticeflow.llm.common import slices, stage, word_hashes
 
 SHARE = 0.75
-STEPS = 4
-#: Groups with fewer rows take the estimate of their language, then of all rows.
-LEAST_ROWS = 30
-#: Squared Mahalanobis distance beyond which a text is rejected.  For normal statistics a chi-square
-#: value with 5 degrees of freedom exceeds it once in 600,000 rows; the statistics of clean texts have longer tails.
-CUTOFF = 35.0
-
-#: Least spread of each transformed statistic: below it, differences mean nothing even where all rows agree.
-FLOORS = (0.5, 0.05, 0.25, 0.1, 0.1)
-FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
+#: Starts per group, those that go on after the first two steps (start 0 always does), and steps at most.
+STARTS, FINALISTS, STEPS = 5, 3, 25
+#: Rows of the random subset a start is taken from, about.
+SUBSET = 40
+#: Groups with fewer rows, or fewer different ones, take the estimate of their language, then of all rows.
+LEAST_ROWS, LEAST_DIFFERENT = 30, 15
+#: Squared Mahalanobis distance beyond which a text is rejected, in the scale of a chi-square value with 5
+#: degrees of freedom.  Normal statistics would never exceed it; those of clean texts have longer tails.
+CUTOFF = 70.0
+#: Variance added in every direction: numerical size, far under the spread of any statistic.
+FLOOR = 1e-6
+
+FEATURES = ("f_words", "f_length", "f_marks", "f_distinct", "f_lines")
 #: Distance classes per doubling of the squared distance.
 _FINE = 16
+#: What stays of a text are its ASCII digits and marks.
+_NO_MARKS = bytes(b for b in range(256) if b >= 128 or chr(b).isalpha() or chr(b).isspace())
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = " \t\n\v\f\r"
 
@@ -73,15 +83,20 @@ def statistics(text):
     )
 
 
+def _shape(text):
+    """n_lines, n_distinct (words), n_marks of one text."""
+    raw = (text or "").encode()
+    return raw.count(b"\n") + 1, len(set(raw.split())), len(raw.translate(None, _NO_MARKS))
+
+
 def text_statistics(docs):
-    """doc_id, lang, source and the base statistics of every whole text (null: no words)."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+    """doc_id, lang, source, the base statistics and those of shape of every whole text (null: no words)."""
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_marks"]
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string())] + [(n, pa.int64()) for n in names])
 
     def run(batches):
         for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            rows = [(*statistics(t), (t or "").count("\n") + 1) for t in texts]
+            rows = [(*statistics(t), *_shape(t)) for t in batch.column("text").to_pylist()]
             cols = [batch.column(c) for c in ("doc_id", "lang", "source")]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
 
@@ -90,14 +105,17 @@ def text_statistics(docs):
 
 
 def transformed(stats):
-    """Adds the statistics in a scale on which clean texts are near normal."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
+    """Adds the statistics in a scale on which clean texts are near normal and none is constant in most texts.
+
+    Words, their mean length, the odds of digits and marks (which symbols raise), different words (which
+    repeated lines and windows lower, given the words), and words per line.
+    """
     return (
         stats.withColumn("f_words", F.log1p("n_words"))
-        .withColumn("f_length", F.log((F.col("word_chars") + 100.0) / (F.col("n_words") + 20.0)))
-        .withColumn("f_symbols", F.log1p(F.lit(100.0) * F.col("n_symbols") / (words + 20)))
-        .withColumn("f_lines", F.col("n_dup_lines") / (F.col("n_lines") + 4.0))
-        .withColumn("f_repeats", F.col("n_repeat_words") / (words + 20.0))
+        .withColumn("f_length", F.log((F.col("word_chars") + 30.0) / (F.col("n_words") + 6.0)))
+        .withColumn("f_marks", F.log((F.col("n_marks") + 1.0) / (F.col("word_chars") - F.col("n_marks") + 20.0)))
+        .withColumn("f_distinct", F.log1p("n_distinct"))
+        .withColumn("f_lines", F.log((F.col("n_words") + 1.0) / F.col("n_lines")))
     )
 
 
@@ -115,40 +133,51 @@ def _distance(prefix=""):
 _MODEL = T.StructType(
     [T.StructField(f"m_{i}", T.DoubleType()) for i in range(_D)]
     + [T.StructField(f"w_{i}_{j}", T.DoubleType()) for i in range(_D) for j in range(i + 1)]
+    + [T.StructField("log_det", T.DoubleType())]
 )
 
 
-def _inverse(cov, share):
-    """Inverse of the consistent covariance, no spread below its floor."""
-    cov = cov / share + np.diag(np.square(FLOORS))
-    return np.linalg.inv(cov)
+def _model(mean, cov):
+    """Mean and inverse covariance as columns, and the logarithm of the determinant."""
+    cov = cov + FLOOR * np.eye(_D)
+    inverse = np.linalg.inv(cov)
+    return [*map(float, mean), *(float(inverse[i, j]) for i in range(_D) for j in range(i + 1)), float(np.linalg.slogdet(cov)[1])]
 
 
-def _model(mean, inverse):
-    return [*map(float, mean), *(float(inverse[i, j]) for i in range(_D) for j in range(i + 1))]
+def _moments(n, sums):
+    """Mean and covariance from a count and the sums named in _MOMENTS."""
+    mean, cov = np.array(sums[:_D]) / n, np.zeros((_D, _D))
+    at = _D
+    for i in range(_D):
+        for j in range(i + 1):
+            cov[i, j] = cov[j, i] = sums[at] / n - mean[i] * mean[j]
+            at += 1
+    return mean, cov
 
 
-#: What the closest `share` of normal rows keep of their variance in five dimensions, for SHARE = 0.75.
-_KEPT = 0.64
+def kept_variance(share, most=60.0, cells=600_000):
+    """What the closest `share` of normal rows in _D dimensions keep of their variance: the factor of consistency."""
+    x = (np.arange(cells) + 0.5) * (most / cells)
+    density = x ** (_D / 2 - 1) * np.exp(-x / 2)
+    below = np.cumsum(density) / density.sum()
+    inner = below <= share
+    return float((x[inner] * density[inner]).sum() / density.sum() / _D / share)
 
 
 def _estimate(share):
-    """Function from the distance classes of one group to its new model; the classes are few, whatever the group's size."""
+    """Function from the distance classes of one start of a group to its next model; the classes are few, whatever the group's size.
+
+    The class in which the share is reached counts in part, so every step keeps the same number of rows.
+    """
 
     def run(key, frame):
         frame = frame.sort_values("cls")
         n = frame["n"].to_numpy(np.float64)
-        upto = int(np.searchsorted(np.cumsum(n), share * n.sum())) + 1
-        part = frame.iloc[:upto]
-        total = part["n"].sum()
-        mean = np.array([part[f"s_{i}"].sum() for i in range(_D)]) / total
-        cov = np.zeros((_D, _D))
-        for i in range(_D):
-            for j in range(i + 1):
-                cov[i, j] = cov[j, i] = part[f"p_{i}_{j}"].sum() / total - mean[i] * mean[j]
-        kept = total / n.sum()
-        shrink = _KEPT + (1 - _KEPT) * max(0.0, (kept - share) / (1 - share))
-        return pd.DataFrame([[*key, *_model(mean, _inverse(cov, shrink))]])
+        before = np.cumsum(n) - n
+        part = np.clip((share * n.sum() - before) / n, 0.0, 1.0)
+        sums = (frame[_MOMENTS].to_numpy(np.float64) * part[:, None]).sum(axis=0)
+        model = _model(*_moments((part * n).sum(), sums))
+        return pd.DataFrame([[*key, *model, not abs(model[-1] - float(frame["old"].iloc[0])) < 1e-4]])
 
     return run
 
@@ -161,40 +190,77 @@ def _levels(rows):
     return rows.withColumn("g0", F.lit("")).withColumn("g1", sizes([lang])).withColumn("g2", sizes([lang, source]))
 
 
-def fit(rows, share=SHARE, steps=STEPS, least_rows=LEAST_ROWS):
-    """Rows with their group `g` and its model columns: the finest of three levels with `least_rows` rows."""
-    rows = _levels(rows)
-    sizes = rows.groupBy("g1", "g2").agg(F.count("*").alias("n2"))
-    per_lang = sizes.groupBy("g1").agg(F.sum("n2").alias("n1"))
-    level = F.when(F.col("n2") >= least_rows, F.col("g2")).when(F.col("n1") >= least_rows, F.col("g1")).otherwise(F.lit(""))
-    groups = stage(sizes.join(per_lang, "g1").select("g2", level.alias("g")))
-    rows = stage(rows.join(groups, "g2"))  # skewed sources are split: both sides are plain tables
+def _sums():
+    out = [F.sum(f).alias(f"s_{i}") for i, f in enumerate(FEATURES)]
+    return out + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p_{i}_{j}") for i in range(_D) for j in range(i + 1)]
 
-    # The rows a group's estimate rests on: its own, for coarse groups those of all finer ones as well.
-    spread = F.explode(F.array_distinct(F.array("g2", "g1", "g0")))
-    wanted = groups.select(F.col("g").alias("k")).distinct()
-    base = rows.select(*FEATURES, spread.alias("k")).join(wanted, "k", "left_semi")
+
+def _starts(base, starts):
+    """First models of every group `k`: start 0 of medians and quartiles, the others of random subsets."""
     middle = base.groupBy("k").agg(*[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f) for f in FEATURES])
+    sizes = base.groupBy("k").agg(F.count("*").alias("size"))
+    drawn = [F.when(F.pmod(F.xxhash64(F.lit(s), *FEATURES), F.ceil(F.col("size") / SUBSET)) == 0, F.lit(s)) for s in range(1, starts)]
+    subsets = base.join(sizes, "k").withColumn("start", F.explode(F.array_compact(F.array(F.lit(None).cast("int"), *drawn))))
+    # Written, so that the sums of all tasks meet before a subset is turned into a model.
+    subsets = stage(subsets.groupBy("k", "start").agg(F.count("*").alias("n"), *_sums()))
 
-    def start(frames):
+    def from_quartiles(frames):
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
                 q = np.array([getattr(r, f) for f in FEATURES], np.float64)
-                cov = np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349))
-                out.append([r.k, *_model(q[:, 1], _inverse(cov, 1.0))])
-            yield pd.DataFrame(out, columns=["k", *_MODEL.names])
+                out.append([r.k, 0, *_model(q[:, 1], np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349)))])
+            yield pd.DataFrame(out, columns=["k", "start", *_MODEL.names])
+
+    def from_subsets(frames):
+        for frame in frames:
+            out = [[r["k"], r["start"], *_model(*_moments(r["n"], [r[c] for c in _MOMENTS]))] for r in frame.to_dict("records")]
+            yield pd.DataFrame(out, columns=["k", "start", *_MODEL.names])
+
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("start", T.IntegerType()), *_MODEL.fields])
+    return stage(middle.mapInPandas(from_quartiles, schema).union(subsets.mapInPandas(from_subsets, schema)))
 
-    schema = T.StructType([T.StructField("k", T.StringType()), *_MODEL.fields])
-    models = stage(middle.mapInPandas(start, schema))
+
+def _step(base, models, share):
+    """The models after one concentration step, with `moved`."""
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("start", T.IntegerType()), *_MODEL.fields, T.StructField("moved", T.BooleanType())])
     cls = F.floor(F.log2(_distance() + 1e-3) * _FINE).cast("int")
-    for _ in range(steps):
-        sums = [F.sum(f).alias(f"s_{i}") for i, f in enumerate(FEATURES)]
-        sums += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p_{i}_{j}") for i in range(_D) for j in range(i + 1)]
-        # Written by group and class, so that the sums of all tasks meet before a group does.
-        classes = stage(base.join(models, "k").groupBy("k", cls.alias("cls")).agg(F.count("*").alias("n"), *sums))
-        models = stage(classes.groupBy("k").applyInPandas(_estimate(share), schema))
-    return rows.join(models.withColumnRenamed("k", "g"), "g")
+    # Written by group and class, so that the sums of all tasks meet before a group does.
+    classes = base.join(models, "k").groupBy("k", "start", cls.alias("cls")).agg(F.count("*").alias("n"), F.first("log_det").alias("old"), *_sums())
+    return stage(stage(classes).groupBy("k", "start").applyInPandas(_estimate(share), schema))
+
+
+def fit(rows, share=SHARE, steps=STEPS, least_rows=LEAST_ROWS, starts=STARTS):
+    """Rows with their group `g`, its model columns and `log_det`: the finest of three levels with enough rows."""
+    rows = _levels(rows)
+    counted = stage(rows.groupBy("g0", "g1", "g2", *FEATURES).agg(F.count("*").alias("n")))
+    vectors = counted.drop("n")
+    sizes = counted.groupBy("g1", "g2").agg(F.sum("n").alias("n2"), F.count("*").alias("d2"))
+    per_lang = sizes.groupBy("g1").agg(F.sum("n2").alias("n1"), F.sum("d2").alias("d1"))
+    enough = lambda k: (F.col(f"n{k}") >= least_rows) & (F.col(f"d{k}") >= min(LEAST_DIFFERENT, least_rows))
+    level = F.when(enough(2), F.col("g2")).when(enough(1), F.col("g1")).otherwise(F.lit(""))
+    groups = stage(sizes.join(per_lang, "g1").select("g2", level.alias("g")))
+    rows = stage(rows.join(groups, "g2"))  # skewed sources are split: both sides are plain tables
+
+    # The rows a group's estimate rests on: its own, for coarse groups those of all finer ones as well.
+    spread = F.explode(F.array_distinct(F.array("g2", "g1", "g0")))
+    wanted = groups.select(F.col("g").alias("k")).distinct()
+    base = stage(vectors.select(*FEATURES, spread.alias("k")).join(wanted, "k", "left_semi"))
+    models = _starts(base, starts)
+    best = F.row_number().over(Window.partitionBy("k").orderBy("log_det", "start"))
+    done = []
+    for n in range(steps):
+        models = _step(base, models, share)
+        if n == 1:
+            models = stage(models.withColumn("_best", best).filter((F.col("_best") <= FINALISTS) | (F.col("start") == 0)).drop("_best"))
+        if n >= 1:
+            done.append(models.filter("not moved"))
+            models = models.filter("moved")
+            if models.isEmpty():
+                break
+    every = functools.reduce(lambda x, y: x.union(y), [*done, models])
+    chosen = every.withColumn("_best", best).filter("_best = 1").drop("_best", "start", "moved")
+    return rows.join(stage(chosen).withColumnRenamed("k", "g"), "g")
 
 
 def judge(docs, cutoff=CUTOFF, **how):
@@ -204,7 +270,8 @@ def judge(docs, cutoff=CUTOFF, **how):
     repeated rows give repeated results; an empty table gives an empty result.
     """
     stats = stage(transformed(text_statistics(docs)))
-    scored = fit(stats, **how).withColumn("distance", _distance())
+    consistent = kept_variance(how.get("share", SHARE))
+    scored = fit(stats, **how).withColumn("distance", _distance() * consistent)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
