@@ -4,10 +4,13 @@ A small network predicts every word of a text from the two words before and the
 the conditional log-probabilities scores the text.  Frequent words have numbers of their own, all
 others share hash buckets.  The prediction is in two steps, the word's class and the word within it,
 so a word costs a few dozen exponentials.  A word of a bucket has the bucket's probability times its
-share of the bucket's words in all texts, which is joined by word.
+share of the bucket's words in all texts: the shares of up to `KNOWN` of the more frequent of these words
+are sent to the tasks, those of all others are joined by word.
 
-Training runs on all texts: every task trains a copy of the network on its part of the texts, and the copies
-are averaged, weighted by their words, in two rounds of half the texts each.
+Texts are split and numbered once.  Training runs on all of them: they are dealt by a hash of the text to parts
+of about PART_WORDS words, a copy of the network is trained on every part, and the copies of a round are
+averaged, weighted by their words.  The rounds grow with the number of parts.  Parts, their order and the
+batches in them depend on the texts only, so the files a table lies in make no difference.
 """
 
 from collections import Counter
@@ -26,8 +29,11 @@ SIZE = CLASSES * PER_CLASS
 EDGE = SIZE - 1
 AROUND = (-2, -1, 1, 2)
 WIDTH = 24
-ROUNDS = 2
+#: Words of a part, and of the pieces it is trained on one after the other.
+PART_WORDS, PIECE_WORDS = 2_000_000, 1 << 18
 BATCH, RATE = 8192, 0.15
+#: Shares that are sent to the tasks at most, some 16 MB of words and numbers.
+KNOWN = 1 << 18
 _PARTS = 64
 
 
@@ -57,7 +63,7 @@ def bucket(word):
 
 
 def shares(counts, words):
-    """`word` and `log_share` of every word of `counts` but `words`: its share of all words of its bucket."""
+    """`word`, `n` and `log_share` of every word of `counts` but `words`: its share of all words of its bucket."""
     shared = counts.sparkSession.sparkContext.broadcast(frozenset(words))
 
     def rare(batch):
@@ -79,9 +85,26 @@ def shares(counts, words):
         for batch in batches:
             rows = rare(batch)
             part = np.log([n / totals[b] for _, n, b in rows]) if rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _, _ in rows], pa.binary()), pa.array(part, pa.float64())], ["word", "log_share"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w for w, _, _ in rows], pa.binary()), pa.array([n for _, n, _ in rows], pa.int64()), pa.array(part, pa.float64())], ["word", "n", "log_share"]
+            )
 
-    return slim.mapInArrow(divide, "word binary, log_share double")
+    return slim.mapInArrow(divide, "word binary, n long, log_share double")
+
+
+def split_shares(rare, most=KNOWN):
+    """(shares of the more frequent words as two lists, table of all others): the first has at most `most` words, by a least count."""
+    sizes = sorted(((r["n"], r["words"]) for r in rare.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, total = None, 0
+    for n, words in sizes:  # one row per different count
+        total += words
+        if total > most:
+            break
+        least = n
+    if least is None:
+        return ([], []), rare
+    known = rare.filter(F.col("n") >= least).select("word", "log_share").toArrow()
+    return (known.column("word").to_pylist(), known.column("log_share").to_pylist()), rare.filter(F.col("n") < least)
 
 
 class Coder(dict):
@@ -98,18 +121,32 @@ class Coder(dict):
         self[word] = out = self.own[word] if word in self.own else WORDS + bucket(word)
         return out
 
-    def line(self, texts):
-        """All texts in one line with edges between them; places of the words, and the text of each."""
-        parts, owner = [np.full(2, EDGE, np.int32)], [np.full(2, -1, np.int32)]
-        for k, t in enumerate(texts):
-            words = (t or "").encode().split()
-            if words:
-                ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-                parts += [ids, np.full(2, EDGE, np.int32)]
-                owner += [np.full(len(ids), k, np.int32), np.full(2, -1, np.int32)]
-        line, owner = np.concatenate(parts), np.concatenate(owner)
-        at = np.flatnonzero(owner >= 0)
-        return line, at, owner[at]
+    def numbers(self, words):
+        return np.fromiter(map(self.__getitem__, words), np.int16, len(words))
+
+
+def in_line(parts):
+    """Numbers of several texts in one line with edges between them; places of the words, and the text of each."""
+    edge = np.full(2, EDGE, np.int16)
+    sizes = np.array([len(p) for p in parts], np.int64)
+    line = np.concatenate([edge, *(x for p in parts for x in (p, edge))])
+    owner = np.repeat(np.arange(len(parts)), sizes)
+    at = np.arange(len(owner)) + 2 * (owner + 1)
+    return line, at, owner
+
+
+class Shares(Coder):
+    """Numbers of words, and the share of each word of a bucket; `open_share` where it is to be joined."""
+
+    open_share = 1.0  # no logarithm of a share is positive
+
+    def __init__(self, words, known):
+        super().__init__(words)
+        self.share = dict.fromkeys(words, 0.0) | dict(zip(*known))
+
+    def of(self, words):
+        share = self.share
+        return np.array([share.get(w, 1.0) for w in words])
 
 
 class Network:
@@ -205,25 +242,70 @@ class Network:
                 emb[j][ids] -= RATE * g / np.sqrt(s + 1e-6)
 
 
-def train(texts, words, rounds=ROUNDS):
-    """The network trained on all texts."""
-    sc = texts.sparkSession.sparkContext
+def numbered(texts, words, known):
+    """doc_id, row, `h` (a hash of the text), n_tokens, `share` (sum of the logarithms known), `ids` and the words whose share is `open`."""
+    shared = texts.sparkSession.sparkContext.broadcast((words, known))
+    names = [("doc_id", pa.int64()), ("row", pa.int64()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("share", pa.float64()), ("ids", pa.binary()), ("open", pa.list_(pa.binary()))]
+    schema = pa.schema(names)
+
+    def run(batches):
+        coder = Shares(*shared.value)
+        for batch in slices(batches):
+            n, share, ids, far = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                split = (t or "").encode().split()
+                part = coder.of(split)
+                here = part == Shares.open_share
+                n.append(len(split))
+                share.append(float(part[~here].sum()))
+                ids.append(coder.numbers(split).tobytes())
+                far.append([split[i] for i in np.flatnonzero(here)])
+            made = [pa.array(c, schema.field(k).type) for k, c in zip(("n_tokens", "share", "ids", "open"), (n, share, ids, far))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "h")] + made, schema=schema)
+
+    # Written once, so that the rows' numbers hold.
+    slim = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    return stage(slim.mapInArrow(run, "doc_id long, row long, h long, n_tokens long, share double, ids binary, open array<binary>"))
+
+
+def train(lines):
+    """The network trained on all rows (`h`, `n_tokens`, `ids`)."""
+    sc = lines.sparkSession.sparkContext
     net = Network()
     schema = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("total", pa.binary())])
-    share = F.pmod(F.xxhash64(F.lit("round"), "text"), F.lit(rounds))
+    total = lines.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = -(-total // PART_WORDS)
+    rounds = min(parts, max(2, parts.bit_length() // 2))
 
     def learn(shared):
         def run(batches):
-            words, flat = shared.value
-            coder, net, squares, n = Coder(words), Network(flat), Network(np.zeros_like(flat)), 0
-            rng = np.random.default_rng(3)
-            for batch in slices(batches):
-                line, at, _ = coder.line(batch.column("text").to_pylist())
-                n += len(at)
-                net.train(line, rng.permutation(at), squares)
-            if n:
-                total = np.array_split(net.flat.astype(np.float64) * n, _PARTS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([n] * _PARTS, pa.int64()), pa.array([t.tobytes() for t in total], pa.binary())], schema=schema)
+            key, held, size, state = None, [], 0, None
+
+            def work():
+                net, squares, rng, n = state
+                line, at, _ = in_line(held)
+                net.train(line.astype(np.int32), rng.permutation(at), squares)
+                return net, squares, rng, n + len(at)
+
+            def out():
+                sums = np.array_split(state[0].flat.astype(np.float64) * state[3], _PARTS)
+                return pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([state[3]] * _PARTS, pa.int64()), pa.array([t.tobytes() for t in sums], pa.binary())], schema=schema)
+
+            for batch in batches:
+                for p, ids in zip(batch.column("p").to_pylist(), batch.column("ids").to_pylist()):
+                    if p != key:
+                        if key is not None:
+                            state = work() if held else state
+                            yield out()
+                        key, held, size = p, [], 0
+                        state = Network(shared.value), Network(np.zeros_like(shared.value)), np.random.default_rng(3), 0
+                    held.append(np.frombuffer(ids, np.int16))
+                    size += len(held[-1])
+                    if size >= PIECE_WORDS:
+                        state, held, size = work(), [], 0
+            if key is not None:
+                state = work() if held else state
+                yield out()
 
         return run
 
@@ -238,12 +320,14 @@ def train(texts, words, rounds=ROUNDS):
         )
 
     kind = "part int, n long, total binary"
+    dealt = lines.filter("n_tokens > 0").select(F.pmod("h", F.lit(max(parts, 1))).alias("p"), "h", "ids")
     for k in range(rounds):
-        shared = sc.broadcast((words, net.flat))
-        parts = texts.filter(share == k).select("text").mapInArrow(learn(shared), kind).repartition("part").mapInArrow(add, kind).collect()  # one network
-        if parts:
-            parts.sort(key=lambda r: r["part"])
-            net = Network(np.concatenate([np.frombuffer(r["total"]) / r["n"] for r in parts]))
+        shared = sc.broadcast(net.flat)
+        mine = dealt.filter(F.col("p") % rounds == k).repartition(-(-parts // rounds), "p").sortWithinPartitions("p", "h")
+        sums = mine.mapInArrow(learn(shared), kind).repartition("part").mapInArrow(add, kind).collect()  # one network
+        if sums:
+            sums.sort(key=lambda r: r["part"])
+            net = Network(np.concatenate([np.frombuffer(r["total"]) / r["n"] for r in sums]))
     return net
 
 
@@ -257,29 +341,22 @@ def score(docs):
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
     counts = stage(word_counts(texts))
     words = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-    net = train(texts, words)
-    shared = docs.sparkSession.sparkContext.broadcast((words, net.flat))
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("rare", kind)])
+    known, others = split_shares(stage(shares(counts, words)))
+    lines = numbered(texts, words, known)
+    shared = docs.sparkSession.sparkContext.broadcast(train(lines).flat)
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())])
 
     def run(batches):
-        words, flat = shared.value
-        coder, net, frequent = Coder(words), Network(flat), frozenset(words)
-        for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            line, at, owner = coder.line(texts)
-            n = np.bincount(owner, minlength=batch.num_rows)
-            total = np.bincount(owner, net.log_probs(line, at), batch.num_rows)
-            rare = [[(w, k) for w, k in Counter((t or "").encode().split()).items() if w not in frequent] for t in texts]
-            cols = [batch.column("doc_id"), batch.column("row"), pa.array(n), pa.array(total.astype(np.float64)), pa.array(rare, kind)]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
-
-    # Written once, so that the rows' numbers hold.
-    numbered = texts.withColumn("row", F.monotonically_increasing_id())
-    out = stage(numbered.mapInArrow(run, "doc_id long, row long, n_tokens long, log_prob double, rare array<struct<word: binary, times: int>>"))
-    rare = out.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    more = rare.join(shares(counts, words), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("more"))
-    out = out.drop("rare").join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+        net = Network(shared.value)
+        for batch in slices(batches, "ids"):
+            line, at, owner = in_line([np.frombuffer(x, np.int16) for x in batch.column("ids").to_pylist()])
+            total = np.bincount(owner, net.log_probs(line.astype(np.int32), at), batch.num_rows) + batch.column("share").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "n_tokens")] + [pa.array(total.astype(np.float64))], schema=schema)
+
+    out = lines.select("doc_id", "row", "n_tokens", "share", "ids").mapInArrow(run, "doc_id long, row long, n_tokens long, log_prob double")
+    far = lines.select("row", F.explode("open").alias("word"))
+    more = far.join(others, "word").groupBy("row").agg(F.sum("log_share").alias("more"))
+    out = out.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
