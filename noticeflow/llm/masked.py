@@ -353,7 +353,8 @@ def score(docs):
             total = np.bincount(owner, net.log_probs(line.astype(np.int32), at), batch.num_rows) + batch.column("share").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "n_tokens")] + [pa.array(total.astype(np.float64))], schema=schema)
 
-    out = lines.select("doc_id", "row", "n_tokens", "share", "ids").mapInArrow(run, "doc_id long, row long, n_tokens long, log_prob double")
+    # Written before the join, so that texts are scored once.
+    out = stage(lines.select("doc_id", "row", "n_tokens", "share", "ids").mapInArrow(run, "doc_id long, row long, n_tokens long, log_prob double"))
     far = lines.select("row", F.explode("open").alias("word"))
     more = far.join(others, "word").groupBy("row").agg(F.sum("log_share").alias("more"))
     out = out.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))

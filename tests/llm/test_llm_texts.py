@@ -253,3 +253,45 @@ def test_passages_of_50_words_in_any_sentences(spark):
 def test_hashes_of_ids():
     s = bpe.splitter(BYTES)
     assert hashlib.sha256(",".join(map(str, s.encode("a b"))).encode()).hexdigest() == hashlib.sha256(b"64,275").hexdigest()
+
+
+def walked(counts, owners, bound):
+    """Shard of every key (arc, rank), key by key: in rounds each asks at the next point of the ring."""
+    room, shard, step = list(bound), {}, 0
+    pending = [(a, r) for a, n in enumerate(counts) for r in range(n)]
+    while pending:
+        rest = []
+        for a, r in pending:
+            s = int(owners[(a + step) % len(owners)])
+            if room[s] > 0:
+                room[s] -= 1
+                shard[a, r] = s
+            else:
+                rest.append((a, r))
+        pending, step = rest, step + 1
+    return shard
+
+
+def placed(keys, shards):
+    """Shard of every key (sorted positions on the ring) by the operator's own steps."""
+    at, owners = sharding.ring(shards)
+    arc = np.searchsorted(at, keys) % len(at)
+    counts = np.bincount(arc, minlength=len(at))
+    rank = np.zeros(len(keys), np.int64)
+    for a in np.flatnonzero(counts):
+        rank[arc == a] = np.arange(counts[a])
+    bound = sharding.bounds(len(keys), shards)
+    by = {}
+    for a, lo, hi, s in sharding.place(counts, owners, bound):
+        by.update({(a, r): s for r in range(lo, hi)})
+    return counts, owners, bound, by, [by[int(a), int(r)] for a, r in zip(arc, rank)]
+
+
+def test_ring_equals_a_walk_key_by_key_and_moves_little():
+    keys = np.sort(np.random.default_rng(7).integers(-(1 << 63), 1 << 63, 12_000, dtype=np.int64))
+    counts, owners, bound, by, before = placed(keys, 16)
+    assert by == walked(counts.tolist(), owners, bound.tolist())
+    after = placed(keys, 17)[4]
+    sizes = collections.Counter(after)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 17
+    assert sum(a != b for a, b in zip(before, after)) < 0.1 * len(keys)
