@@ -3,8 +3,7 @@
 Every vector is projected on `PROJECTIONS` random lines, taken from random rotations so that the lines of
 one rotation are at right angles; each line's projections are kept as a sorted array.  A query opens a
 window around its own projection on every line; virtual rehashing widens all windows together, step by
-step, so that a step only visits what the last one left out.  A vector seen in at least `THRESHOLD` of
-the windows is verified by its distance; the search stops when ten verified vectors lie within the
+step.  A vector seen in at least `THRESHOLD` of the windows is verified by its distance; the search stops when ten verified vectors lie within the
 radius that the windows stand for.
 
 Data are worked on in blocks of a bounded number of vectors, queries in blocks of a bounded number;
@@ -18,12 +17,12 @@ from pyspark.sql import functions as F
 
 from noticeflow.llm.common import stage
 
-PROJECTIONS = 192
+PROJECTIONS = 128
 #: Collisions from which a vector is verified.
-THRESHOLD = 158
-#: Half width of a window in units of the radius; growth of the radius per step.
-HALF_WIDTH, GROWTH = 1.4, 1.06
-BLOCK, QUERIES = 8192, 1024
+THRESHOLD = 106
+#: Half width of a window in units of the radius; first radius in units of a sample's; growth of the radius per step.
+HALF_WIDTH, START, GROWTH = 1.4, 0.8, 1.06
+BLOCK, QUERIES = 32_768, 1024
 #: Vectors whose mutual distances give the first radius: a bounded sample, as every vector is indexed anyway.
 SAMPLE = 512
 _SEED = 11
@@ -42,24 +41,26 @@ class Block:
     def __init__(self, rows, ids, vectors, a):
         self.rows, self.ids, self.vectors = rows, ids, vectors
         p = vectors @ a
-        self.order = np.argsort(p, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(p, self.order.T, axis=0).T.copy()
+        order = np.argsort(p, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(p.T, order, axis=1)
+        # Place of every vector on every line: it is in a window of places if it is in one of projections.
+        self.place = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
 
     def search(self, own, query, projected, radius, k, threshold):
         """The k nearest verified vectors for one query, whose row is `own`: (squared distances, places), and how many were verified."""
-        n, m = len(self.ids), len(projected)
-        seen = np.zeros(n, np.int16)
+        m = len(projected)
         checked = self.rows == own
         before = int(checked.sum())
-        lo = hi = np.array([np.searchsorted(self.sorted[i], projected[i]) for i in range(m)])
         rows, dist = np.zeros(0, np.int64), np.zeros(0)
         while True:
-            new_lo = np.array([np.searchsorted(self.sorted[i], projected[i] - HALF_WIDTH * radius) for i in range(m)])
-            new_hi = np.array([np.searchsorted(self.sorted[i], projected[i] + HALF_WIDTH * radius, "right") for i in range(m)])
-            new_lo, new_hi = np.minimum(new_lo, lo), np.maximum(new_hi, hi)
-            visited = [self.order[i][at] for i in range(m) for at in (slice(new_lo[i], lo[i]), slice(hi[i], new_hi[i]))]
-            seen += np.bincount(np.concatenate(visited), minlength=n).astype(np.int16)
-            lo, hi = new_lo, new_hi
+            width = HALF_WIDTH * radius
+            seen = np.zeros(len(self.ids), np.uint8 if m < 256 else np.uint16)
+            for i in range(m):
+                lo, hi = self.sorted[i].searchsorted(projected[i] - width), self.sorted[i].searchsorted(projected[i] + width, "right")
+                if hi > lo:
+                    # below lo the difference wraps round to a large number
+                    seen += (self.place[i] - np.uint16(lo)) <= np.uint16(hi - lo - 1)
             fresh = np.flatnonzero((seen >= threshold) & ~checked)
             checked[fresh] = True
             d = self.vectors[fresh] - query
@@ -108,10 +109,10 @@ def search(rows, every=100, k=10, threshold=THRESHOLD):
 
 
 def start_radius(near, query, k):
-    """Half the distance to the k-th of a sample of vectors, where the windows begin."""
+    """Where the windows begin: START times the distance to the k-th of a sample of vectors."""
     d = np.sqrt(((near - query) ** 2).sum(axis=1))
     d = np.sort(d[d > 0])
-    return float(d[min(len(d) - 1, k)]) * 0.5 if len(d) else 1.0
+    return float(d[min(len(d) - 1, k)]) * START if len(d) else 1.0
 
 
 def _task(shared, schema, k, threshold):
