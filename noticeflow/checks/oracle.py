@@ -1,4 +1,6 @@
-"""Expressions of the oracle's SQL dialect, written independently of the Spark columns."""
+"""Expressions of the oracle's SQL dialect, written independently of the Spark columns; patterns are the fixed values."""
+
+from noticeflow import fixed
 
 
 def collapse(x):
@@ -29,12 +31,9 @@ def file_name(u):
     return rf"regexp_replace(coalesce(nullif({last}, ''), 'document.pdf'), '[^\p{{L}}\p{{N}}._-]', '_', 'g')"
 
 
-_DATE = r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
-
-
-def labelled(text, *labels):
+def labelled(text, labels):
     tokens = [
-        rf"nullif(regexp_extract({text}, '(?is){label}.{{0,100}}?{_DATE}', 1), '')" for label in labels
+        f"nullif(regexp_extract({text}, '(?is){label}{fixed.DATE_GAP}{fixed.DATE}', 1), '')" for label in labels
     ]
     return f"coalesce({', '.join(tokens)}, '')"
 
@@ -54,38 +53,27 @@ def day_first(raw):
 
 
 def advert(t):
-    return (
-        rf"regexp_extract({t}, '(?i)(?:Advt\.?|Advertisement|Notification)\s*(?:No\.?|Number)?\s*[:\-]?\s*"
-        r"([A-Za-z0-9./()_-]{3,40})', 1)"
-    )
+    return f"regexp_extract({t}, '(?i){fixed.ADVERT_NUMBER}', 1)"
 
 
 def vacancies(t):
-    return (
-        rf"try_cast(replace(regexp_extract({t}, '(?i)(\d[\d,]*)\s+(?:vacancies|posts|positions)', 1), ',', '') as bigint)"
-    )
+    return f"try_cast(replace(regexp_extract({t}, '(?i){fixed.VACANCIES}', 1), ',', '') as bigint)"
 
 
 def start(t):
-    return day_first(labelled(t, r"application(?:s)?\s+(?:will\s+)?start",
-                              r"online\s+application(?:s)?\s+(?:will\s+)?start"))
+    return day_first(labelled(t, fixed.START_LABELS))
 
 
 def end(t):
-    return day_first(labelled(t, r"last\s+date", r"closing\s+date", r"application(?:s)?\s+(?:close|end)"))
+    return day_first(labelled(t, fixed.END_LABELS))
 
 
 def snippet(t, name):
     """The label and what follows, cut by length: the engine is slow on long bounded repeats."""
-    label, gap, cap = {
-        "age_limit": (r"(?:age\s+limit|maximum\s+age)", 100, 500),
-        "qualification": (
-            r"(?:educational\s+qualification|essential\s+qualification|qualification)", 1200, 1500),
-        "experience": (r"(?:experience|work\s+experience)", 1200, 1500),
-        "application_fee": (r"(?:application\s+fee|fee\s+for\s+application)", 500, 700),
-    }[name]
+    pattern, cap = fixed.SNIPPETS[name]
+    label, _, most = pattern.rpartition(".{0,")
     rest = f"regexp_extract({t}, '(?is){label}.*', 0)"
-    length = f"length(regexp_extract({t}, '(?is){label}', 0)) + {gap}"
+    length = f"length(regexp_extract({t}, '(?is){label}', 0)) + {most.rstrip('}')}"
     return f"substr({collapse(f'substr({rest}, 1, {length})')}, 1, {cap})"
 
 

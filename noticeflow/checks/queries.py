@@ -143,6 +143,44 @@ def s4_landed_files(spark, sf_dir):
     return found.join(checked, "file_name").select(seq, big("n_bytes"), "document_hash", "status")
 
 
+_ALL_LISTED = tuple((f"list {i}", f"https://list{i}.example.org/jobs", "list", ()) for i in range(6))
+_SETTINGS = {
+    "all": {},
+    "keywords": {"keywords": ("nothing",)},
+    "links_per_page": {"links_per_page": 0},
+    "lookback": {"apply_lookback": True, "lookback_hours": 30},
+    "sources": {"sources": _ALL_LISTED[1:3]},
+    "trusted_domains": {"trusted_domains": ("list1.example.org", "list4.example.org")},
+    "trusted_suffixes": {"trusted_suffixes": (".example.org",)},
+}
+_SETTING_SQL = {
+    "all": ("true", "domain = 'list1.example.org'"), "keywords": ("false", "false"), "links_per_page": ("false", "false"),
+    "lookback": ("fetched_s between epoch(timestamp '2024-01-12 00:30:00') and epoch(timestamp '2024-01-13 06:30:00')", "domain = 'list1.example.org'"),
+    "sources": ("domain in ('list1.example.org', 'list2.example.org')", "domain = 'list1.example.org'"),
+    "trusted_domains": ("true", "domain in ('list1.example.org', 'list4.example.org')"), "trusted_suffixes": ("true", "true"),
+}
+
+
+@check("s7_parameters", cte("landings") + ", good as (select *, split_part(request_url, '/', 3) as domain from landings where status = 200)" + " union all ".join(
+    f" select '{name}' as setting, count_if({found}) as n_candidates, count_if(({found}) and ({trusted})) as n_trusted from good"
+    for name, (found, trusted) in _SETTING_SQL.items()
+))
+def s7_parameters(spark, sf_dir):
+    """What each run parameter changes: candidates found and trusted."""
+    pages = derived(spark, sf_dir, "landings").select(
+        "request_url", F.col("request_url").alias("final_url"), "status", "html", F.timestamp_seconds("fetched_s").alias("fetched_at")
+    )
+    out = None
+    for name, changed in _SETTINGS.items():
+        conf = registry.RunConfig(**{"sources": _ALL_LISTED, "trusted_domains": ("list1.example.org",), "trusted_suffixes": (), **changed})
+        listed = landed.registered_pages(pages, registry.sources_df(spark, conf.sources))
+        found = daily.candidates_of(daily.in_run(listed, conf, datetime(2024, 1, 13, 6, 30, tzinfo=timezone.utc)), conf)
+        verdict = trust.is_trusted(F.col("source_url"), conf.trusted_domains, conf.trusted_suffixes)
+        counts = found.agg(F.lit(name).alias("setting"), F.count("*").alias("n_candidates"), F.count_if(verdict).alias("n_trusted"))
+        out = counts if out is None else out.union(counts)
+    return out
+
+
 # --- store ----------------------------------------------------------------
 
 _STORE_COLUMNS = (
@@ -609,7 +647,7 @@ def x4_parse(spark, sf_dir):
     return raw.select("doc_id", "raw", parse_day_first(F.col("raw")).alias("parsed"))
 
 
-@check("x5_priority", cte("notices") + f" select doc_id, {o.labelled('text', r'last\s+date', r'closing\s+date', r'application(?:s)?\s+(?:close|end)')} as raw from notices")
+@check("x5_priority", cte("notices") + f" select doc_id, {o.labelled('text', fixed.END_LABELS)} as raw from notices")
 def x5_priority(spark, sf_dir):
     text = field_fn.as_text(F.col("text"))
     raw = field_fn.labelled_date_text(text, fixed.END_LABELS, ("last", "closing", "application"))

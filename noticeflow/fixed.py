@@ -13,6 +13,18 @@ NOTIFICATION_HREF_PART = ".pdf"
 NOTIFICATION_TEXT_PARTS = ("notice", "advert")
 APPLICATION_TEXT_PART = "apply"
 
+# --- URL schemes, as the Python standard library's URL joining has them ----
+# relative references of these resolve against the page
+RELATIVE_SCHEMES = (
+    "", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
+    "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss",
+)
+# the last path segment of these may carry `;parameters`
+PARAMETER_SCHEMES = (
+    "", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps", "rtspu",
+    "sip", "sips", "mms", "sftp", "tel",
+)
+
 # --- documents ------------------------------------------------------------
 PDF_CONTENT_TYPE = "application/pdf"
 PDF_SUFFIX = ".pdf"

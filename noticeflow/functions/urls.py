@@ -10,17 +10,6 @@ _PARTS = (
 )
 _PATH_PARAMS = r"(?s)^((?:.*/)?[^/;]*)(?:;([^/]*))?$"
 
-# schemes whose relative references resolve against the page
-_RELATIVE = (
-    "", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms",
-    "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss",
-)
-# schemes whose last path segment may carry `;parameters`
-_WITH_PARAMS = (
-    "", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp", "rtsps", "rtspu",
-    "sip", "sips", "mms", "sftp", "tel",
-)
-
 # forms that need no normalisation; everything else takes the general path
 _PLAIN_ROOTED = (
     r"^/(?![/.])(?:[^?#;/\t\r\n]++|/(?!\.))*+(?:\?[^#\t\r\n]+)?(?:#[^\t\r\n]+)?$"
@@ -69,7 +58,7 @@ def url_parts(url, scheme=None):
         )
 
     def with_params(p):
-        has = p["scheme"].isin(*_WITH_PARAMS)
+        has = p["scheme"].isin(*fixed.PARAMETER_SCHEMES)
         return F.struct(
             p["scheme"].alias("scheme"),
             p["netloc"].alias("netloc"),
@@ -183,7 +172,7 @@ def resolve_link(base, parts, href):
             h["params"], h["query"], h["fragment"],
         )
         return (
-            F.when((h["scheme"] != parts["scheme"]) | ~h["scheme"].isin(*_RELATIVE), href)
+            F.when((h["scheme"] != parts["scheme"]) | ~h["scheme"].isin(*fixed.RELATIVE_SCHEMES), href)
             .when(h["netloc"] != "", own_authority)
             .when((h["path"] == "") & (h["params"] == ""), same_document)
             .otherwise(merged)
