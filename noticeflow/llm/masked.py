@@ -35,6 +35,8 @@ BATCH, RATE = 8192, 0.15
 #: Shares that are sent to the tasks at most, some 16 MB of words and numbers.
 KNOWN = 1 << 18
 _PARTS = 64
+#: Bound of an exponent: sums over a row stay positive and finite without a maximum taken row by row.
+_MOST = np.float32(80.0)
 
 
 def word_counts(texts):
@@ -135,18 +137,31 @@ def in_line(parts):
     return line, at, owner
 
 
-class Shares(Coder):
-    """Numbers of words, and the share of each word of a bucket; `open_share` where it is to be joined."""
+class Shares(dict):
+    """Words to places of two arrays, found at once: the word's number, and its share of a bucket, `open_share` where it is to be joined."""
 
     open_share = 1.0  # no logarithm of a share is positive
 
     def __init__(self, words, known):
-        super().__init__(words)
-        self.share = dict.fromkeys(words, 0.0) | dict(zip(*known))
+        rare, shares = known
+        self.own = {w: i for i, w in enumerate([*words, *rare])}
+        super().__init__(self.own)
+        self.first = len(self.own)  # places of the buckets
+        self.ids = np.array([*range(len(words)), *(WORDS + bucket(w) for w in rare), *range(WORDS, WORDS + BUCKETS)], np.int16)
+        self.shares = np.array([*[0.0] * len(words), *shares, *[self.open_share] * BUCKETS])
 
-    def of(self, words):
-        share = self.share
-        return np.array([share.get(w, 1.0) for w in words])
+    def __missing__(self, word):
+        if len(self) > self.first + 400_000:
+            self.clear()
+            self.update(self.own)
+        out = self.own.get(word)
+        self[word] = out = self.first + bucket(word) if out is None else out
+        return out
+
+    def read(self, words):
+        """Numbers and shares of words."""
+        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return self.ids[at], self.shares[at]
 
 
 class Network:
@@ -171,7 +186,7 @@ class Network:
 
     @staticmethod
     def _softmax(z):
-        z -= z.max(axis=1, keepdims=True)
+        np.clip(z, -_MOST, _MOST, out=z)
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         return z
@@ -179,7 +194,7 @@ class Network:
     @staticmethod
     def _log_of(z, chosen):
         """Log of the softmax of each row at its chosen column."""
-        z -= z.max(axis=1, keepdims=True)
+        np.clip(z, -_MOST, _MOST, out=z)
         own = z[np.arange(len(z)), chosen]
         return own - np.log(np.exp(z, out=z).sum(axis=1))
 
@@ -254,12 +269,12 @@ def numbered(texts, words, known):
             n, share, ids, far = [], [], [], []
             for t in batch.column("text").to_pylist():
                 split = (t or "").encode().split()
-                part = coder.of(split)
-                here = part == Shares.open_share
+                own, part = coder.read(split)
+                here = part != Shares.open_share
                 n.append(len(split))
-                share.append(float(part[~here].sum()))
-                ids.append(coder.numbers(split).tobytes())
-                far.append([split[i] for i in np.flatnonzero(here)])
+                share.append(float(part[here].sum()))
+                ids.append(own.tobytes())
+                far.append([split[i] for i in np.flatnonzero(~here)])
             made = [pa.array(c, schema.field(k).type) for k, c in zip(("n_tokens", "share", "ids", "open"), (n, share, ids, far))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "h")] + made, schema=schema)
 
