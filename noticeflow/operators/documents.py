@@ -165,10 +165,15 @@ def file_hashes(blobs):
 
 def check_files(manifest, blobs):
     """(file_name, status) of every manifest row: `same`, `changed` or, where no file landed, `missing`."""
-    found = file_hashes(blobs).select("file_name", F.col("document_hash").alias("_found"))
+    return check_hashes(manifest, file_hashes(blobs))
+
+
+def check_hashes(manifest, hashes):
+    """`check_files` by the `file_hashes` of the landed files, so that files are read once for both."""
+    found = hashes.select("file_name", F.col("document_hash").alias("_found"), F.lit(True).alias("_landed"))
     status = (
-        F.when(F.col("_found").isNull(), "missing")
-        .when(F.col("_found") == F.col("document_hash"), "same")
+        F.when(F.col("_landed").isNull(), "missing")
+        .when(F.col("_found").eqNullSafe(F.col("document_hash")), "same")
         .otherwise("changed")
     )
     return manifest.join(found, "file_name", "left").select("file_name", status.alias("status"))

@@ -12,6 +12,8 @@ from noticeflow.sources.scratch import exists, hadoop_path
 
 #: Folders of a landed table, if it has any: the UTC day of the fetch.
 FETCH_DATE = "fetch_date"
+#: Landed files from this many bytes on stand alone, smaller ones share packs.
+SMALL_BYTES = 1 << 15
 #: Registered addresses that are pushed into the scan as a list; more than these are only joined.
 MOST_PUSHED = 1000
 
@@ -51,6 +53,21 @@ def read_blobs(spark, path):
     return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
 
 
+def pack_blobs(files, path):
+    """Append small files (`path`, `content`) to packs: many files in one, as rows that `read_packs` gives back.
+
+    A file system takes some milliseconds a file, which for millions of small files is more than all their bytes cost.
+    """
+    made = F.current_timestamp().alias("modificationTime")
+    length = F.octet_length("content").cast("bigint").alias("length")
+    files.select("path", made, length, "content").write.mode("append").parquet(path)
+
+
+def read_packs(spark, path):
+    """Files of packs with the columns of `read_blobs`."""
+    return spark.read.schema("path string, modificationTime timestamp, length bigint, content binary").parquet(path)
+
+
 def read_responses(spark, path):
     """Landed answers; `landed_at` is the time of their file, so that a later one counts."""
     kinds = "request_id string, response string"

@@ -1,12 +1,15 @@
 """Versions of the store, partial merges, racing writers; landed tables in folders by day; the link filter."""
 
+import hashlib
 import os
+import uuid
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticeflow.checks import queries
 from noticeflow.operators import documents as docs
 from noticeflow.operators.links import discover_links
 from noticeflow.operators.merge import latest_in_batch
@@ -218,3 +221,15 @@ def test_files_are_checked_against_the_manifest(spark, scratch):
     rows = [("a.pdf", hashes["a.pdf"][1]), ("b.pdf", hashes["a.pdf"][1]), ("gone.pdf", "x"), ("empty.pdf", "e")]
     manifest = spark.createDataFrame(rows, "file_name string, document_hash string")
     assert {tuple(r) for r in docs.check_files(manifest, blobs).collect()} == {("a.pdf", "same"), ("b.pdf", "changed"), ("gone.pdf", "missing"), ("empty.pdf", "missing")}
+
+
+def test_small_documents_share_packs_and_large_ones_are_files(spark, scratch, monkeypatch):
+    size = landed.SMALL_BYTES
+    texts = {i: f"text {i} \u00e9" for i in range(60)} | {60: "x" * (size - 1), 61: "y" * size, 62: "\u00e9" * size, 63: "", 64: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(2).write.parquet(f"{scratch}/documents.parquet")
+    monkeypatch.setattr(queries.scratch, "scratch_path", lambda spark, label="t": f"{scratch}/work/{label}-{uuid.uuid4().hex}")
+    got = {r.doc_id: (r.n_bytes, r.document_hash, r.status) for r in queries.s4_landed_files(spark, scratch).collect()}
+    bodies = {i: None if t is None else (t + "\n").encode() for i, t in texts.items()}
+    assert got == {i: (None, None, "same") if b is None else (len(b), hashlib.sha256(b).hexdigest(), "same") for i, b in bodies.items()}
+    folders = [d for top, names, _ in os.walk(f"{scratch}/work") for d in names if d.startswith("doc_id=")]
+    assert sorted(folders) == ["doc_id=61", "doc_id=62"]
