@@ -109,6 +109,8 @@ ALL = {
 }
 _TABLE = {"bulletins": "documents"}
 _TEXTS = ("notices", "bulletins", "overlay_rows")
+#: Rows of a partition at most where texts are derived from them.
+PART_ROWS = 100_000
 
 
 def table(spark, sf_dir, name):
@@ -123,7 +125,9 @@ def derive(spark, name, source):
 
 def derived(spark, sf_dir, name):
     source = table(spark, sf_dir, _TABLE.get(name, "orders"))
-    return derive(spark, name, source.repartition(spark.sparkContext.defaultParallelism) if name in _TEXTS else source)
+    if name in _TEXTS:
+        source = source.repartition(max(spark.sparkContext.defaultParallelism, -(-source.count() // PART_ROWS)))
+    return derive(spark, name, source)
 
 
 def cte(*names):

@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from noticeflow import fixed
 from noticeflow.schema import CANDIDATE, RECORD, default
+from noticeflow.sources.scratch import parts_of
 
 
 def extraction_requests(rows, keys, max_chars=fixed.REQUEST_MAX_CHARS):
@@ -104,10 +105,14 @@ def ingest_responses(responses, keys):
 
 
 def latest_answers(answers, on, order):
-    """One answer per key: the last valid one by `order`, else the last one."""
+    """One answer per key: the last valid one by `order`, else the last one.
+
+    Whole records are sorted by key, so the partitions are as many as the answers need.
+    """
     kept = F.struct("valid", "record")
     return (
-        answers.groupBy(*on)
+        answers.repartition(parts_of(answers), *on)
+        .groupBy(*on)
         .agg(F.max_by(kept, F.struct("valid", *order)).alias("a"))
         .select(*on, "a.*")
     )

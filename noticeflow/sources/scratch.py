@@ -71,8 +71,26 @@ def drop(spark, paths):
         fs.delete(where, True)
 
 
+#: Bytes of a partition as the planner estimates them; rows in memory take some ten times as many.
+PART_BYTES = 8 << 20
+#: Estimates from here on are the planner's word for an unknown size, as of rows given by the driver.
+_UNKNOWN = 1 << 50
+
+
+def estimated_bytes(df):
+    """The planner's estimate, in proportion to the files that `df` reads."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def parts_of(df):
+    """Partitions for a shuffle of `df`: as many as the session sets, and more where these would grow with the input."""
+    size = estimated_bytes(df)
+    needed = -(-size // PART_BYTES) if size < _UNKNOWN else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), needed)
+
+
 def fits_broadcast(df):
     """Would the planner broadcast `df`?  Its size estimate against the session's threshold."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = estimated_bytes(df)
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return size <= limit

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow import fixed
+from noticeflow.checks import derived
 from noticeflow.operators import overlay
 from noticeflow.operators.records import as_rows, backfill, extract, records_of
 from noticeflow.schema import CANDIDATE, RECORD
+from noticeflow.sources import scratch as tables
 
 ANSWERS = [
     ('{"organisation":"Étable","vacancies_total":7,"important_instructions":["a","b"],"extra":1}', True),
@@ -104,3 +106,20 @@ def test_requests(spark):
     assert parsed["published_date"] is None and parsed["title"] == "Title"
     none = df.withColumn("candidate", F.lit(None).cast(CANDIDATE))
     assert "\nDISCOVERY:\n{}\nDOCUMENT:\n" in overlay.extraction_requests(none, ["id"]).first().request
+
+
+def test_partitions_of_answers_grow_with_their_bytes(spark, sf_dir, scratch, monkeypatch):
+    """Answers of a few partitions are dealt to more where a partition would grow; rows stay the same."""
+    rows = spark.range(4000).selectExpr("id % 2000 as k", "cast(id as int) as at", "concat('{\"organisation\":\"', id, if(id % 3 = 0, '', '\"}')) as response")
+    rows.write.parquet(f"{scratch}/answers")
+    given = overlay.ingest_responses(spark.read.parquet(f"{scratch}/answers"), ["k", "at"])
+    got = []
+    for size in (1 << 40, 1 << 12):
+        monkeypatch.setattr(tables, "PART_BYTES", size)
+        out = overlay.latest_answers(given, ["k"], ["at"])
+        got.append((out.rdd.getNumPartitions(), sorted((r.k, r.valid, r.record.organisation) for r in out.collect())))
+    assert got[0][0] == 8 < got[1][0] == tables.parts_of(given) and got[0][1] == got[1][1] and len(got[0][1]) == 2000
+    assert got[0][1][:3] == [(0, True, "2000"), (1, True, "1"), (2, True, "2002")]
+    monkeypatch.setattr(derived, "PART_ROWS", 100)
+    n = derived.table(spark, sf_dir, "orders").count()
+    assert derived.derived(spark, sf_dir, "overlay_rows").rdd.getNumPartitions() == -(-n // 100)
