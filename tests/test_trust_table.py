@@ -42,6 +42,25 @@ def test_many_rules_cost_the_same_plan(spark):
     assert plans[0] == plans[1]
 
 
+def test_an_ending_that_all_domains_share_is_split(spark):
+    hosts = spark.range(100_000).select(F.concat(F.lit("h.d"), F.hex(F.xxhash64("id")), F.lit(".org")).alias("domain"))
+    rules = spark.range(0, 200_000, 4).select(F.lit("domain").alias("kind"), F.concat(F.lit("d"), F.hex(F.xxhash64("id")), F.lit(".org")).alias("value"))
+    skew = "spark.sql.adaptive.skewJoin.skewedPartition"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", f"{skew}ThresholdInBytes": "64k", f"{skew}Factor": "1.5"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = trust.trusted_domains(hosts, rules)
+        assert len(found.collect()) == 25_000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_a_run_with_a_long_trust_list_equals_one_with_a_short_one(spark, scratch):
     pages = [("https://a.org/", "https://a.org/", 200, "text/html", '<a href="1.pdf">Notice one</a>', AT), ("https://b.gov.in/", "https://b.gov.in/", 200, "text/html", '<a href="2.pdf">Notice two</a>', AT)]
     spark.createDataFrame(pages, PAGES).write.parquet(f"{scratch}/pages")
