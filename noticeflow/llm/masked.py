@@ -105,7 +105,7 @@ def split_shares(rare, most=KNOWN):
         least = n
     if least is None:
         return ([], []), rare
-    known = rare.filter(F.col("n") >= least).select("word", "log_share").toArrow()
+    known = rare.filter(F.col("n") >= least).select("word", "n", "log_share").toArrow().sort_by([("n", "descending")])  # what is read often lies together
     return (known.column("word").to_pylist(), known.column("log_share").to_pylist()), rare.filter(F.col("n") < least)
 
 
@@ -142,20 +142,23 @@ class Shares(dict):
 
     open_share = 1.0  # no logarithm of a share is positive
 
-    def __init__(self, words, known):
+    @classmethod
+    def arrays(cls, words, known):
+        """All named words with their places' numbers and shares, buckets last; made once and sent to the tasks."""
         rare, shares = known
-        self.own = {w: i for i, w in enumerate([*words, *rare])}
-        super().__init__(self.own)
-        self.first = len(self.own)  # places of the buckets
-        self.ids = np.array([*range(len(words)), *(WORDS + bucket(w) for w in rare), *range(WORDS, WORDS + BUCKETS)], np.int16)
-        self.shares = np.array([*[0.0] * len(words), *shares, *[self.open_share] * BUCKETS])
+        ids = np.array([*range(len(words)), *(WORDS + bucket(w) for w in rare), *range(WORDS, WORDS + BUCKETS)], np.int16)
+        return [*words, *rare], ids, np.array([*[0.0] * len(words), *shares, *[cls.open_share] * BUCKETS])
+
+    def __init__(self, named, ids, shares):
+        super().__init__(zip(named, range(len(named))))
+        self.first = len(named)  # places of the buckets
+        self.ids, self.shares = ids, shares
 
     def __missing__(self, word):
         if len(self) > self.first + 400_000:
-            self.clear()
-            self.update(self.own)
-        out = self.own.get(word)
-        self[word] = out = self.first + bucket(word) if out is None else out
+            for _ in range(len(self) - self.first):
+                self.popitem()  # the last ones: named words came first and stay
+        self[word] = out = self.first + bucket(word)
         return out
 
     def read(self, words):
@@ -179,46 +182,85 @@ class Network:
             self.parts.append(self.flat[i : i + n].reshape(shape))
             i += n
 
-    def hidden(self, line, at):
+    def near(self, line, at):
+        """Rows of the embeddings for the words around each place, one line of `near` per place around."""
+        return np.concatenate([line[at + off] + np.int16(j * SIZE) for j, off in enumerate(AROUND)])
+
+    def hidden(self, near):
+        """tanh of the summed embeddings, with a last column of ones that carries the word weights' bias."""
         emb, bias = self.parts[:2]
-        z = bias + sum(emb[j][line[at + off]] for j, off in enumerate(AROUND))
-        return np.tanh(z)
+        n = len(near) // len(AROUND)
+        out = np.ones((n, WIDTH + 1), np.float32)
+        z = emb.reshape(-1, WIDTH).take(near, axis=0).reshape(len(AROUND), n, WIDTH).sum(axis=0)
+        z += bias
+        np.tanh(z, out=out[:, :WIDTH])
+        return out
+
+    def word_weights(self):
+        """Word weights of each class with their bias as the last line."""
+        _, _, _, _, ww, bw = self.parts
+        return np.concatenate([ww, bw[:, None]], axis=1)
 
     @staticmethod
-    def _softmax(z):
-        np.clip(z, -_MOST, _MOST, out=z)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+    def _by_class(words):
+        """Order of the words by class; class, place in it, and the classes that occur with their stretch of the order."""
+        words = words.astype(np.int16, copy=False)  # short numbers are sorted by radix
+        order = np.argsort(words, kind="stable")
+        cls, rest = np.divmod(words[order], np.int16(PER_CLASS))
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1, dtype=np.int16)).tolist()
+        return order, cls, rest, [(c, slice(ends[c], ends[c + 1])) for c in range(CLASSES) if ends[c] < ends[c + 1]]
+
+    @staticmethod
+    def _within(h, weights, classes):
+        """Scores of the words of each row's class, class by class."""
+        z = np.empty((len(h), PER_CLASS), np.float32)
+        for c, rows in classes:
+            np.matmul(h[rows], weights[c], out=z[rows])
         return z
 
     @staticmethod
-    def _log_of(z, chosen):
-        """Log of the softmax of each row at its chosen column."""
+    def _exp(z):
+        """Exponentials in place, and the sum of each row."""
         np.clip(z, -_MOST, _MOST, out=z)
-        own = z[np.arange(len(z)), chosen]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+        np.exp(z, out=z)
+        return z @ np.ones(z.shape[1], np.float32)
+
+    @classmethod
+    def _log_of(cls, z, chosen):
+        """Log of the softmax of each row at its chosen column."""
+        own = np.clip(z[np.arange(len(z)), chosen], -_MOST, _MOST)
+        return own - np.log(cls._exp(z))
+
+    @classmethod
+    def _error(cls, z, chosen, scale):
+        """Softmax of each row less one at its chosen column, times `scale`."""
+        z *= (scale / cls._exp(z))[:, None]
+        z[np.arange(len(z)), chosen] -= scale
+        return z
 
     def log_probs(self, line, at):
         """Log-probability of the word at each place, given the words around it."""
-        _, _, wc, bc, ww, bw = self.parts
+        _, _, wc, bc, _, _ = self.parts
+        weights = self.word_weights()
+        line = line.astype(np.int16, copy=False)
         out = np.empty(len(at), np.float64)
-        for i in range(0, len(at), 4 * BATCH):
-            a = at[i : i + 4 * BATCH]
-            h, word = self.hidden(line, a), line[a]
-            cls, rest = np.divmod(word, PER_CLASS)
-            lp = self._log_of(h @ wc + bc, cls).astype(np.float64)
-            order = np.argsort(cls, kind="stable")
-            ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-            for c in np.flatnonzero(np.diff(ends)):
-                rows = order[ends[c] : ends[c + 1]]
-                lp[rows] += self._log_of(h[rows] @ ww[c] + bw[c], rest[rows])
-            out[i : i + len(a)] = lp
+        for i in range(0, len(at), BATCH):
+            a = at[i : i + BATCH]
+            order, cls, rest, classes = self._by_class(line[a])
+            h = self.hidden(self.near(line, a[order]))
+            lp = self._log_of(h[:, :WIDTH] @ wc + bc, cls).astype(np.float64)
+            out[i + order] = lp + self._log_of(self._within(h, weights, classes), rest)
         return out
 
     def train(self, line, at, squares):
-        """One pass over the places in the given order; steps scaled by past squared gradients."""
+        """One pass over the places in the given order; steps scaled by past squared gradients.
+
+        The places of a batch are put in order of their words, so that each class is one stretch of rows.
+        """
         emb, bias, wc, bc, ww, bw = self.parts
         se, sb, sc, sbc, sw, sbw = squares.parts
+        emb, se = emb.reshape(-1, WIDTH), se.reshape(-1, WIDTH)
+        line = line.astype(np.int16, copy=False)
 
         def step(w, s, g):
             s += g * g
@@ -226,40 +268,39 @@ class Network:
 
         for i in range(0, len(at), BATCH):
             a = at[i : i + BATCH]
-            h, word = self.hidden(line, a), line[a]
-            cls, rest = np.divmod(word, PER_CLASS)
+            order, cls, rest, classes = self._by_class(line[a])
+            near = self.near(line, a[order])
+            h = self.hidden(near)
+            plain = np.ascontiguousarray(h[:, :WIDTH])
             scale = np.float32(1 / len(a))
-            d = self._softmax(h @ wc + bc)
-            d[np.arange(len(a)), cls] -= 1
-            d *= scale
+            d = self._error(plain @ wc + bc, cls, scale)
+            weights = self.word_weights()
+            e = self._error(self._within(h, weights, classes), rest, scale)
             dh = d @ wc.T
-            order = np.argsort(cls, kind="stable")
-            ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-            for c in np.flatnonzero(np.diff(ends)):
-                rows = order[ends[c] : ends[c + 1]]
-                e = self._softmax(h[rows] @ ww[c] + bw[c])
-                e[np.arange(len(rows)), rest[rows]] -= 1
-                e *= scale
-                dh[rows] += e @ ww[c].T
-                step(ww[c], sw[c], h[rows].T @ e)
-                step(bw[c], sbw[c], e.sum(axis=0))
-            step(wc, sc, h.T @ d)
+            g = np.zeros_like(weights)
+            for c, rows in classes:
+                dh[rows] += e[rows] @ ww[c].T
+                np.matmul(h[rows].T, e[rows], out=g[c])
+            step(ww, sw, g[:, :WIDTH])
+            step(bw, sbw, g[:, WIDTH])
+            step(wc, sc, plain.T @ d)
             step(bc, sbc, d.sum(axis=0))
-            dh *= 1 - h * h
+            dh *= 1 - plain * plain
             step(bias, sb, dh.sum(axis=0))
-            for j, off in enumerate(AROUND):
-                near = line[a + off]
-                order = np.argsort(near, kind="stable")
-                ids, starts = np.unique(near[order], return_index=True)
-                g = np.add.reduceat(dh[order], starts, axis=0)
-                s = se[j][ids] + g * g
-                se[j][ids] = s
-                emb[j][ids] -= RATE * g / np.sqrt(s + 1e-6)
+            order = np.argsort(near, kind="stable")
+            ids = near[order]
+            starts = np.flatnonzero(np.diff(ids, prepend=np.int16(-1)))
+            ids = ids[starts]
+            pairs = dh.take(order % len(a), axis=0).view(np.complex64)  # two columns are summed as one
+            g = np.add.reduceat(pairs, starts, axis=0).view(np.float32)
+            s = se[ids] + g * g
+            se[ids] = s
+            emb[ids] -= RATE * g / np.sqrt(s + 1e-6)
 
 
 def numbered(texts, words, known):
     """doc_id, row, `h` (a hash of the text), n_tokens, `share` (sum of the logarithms known), `ids` and the words whose share is `open`."""
-    shared = texts.sparkSession.sparkContext.broadcast((words, known))
+    shared = texts.sparkSession.sparkContext.broadcast(Shares.arrays(words, known))
     names = [("doc_id", pa.int64()), ("row", pa.int64()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("share", pa.float64()), ("ids", pa.binary()), ("open", pa.list_(pa.binary()))]
     schema = pa.schema(names)
 
@@ -299,7 +340,7 @@ def train(lines):
             def work():
                 net, squares, rng, n = state
                 line, at, _ = in_line(held)
-                net.train(line.astype(np.int32), rng.permutation(at), squares)
+                net.train(line, rng.permutation(at), squares)
                 return net, squares, rng, n + len(at)
 
             def out():
@@ -365,7 +406,7 @@ def score(docs):
         net = Network(shared.value)
         for batch in slices(batches, "ids"):
             line, at, owner = in_line([np.frombuffer(x, np.int16) for x in batch.column("ids").to_pylist()])
-            total = np.bincount(owner, net.log_probs(line.astype(np.int32), at), batch.num_rows) + batch.column("share").to_numpy()
+            total = np.bincount(owner, net.log_probs(line, at), batch.num_rows) + batch.column("share").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "n_tokens")] + [pa.array(total.astype(np.float64))], schema=schema)
 
     # Written before the join, so that texts are scored once.

@@ -1,3 +1,4 @@
+import cProfile
 import functools
 import random
 
@@ -202,6 +203,49 @@ def test_masked_probabilities_sum_to_one_and_training_helps():
     assert net.log_probs(line, at).sum() > before / 3
 
 
+def test_a_training_step_equals_plain_loops():
+    """One batch against a loop word by word in double precision, in few calls whatever the number of classes."""
+    rng = np.random.default_rng(4)
+    words = np.minimum(rng.zipf(1.3, 3000) - 1, masked.SIZE - 2).astype(np.int16)
+    line, at, _ = masked.in_line([words[:1000], words[1000:]])
+    net, squares = masked.Network(), masked.Network(np.zeros_like(masked.Network().flat))
+    old = masked.Network(net.flat.astype(np.float32))
+    emb, bias, wc, bc, ww, bw = (p.astype(float) for p in old.parts)
+    grads = [np.zeros(p.shape) for p in old.parts]
+    total = []
+    for i in at:
+        near = [line[i + off] for off in masked.AROUND]
+        h = np.tanh(bias + sum(emb[j, w] for j, w in enumerate(near)))
+        c, k = divmod(int(line[i]), masked.PER_CLASS)
+        d, e = (np.exp(z) / np.exp(z).sum() for z in (h @ wc + bc, h @ ww[c] + bw[c]))
+        total.append(np.log(d[c]) + np.log(e[k]))
+        d[c], e[k] = d[c] - 1, e[k] - 1
+        back = (wc @ d + ww[c] @ e) * (1 - h * h)
+        for g, value in zip(grads[1:4], (back, np.outer(h, d), d)):
+            g += value / len(at)
+        grads[4][c] += np.outer(h, e) / len(at)
+        grads[5][c] += e / len(at)
+        for j, w in enumerate(near):
+            grads[0][j, w] += back / len(at)
+    assert np.abs(net.log_probs(line, at) - total).max() < 1e-4
+    profile = cProfile.Profile()
+    profile.runcall(net.train, line, rng.permutation(at), squares)
+    for now, before, square, g in zip(net.parts, old.parts, squares.parts, grads):
+        assert np.abs(square - g * g).max() < 1e-6 and np.abs(now - (before - masked.RATE * g / np.sqrt(g * g + 1e-6))).max() < 1e-3
+    assert sum(f.callcount for f in profile.getstats()) < 300
+
+
+def test_named_words_stay_when_others_are_forgotten():
+    named, ids, shares = masked.Shares.arrays([b"a", b"b"], ([b"c"], [-2.0]))
+    coder = masked.Shares(named, ids, shares)
+    for start in range(0, 410_000, 1000):
+        coder.read([b"w%d" % i for i in range(start, start + 1000)])
+    assert len(coder) < 400_010
+    got, part = coder.read([b"a", b"b", b"c", b"w7"])
+    assert got.tolist() == [0, 1, masked.WORDS + masked.bucket(b"c"), masked.WORDS + masked.bucket(b"w7")]
+    assert part.tolist() == [0.0, 0.0, -2.0, masked.Shares.open_share]
+
+
 def test_scores(spark):
     full, empty = tables(spark)
     got = masked.score(full).collect()
