@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 #: Up to this many rules are part of the expression (`functions.trust`); more are looked up.
 MOST_LITERAL = 64
+#: An ending that more domains than this share is looked up in several parts of about as many.
+PART_ROWS = 1 << 18
+#: The most frequent endings that are looked at for this, and how many the sketch of a task holds.
+COMMON, TRACKED = 256, 1024
 
 
 def rule_keys(domain, suffix_lengths):
@@ -21,17 +25,35 @@ def rule_keys(domain, suffix_lengths):
     return F.concat(known, F.array_compact(F.array(*ends))) if ends else known
 
 
+def spread(keys, rules):
+    """`keys` (`domain`, `kind`, `value`) and `rules` (`kind`, `value`) with a column `part`, so that no value has too many keys in a part.
+
+    The counts come from a sketch of bounded size that misses no value with over 1/200 of the keys.  They decide
+    how many parts a value has, not what is found: a rule stands in every part of its value.
+    """
+    counts = keys.agg(F.expr(f"approx_top_k(value, {COMMON}, {TRACKED})").alias("top")).select(F.explode("top").alias("top"))
+    parts = counts.select(F.col("top.item").alias("value"), (F.floor(F.col("top.count") / PART_ROWS) + 1).alias("parts")).filter("parts > 1")
+
+    def own(df):
+        return df.join(F.broadcast(parts), "value", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+    dealt = own(keys).select("domain", "kind", "value", F.pmod(F.xxhash64("domain"), F.col("parts")).alias("part"))
+    return dealt, own(rules).select("kind", "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
 def trusted_domains(domains, rules):
     """The values of the column `domain` that a rule (`kind`, `value`) trusts, each once; null is trusted by none.
 
     The cost follows the number of distinct domains and their labels: each is looked up by hash, whatever
-    the number of rules.
+    the number of rules.  An ending that very many domains share is looked up in parts.
     """
     rules = rules.select("kind", "value").dropna().distinct()
     lengths = [r[0] for r in rules.filter("kind = 'suffix'").select(F.length("value")).distinct().collect()]
-    asked = domains.select("domain").dropna().distinct()
+    # Filtered as a join on the result would filter, so that both uses of the keys read one shuffle.
+    asked = domains.select("domain").filter("domain is not null").distinct()
     keys = asked.select("domain", F.explode(rule_keys(F.col("domain"), sorted(lengths))).alias("k")).select("domain", "k.*")
-    return keys.join(rules, ["kind", "value"], "left_semi").select("domain").distinct()
+    keys, rules = spread(keys, rules)
+    return keys.join(rules, ["kind", "value", "part"], "left_semi").select("domain").distinct()
 
 
 def with_verdict(records, rules, domain="official_domain", name="source_verified"):

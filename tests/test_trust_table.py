@@ -61,6 +61,32 @@ def test_an_ending_that_all_domains_share_is_split(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_an_ending_that_all_domains_share_is_looked_up_in_parts(spark, monkeypatch):
+    """No join key has many more rows than a part holds, whatever share of the domains has an ending; verdicts stay."""
+    monkeypatch.setattr(trust, "PART_ROWS", 500)
+    hosts = spark.range(20_000).select(F.concat(F.lit("h.d"), F.hex(F.xxhash64("id")), F.when(F.col("id") % 4 == 0, ".gov.in").otherwise(".x.org")).alias("domain"))
+    keys = hosts.select("domain", F.explode(trust.rule_keys(F.col("domain"), [4])).alias("k")).select("domain", "k.*")
+    for ending in (("domain", "gov.in"), ("suffix", "v.in"), ("suffix", ".org"), ("domain", "none.org")):
+        own = spark.range(0, 20_000, 40).select(F.lit("domain").alias("kind"), F.concat(F.lit("d"), F.hex(F.xxhash64("id")), F.lit(".gov.in")).alias("value"))
+        rules = own.union(spark.createDataFrame([ending, ending, ("suffix", "....")], "kind string, value string"))
+        dealt, looked_up = trust.spread(keys, rules.distinct())
+        most = dealt.groupBy("kind", "value", "part").count().agg(F.max("count")).first()[0]
+        assert keys.groupBy("kind", "value").count().agg(F.max("count")).first()[0] == 15_000 and most < 1000
+        assert looked_up.select("kind", "value").distinct().count() == rules.distinct().count() < looked_up.count() + (ending[1] == "none.org")
+        want = {"gov.in": 5000, "v.in": 5000, ".org": 15_500, "none.org": 500}[ending[1]]
+        assert trust.trusted_domains(hosts, rules).count() == want
+    assert trust.trusted_domains(hosts.limit(0), rules).count() == 0 == trust.trusted_domains(hosts, rules.limit(0)).count()
+
+
+def test_domains_are_shuffled_once_for_both_uses(spark, monkeypatch):
+    monkeypatch.setattr(trust, "PART_ROWS", 100)
+    hosts = spark.range(2000).select(F.concat(F.lit("h.d"), F.col("id") % 700, F.lit(".org")).alias("domain"))
+    rules = spark.range(100).select(F.lit("domain").alias("kind"), F.concat(F.lit("d"), "id", F.lit(".org")).alias("value"))
+    out = trust.with_verdict(hosts, rules, "domain", "t")
+    assert len(out.collect()) == 2000
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_run_with_a_long_trust_list_equals_one_with_a_short_one(spark, scratch):
     pages = [("https://a.org/", "https://a.org/", 200, "text/html", '<a href="1.pdf">Notice one</a>', AT), ("https://b.gov.in/", "https://b.gov.in/", 200, "text/html", '<a href="2.pdf">Notice two</a>', AT)]
     spark.createDataFrame(pages, PAGES).write.parquet(f"{scratch}/pages")
