@@ -13,10 +13,9 @@ averaged, weighted by their words.  The rounds grow with the number of parts.  P
 batches in them depend on the texts only, so the files a table lies in make no difference.
 """
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import functions as F
 
@@ -35,27 +34,42 @@ BATCH, RATE = 8192, 0.15
 #: Shares that are sent to the tasks at most, some 16 MB of words and numbers.
 KNOWN = 1 << 18
 _PARTS = 64
-#: Bound of an exponent: sums over a row stay positive and finite without a maximum taken row by row.
+#: Bytes of words and counts that a task holds before it hands them on, about a million words.
+_COUNTED = 24 << 20
+#: Bound of an exponent: sums of exponentials stay positive and finite without a maximum taken for each.
 _MOST = np.float32(80.0)
 
 
+def words_of(texts):
+    """All words of a column of texts as one column of bytes, and the place in it where each text's words begin, with its end."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = split.flatten()
+    filled = pc.not_equal(words, "")  # blanks at either end leave empty words
+    ends = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    return words.filter(filled).cast(pa.binary()), ends[split.offsets.to_numpy()]
+
+
 def word_counts(texts):
     """`word`, `n` over all texts, summed per task first."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
-        counts = Counter()
+        held, size = [], 0
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+        def summed():
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
 
         for batch in slices(batches):
-            for t in batch.column("text").to_pylist():
-                counts.update((t or "").encode().split())
-            if len(counts) > 500_000:
-                yield out()
-                counts.clear()
-        yield out()
+            counts = words_of(batch.column("text"))[0].value_counts()
+            held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+            size += held[-1].nbytes
+            if size > 2 * _COUNTED:
+                held = [summed()]
+                size = held[0].nbytes
+                if size > _COUNTED:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from summed().to_batches()
 
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -66,32 +80,22 @@ def bucket(word):
 
 def shares(counts, words):
     """`word`, `n` and `log_share` of every word of `counts` but `words`: its share of all words of its bucket."""
-    shared = counts.sparkSession.sparkContext.broadcast(frozenset(words))
-
-    def rare(batch):
-        pairs = zip(*(c.to_pylist() for c in batch.columns))
-        return [(w, n, bucket(w)) for w, n in pairs if w not in shared.value]
-
-    def add(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, n, b in rare(batch):
-                total[b] += n
-        yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS), pa.int32()), pa.array(total)], ["bucket", "n"])
-
-    slim = counts.select("word", "n")
-    sums = slim.mapInArrow(add, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS rows
-    totals = {r["bucket"]: r["n"] for r in sums}
+    shared = counts.sparkSession.sparkContext.broadcast(words)
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("bucket", pa.int32())])
 
-    def divide(batches):
+    def hashed(batches):
+        own = pa.array(shared.value, pa.binary())
         for batch in batches:
-            rows = rare(batch)
-            part = np.log([n / totals[b] for _, n, b in rows]) if rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _, _ in rows], pa.binary()), pa.array([n for _, n, _ in rows], pa.int64()), pa.array(part, pa.float64())], ["word", "n", "log_share"]
-            )
+            word = batch.column("word").cast(pa.binary())
+            rare = pc.invert(pc.is_in(word, own))
+            word = word.filter(rare)
+            at = np.fromiter(map(bucket, word.to_pylist()), np.int32, len(word))
+            yield pa.RecordBatch.from_arrays([word, batch.column("n").filter(rare), pa.array(at)], schema=schema)
 
-    return slim.mapInArrow(divide, "word binary, n long, log_share double")
+    # Written once, so that words are hashed once.
+    rare = stage(counts.select("word", "n").mapInArrow(hashed, "word binary, n long, bucket int"))
+    totals = rare.groupBy("bucket").agg(F.sum("n").alias("total"))  # BUCKETS rows
+    return rare.join(F.broadcast(totals), "bucket").select("word", "n", F.log(F.col("n") / F.col("total")).alias("log_share"))
 
 
 def split_shares(rare, most=KNOWN):
@@ -138,7 +142,10 @@ def in_line(parts):
 
 
 class Shares(dict):
-    """Words to places of two arrays, found at once: the word's number, and its share of a bucket, `open_share` where it is to be joined."""
+    """Words to places of two arrays: the word's number, and its share of a bucket, `open_share` where it is to be joined.
+
+    Named words are found together; the dictionary holds the places of others for a while.
+    """
 
     open_share = 1.0  # no logarithm of a share is positive
 
@@ -150,20 +157,23 @@ class Shares(dict):
         return [*words, *rare], ids, np.array([*[0.0] * len(words), *shares, *[cls.open_share] * BUCKETS])
 
     def __init__(self, named, ids, shares):
-        super().__init__(zip(named, range(len(named))))
+        super().__init__()
+        self.named = pa.array(named, pa.binary())
         self.first = len(named)  # places of the buckets
         self.ids, self.shares = ids, shares
 
     def __missing__(self, word):
-        if len(self) > self.first + 400_000:
-            for _ in range(len(self) - self.first):
-                self.popitem()  # the last ones: named words came first and stay
+        if len(self) >= 400_000:
+            self.clear()
         self[word] = out = self.first + bucket(word)
         return out
 
     def read(self, words):
-        """Numbers and shares of words."""
-        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        """Numbers and shares of words, a list or a column of bytes."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        at = np.array(pc.fill_null(pc.index_in(words, self.named), -1))
+        others = np.flatnonzero(at < 0)
+        at[others] = np.fromiter(map(self.__getitem__, words.take(pa.array(others)).to_pylist()), np.int32, len(others))
         return self.ids[at], self.shares[at]
 
 
@@ -183,18 +193,29 @@ class Network:
             i += n
 
     def near(self, line, at):
-        """Rows of the embeddings for the words around each place, one line of `near` per place around."""
-        return np.concatenate([line[at + off] + np.int16(j * SIZE) for j, off in enumerate(AROUND)])
+        """Numbers of the words around each place, one list per place around."""
+        return [line[at + off].astype(np.intp) for off in AROUND]
+
+    @staticmethod
+    def room(n):
+        """Arrays that all batches of up to `n` places use: memory fresh from the system costs more than the work in it."""
+        return [np.ones((n, width), np.float32) for width in (WIDTH, WIDTH, WIDTH + 1, CLASSES, PER_CLASS)]
 
-    def hidden(self, near):
-        """tanh of the summed embeddings, with a last column of ones that carries the word weights' bias."""
+    def hidden(self, near, plain, taken, h):
+        """tanh of the summed embeddings in `plain`, and in `h` before a last column of ones that carries the weights' bias."""
         emb, bias = self.parts[:2]
-        n = len(near) // len(AROUND)
-        out = np.ones((n, WIDTH + 1), np.float32)
-        z = emb.reshape(-1, WIDTH).take(near, axis=0).reshape(len(AROUND), n, WIDTH).sum(axis=0)
-        z += bias
-        np.tanh(z, out=out[:, :WIDTH])
-        return out
+        emb[0].take(near[0], axis=0, out=plain, mode="clip")
+        for own, words in zip(emb[1:], near[1:]):
+            own.take(words, axis=0, out=taken, mode="clip")
+            plain += taken
+        plain += bias
+        np.tanh(plain, out=plain)
+        h[:, :WIDTH] = plain
+
+    def class_weights(self):
+        """Class weights with their bias as the last line."""
+        _, _, wc, bc, _, _ = self.parts
+        return np.concatenate([wc, bc[None]])
 
     def word_weights(self):
         """Word weights of each class with their bias as the last line."""
@@ -211,91 +232,102 @@ class Network:
         return order, cls, rest, [(c, slice(ends[c], ends[c + 1])) for c in range(CLASSES) if ends[c] < ends[c + 1]]
 
     @staticmethod
-    def _within(h, weights, classes):
-        """Scores of the words of each row's class, class by class."""
-        z = np.empty((len(h), PER_CLASS), np.float32)
+    def _within(h, weights, classes, z):
+        """Scores of the words of each row's class, class by class, in `z`."""
         for c, rows in classes:
             np.matmul(h[rows], weights[c], out=z[rows])
         return z
 
     @staticmethod
-    def _exp(z):
+    def _exp(z, weights):
         """Exponentials in place, and the sum of each row."""
-        np.clip(z, -_MOST, _MOST, out=z)
+        # No input exceeds one, so no score exceeds the sizes of its weights together.
+        if not np.abs(weights).sum(axis=-2).max() < _MOST:
+            np.clip(z, -_MOST, _MOST, out=z)
         np.exp(z, out=z)
         return z @ np.ones(z.shape[1], np.float32)
 
     @classmethod
-    def _log_of(cls, z, chosen):
+    def _log_of(cls, z, chosen, weights):
         """Log of the softmax of each row at its chosen column."""
         own = np.clip(z[np.arange(len(z)), chosen], -_MOST, _MOST)
-        return own - np.log(cls._exp(z))
+        return own - np.log(cls._exp(z, weights))
 
     @classmethod
-    def _error(cls, z, chosen, scale):
+    def _error(cls, z, chosen, weights, scale):
         """Softmax of each row less one at its chosen column, times `scale`."""
-        z *= (scale / cls._exp(z))[:, None]
+        z *= (scale / cls._exp(z, weights))[:, None]
         z[np.arange(len(z)), chosen] -= scale
         return z
 
     def log_probs(self, line, at):
         """Log-probability of the word at each place, given the words around it."""
-        _, _, wc, bc, _, _ = self.parts
-        weights = self.word_weights()
+        class_weights, word_weights = self.class_weights(), self.word_weights()
         line = line.astype(np.int16, copy=False)
         out = np.empty(len(at), np.float64)
+        room = self.room(min(BATCH, len(at)))
         for i in range(0, len(at), BATCH):
             a = at[i : i + BATCH]
             order, cls, rest, classes = self._by_class(line[a])
-            h = self.hidden(self.near(line, a[order]))
-            lp = self._log_of(h[:, :WIDTH] @ wc + bc, cls).astype(np.float64)
-            out[i + order] = lp + self._log_of(self._within(h, weights, classes), rest)
+            plain, taken, h, z, e = (x[: len(a)] for x in room)
+            self.hidden(self.near(line, a[order]), plain, taken, h)
+            lp = self._log_of(np.matmul(h, class_weights, out=z), cls, class_weights).astype(np.float64)
+            out[i + order] = lp + self._log_of(self._within(h, word_weights, classes, e), rest, word_weights)
         return out
 
     def train(self, line, at, squares):
         """One pass over the places in the given order; steps scaled by past squared gradients.
 
         The places of a batch are put in order of their words, so that each class is one stretch of rows.
+        The embeddings' gradients are summed column by column.
         """
         emb, bias, wc, bc, ww, bw = self.parts
         se, sb, sc, sbc, sw, sbw = squares.parts
-        emb, se = emb.reshape(-1, WIDTH), se.reshape(-1, WIDTH)
         line = line.astype(np.int16, copy=False)
-
-        def step(w, s, g):
-            s += g * g
-            w -= RATE * g / np.sqrt(s + 1e-6)
+        most = min(BATCH, len(at))
+        room = self.room(most)
+        wide, total = np.empty((WIDTH, most)), np.empty((len(AROUND), WIDTH, SIZE), np.float32)
+        moved, root = np.empty_like(emb), np.empty_like(emb)
+
+        def step(w, s, g, root=None):
+            root = np.multiply(g, g, out=root)
+            s += root
+            np.add(s, np.float32(1e-6), out=root)
+            np.sqrt(root, out=root)
+            np.divide(g, root, out=root)
+            root *= np.float32(RATE)
+            w -= root
 
         for i in range(0, len(at), BATCH):
             a = at[i : i + BATCH]
             order, cls, rest, classes = self._by_class(line[a])
+            plain, dh, h, z, e = (x[: len(a)] for x in room)
             near = self.near(line, a[order])
-            h = self.hidden(near)
-            plain = np.ascontiguousarray(h[:, :WIDTH])
+            self.hidden(near, plain, dh, h)
             scale = np.float32(1 / len(a))
-            d = self._error(plain @ wc + bc, cls, scale)
-            weights = self.word_weights()
-            e = self._error(self._within(h, weights, classes), rest, scale)
-            dh = d @ wc.T
-            g = np.zeros_like(weights)
+            class_weights, word_weights = self.class_weights(), self.word_weights()
+            d = self._error(np.matmul(h, class_weights, out=z), cls, class_weights, scale)
+            e = self._error(self._within(h, word_weights, classes, e), rest, word_weights, scale)
+            np.matmul(d, wc.T, out=dh)
+            g = np.zeros_like(word_weights)
             for c, rows in classes:
                 dh[rows] += e[rows] @ ww[c].T
                 np.matmul(h[rows].T, e[rows], out=g[c])
             step(ww, sw, g[:, :WIDTH])
             step(bw, sbw, g[:, WIDTH])
-            step(wc, sc, plain.T @ d)
-            step(bc, sbc, d.sum(axis=0))
-            dh *= 1 - plain * plain
+            g = h.T @ d
+            step(wc, sc, g[:WIDTH])
+            step(bc, sbc, g[WIDTH])
+            plain *= plain
+            dh *= np.subtract(1, plain, out=plain)
             step(bias, sb, dh.sum(axis=0))
-            order = np.argsort(near, kind="stable")
-            ids = near[order]
-            starts = np.flatnonzero(np.diff(ids, prepend=np.int16(-1)))
-            ids = ids[starts]
-            pairs = dh.take(order % len(a), axis=0).view(np.complex64)  # two columns are summed as one
-            g = np.add.reduceat(pairs, starts, axis=0).view(np.float32)
-            s = se[ids] + g * g
-            se[ids] = s
-            emb[ids] -= RATE * g / np.sqrt(s + 1e-6)
+            each = wide[:, : len(a)]
+            each[:] = dh.T
+            for words, sums in zip(near, total):
+                for x, out in zip(each, sums):
+                    out[:] = np.bincount(words, x, SIZE)
+            moved[:] = total.transpose(0, 2, 1)
+            step(emb, se, moved, root)
 
 
 def numbered(texts, words, known):
@@ -307,16 +339,15 @@ def numbered(texts, words, known):
     def run(batches):
         coder = Shares(*shared.value)
         for batch in slices(batches):
-            n, share, ids, far = [], [], [], []
-            for t in batch.column("text").to_pylist():
-                split = (t or "").encode().split()
-                own, part = coder.read(split)
-                here = part != Shares.open_share
-                n.append(len(split))
-                share.append(float(part[here].sum()))
-                ids.append(own.tobytes())
-                far.append([split[i] for i in np.flatnonzero(~here)])
-            made = [pa.array(c, schema.field(k).type) for k, c in zip(("n_tokens", "share", "ids", "open"), (n, share, ids, far))]
+            words, ends = words_of(batch.column("text"))
+            sizes = np.diff(ends)
+            own, part = coder.read(words)
+            away = part == Shares.open_share
+            share = np.bincount(np.repeat(np.arange(len(sizes)), sizes), np.where(away, 0.0, part), len(sizes))
+            ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((own.itemsize * ends).astype(np.int32)), pa.py_buffer(own)])
+            far = np.concatenate([[0], np.cumsum(away)])[ends].astype(np.int32)
+            far = pa.ListArray.from_arrays(pa.array(far), words.filter(pa.array(away)))
+            made = [pa.array(sizes, pa.int64()), pa.array(share, pa.float64()), ids, far]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "h")] + made, schema=schema)
 
     # Written once, so that the rows' numbers hold.
@@ -397,7 +428,7 @@ def score(docs):
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
     counts = stage(word_counts(texts))
     words = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-    known, others = split_shares(stage(shares(counts, words)))
+    known, others = split_shares(shares(counts, words))
     lines = numbered(texts, words, known)
     shared = docs.sparkSession.sparkContext.broadcast(train(lines).flat)
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("log_prob", pa.float64())])

@@ -1,9 +1,11 @@
 import cProfile
+import collections
 import functools
 import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import documents, prose, rows, tables
 from pyspark.sql import functions as F
@@ -246,6 +248,48 @@ def test_named_words_stay_when_others_are_forgotten():
     assert part.tolist() == [0.0, 0.0, -2.0, masked.Shares.open_share]
 
 
+def test_words_of_a_column_are_those_of_split():
+    texts = ["", None, " \t\n", "a  b", "\x0b a\r\nb\x0c", "\x1ca\x1d \x85\xa0é c\u3000d", "x" * 50_000, "a"]
+    for column in (pa.array(texts), pa.array(["cut off", *texts, "cut off"]).slice(1, len(texts))):
+        words, ends = masked.words_of(column)
+        got = [words.slice(i, j - i).to_pylist() for i, j in zip(ends[:-1], ends[1:])]
+        assert got == [(t or "").encode().split() for t in texts]
+
+
+def test_named_words_are_read_as_a_column(monkeypatch):
+    """Named words of a column are found together: only others are hashed, one by one."""
+    named, ids, shares = masked.Shares.arrays([b"w%d" % i for i in range(1000)], ([b"r%d" % i for i in range(1000)], [-float(i) for i in range(1000)]))
+    coder, hashed = masked.Shares(named, ids, shares), []
+    assert len(coder) == 0
+    monkeypatch.setattr(masked, "bucket", lambda word: hashed.append(word) or 3)
+    words = [*named, b"", b"other", b"other"]
+    got, part = coder.read(pa.array(words, pa.binary()))
+    assert hashed == [b"", b"other"] and got.tolist() == [*ids[: len(named)], *[masked.WORDS + 3] * 3]
+    assert part.tolist() == [*shares[: len(named)], *[masked.Shares.open_share] * 3]
+
+
+def test_word_counts_are_handed_on_in_parts(spark, monkeypatch):
+    """Tasks that hold a few hundred bytes of counts give the same sums."""
+    monkeypatch.setattr(masked, "_COUNTED", 300)
+    monkeypatch.setattr(masked, "slices", lambda batches: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+    texts = [prose(i, 2) for i in range(30)] + [None, "", "a a  b"]
+    got = {bytes(r["word"]): r["n"] for r in masked.word_counts(documents(spark, texts)).collect()}
+    assert got == collections.Counter(w for t in texts for w in (t or "").encode().split())
+
+
+def test_large_weights_keep_scores_finite():
+    """Exponents are cut only where the weights could give more than the bound: sums stay finite either way."""
+    net = masked.Network()
+    line, at, _ = masked.in_line([np.arange(300, dtype=np.int16) * 5])
+    for factor in (1, 1e4):
+        net.flat *= np.float32(factor)
+        z, own = np.full((2, 3), 1000, np.float32) * np.float32([1, -1, 0]), np.full((2, 3), 1000, np.float32)
+        assert np.isfinite(net._exp(z, own)).all() and np.isfinite(net.log_probs(line, at)).all()
+        squares = masked.Network(np.zeros_like(net.flat))
+        net.train(line, at, squares)
+        assert np.isfinite(net.flat).all() and np.isfinite(squares.flat).all()
+
+
 def test_scores(spark):
     full, empty = tables(spark)
     got = masked.score(full).collect()
